@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, langid, packing, simhash, topk, toxicity
+from . import html, langid, minhash, packing, simhash, topk, toxicity
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -45,7 +49,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_groups, op2_html_text, op3_exact_topk, op4_language_id, op5_packing, op6_toxicity, pipeline)
+    f.__name__: f for f in (op1_simhash_groups, op2_html_text, op3_exact_topk, op4_language_id, op5_packing, op6_toxicity, op7_minhash, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {
