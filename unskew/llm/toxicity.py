@@ -7,7 +7,7 @@ uses the entry, word for word, than a clean one. A hit inside an exception phras
 word the heaviest counts. The summed weight, alone and over the square root of the length in words, goes through a
 logistic curve fitted on training rows.
 
-The fit reads a bounded sample of labelled rows: the FIT_ROWS of least hash with either label, each text once. Lexicon
+The fit reads a bounded sample of labelled rows: about FIT_ROWS, those of least hash, with either label, each text once. Lexicon
 and exceptions are bounded (LEXICON, EXCEPTIONS), so the model can be broadcast; scoring is one map over whole texts.
 
 Defined cases: null and empty texts score as texts without a hit; labels null or for unknown ids are ignored, of
@@ -26,7 +26,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, checkpointed, fold
@@ -169,9 +169,15 @@ def _gain(a: int, of_a: int, b: int, of_b: int) -> float:
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows: int) -> DataFrame:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col, FOLDS) != HELD))
-    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy("h", "id")
-    picked = known.withColumn("h", F.xxhash64("id")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= fit_rows).select("id", "toxic")
+    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col).cast("int") == 1).cast("int")).alias("toxic"))
+    # about fit_rows of least hash with either label: a bar on the hash, which is spread evenly, follows from their number
+    h = F.xxhash64("id")
+    known = checkpointed(known)
+    bars = {r["toxic"]: -(1 << 63) + (1 << 64) * fit_rows // r["count"] for r in known.groupBy("toxic").count().collect() if r["count"] > fit_rows}
+    low = F.lit(True)
+    for label, bar in bars.items():
+        low &= (F.col("toxic") != label) | (h <= bar)
+    picked = F.broadcast(known.where(low))  # bounded by the bars
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.join(picked, "id").dropDuplicates(["toxic", "text"]).select("toxic", "text")
 
