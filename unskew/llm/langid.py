@@ -5,7 +5,8 @@ within a word and its blanks. The PROFILE most frequent ones, in order (ties by
 language's profile is made alike from all training texts of the language. A profile's distance to a language is the sum
 over its n-grams of the difference in rank, or PROFILE for an n-gram that the language's profile lacks.
 
-The fit reads a bounded sample: for each language the FIT_ROWS labelled training documents of least hash. Prediction is
+The fit reads a bounded sample: for each language about FIT_ROWS labelled training
+documents, those of least hash. Prediction is
 one map over whole texts without a shuffle; what it broadcasts is PROFILE n-grams a language.
 
 Defined cases: a null text or one without letters is `und` with score 0; ties of distance go to the alphabetically first
@@ -79,12 +80,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Each language's profile, from rows whose fold isn't 0."""
     bounded_batches(docs.sparkSession)
     rows = docs.where((fold(id_col, FOLDS) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    # which rows are in the sample is settled on ids alone, then their texts are read
-    picked = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("h"))
-    bar = picked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= fit_rows).groupBy("lang").agg(F.max("h").alias("bar"))
-    texts = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
-    counts = texts.join(bar, "lang").where("h <= bar").select("lang", "text").mapInPandas(_count, "lang string, gram long, n long")
+    # about fit_rows of least hash in each language: a bar on the hash, which is spread evenly, follows from their number
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
+    bars = {r["lang"]: -(1 << 63) + (1 << 64) * fit_rows // r["count"] for r in rows.groupBy("lang").count().collect() if r["count"] > fit_rows}
+    low = F.lit(True)
+    for lang, bar in bars.items():
+        low &= (F.col("lang") != lang) | (F.col("h") <= bar)
+    counts = rows.where(low).select("lang", "text").mapInPandas(_count, "lang string, gram long, n long")
     total = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     kept = total.withColumn("r", F.row_number().over(top)).where(F.col("r") <= profile)
