@@ -19,6 +19,8 @@ single document is its own next; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,8 +73,8 @@ def _range(id_: str, bounds: list[int]) -> Column:
     return F.when(F.col(id_).isNull(), 0).otherwise(coarse + F.size(F.filter(F.slice(all_, coarse + 1, F.lit(step)), lambda x: x < F.col(id_))))
 
 
-def with_next(docs: DataFrame, id_: str, text: str, carried: list[str]) -> DataFrame:
-    """docs with next_<name> of the text and of each carried column: the row after it by descending id, the first after the last."""
+def with_next(docs: DataFrame, id_: str, text: str, prepared: Callable[[DataFrame], DataFrame], carried: list[str]) -> DataFrame:
+    """docs, prepared, with next_<name> of the text and of each carried column: the row after it by descending id, the first after the last."""
     parts = partitions(docs.sparkSession)
     shares = [k / parts for k in range(1, parts)]
     got = docs.agg(F.percentile_approx(id_, shares or [0.5], max(10_000, 20 * parts)).alias("b")).first()["b"]
@@ -85,7 +87,7 @@ def with_next(docs: DataFrame, id_: str, text: str, carried: list[str]) -> DataF
     of = docs.sparkSession.createDataFrame([(tops[b], a) for a, b in after.items()], "__top long, __of int")
     heads = ranged.drop("__range").join(F.broadcast(of), F.col(id_).eqNullSafe(F.col("__top")))  # a row a range: bounded
     heads = heads.groupBy("__of").agg(F.min_by(F.struct(*docs.columns), F.coalesce(text, F.lit(""))).alias("row")).select("row.*", F.col("__of").alias("__range"))
-    both = ranged.withColumn("__real", F.lit(True)).unionByName(heads.withColumn("__real", F.lit(False)))
+    both = prepared(ranged).withColumn("__real", F.lit(True)).unionByName(prepared(heads).withColumn("__real", F.lit(False)))
     line = Window.partitionBy("__range").orderBy(F.desc("__real"), F.desc_nulls_last(id_), text)
     for name in (text, *carried):
         both = both.withColumn(f"next_{name}", F.lead(name).over(line))
@@ -95,7 +97,7 @@ def with_next(docs: DataFrame, id_: str, text: str, carried: list[str]) -> DataF
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(with_bins(rows, "text", "own"), "doc_id", "text", ["own"])
+    rows = with_next(rows, "doc_id", "text", lambda df: with_bins(df, "text", "own"), ["own"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
