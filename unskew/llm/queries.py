@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, langid, lm, minhash, packing, pieces, simhash, topk, toxicity
+from . import html, langid, license, lm, minhash, packing, pieces, simhash, topk, toxicity
 from .common import table
 
 
@@ -46,6 +46,11 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license.scan(docs, license.fit(docs))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +64,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_groups, op2_html_text, op3_exact_topk, op4_language_id, op5_packing, op6_toxicity, op7_minhash, op8_lm_score, op10_sentencepiece, pipeline)
+    f.__name__: f for f in (op1_simhash_groups, op2_html_text, op3_exact_topk, op4_language_id, op5_packing, op6_toxicity, op7_minhash, op8_lm_score, op9_license_scan, op10_sentencepiece, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {
