@@ -30,8 +30,8 @@ def _meet(k: int, p: float, which: str):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
             return pd.DataFrame({c.split()[0]: [] for c in SCHEMA.split(", ")})
-        q, x = np.stack(queries["features"].to_numpy()).astype(float), np.stack(rows["features"].to_numpy()).astype(float)
-        ids, labels = rows["id"].to_numpy(), rows["label"].to_numpy()
+        q, x = np.stack(queries["features"].to_numpy()).astype(float), np.stack(rows["x"].to_numpy()).astype(float)
+        ids, labels = rows["other"].to_numpy(), rows["other_label"].to_numpy()
         out = []
         for at in range(0, len(q), 256):
             d = _distances(q[at : at + 256], x, p)
@@ -58,10 +58,10 @@ def neighbours(rows: DataFrame, k: int, p: float = 2.0, which: str = "any", quer
     rows = rows.select(F.col("id").cast("long").alias("id"), F.col("label").cast("int").alias("label"), "features")
     asked = rows if queries is None else queries.select(F.col("id").cast("long").alias("id"), F.col("label").cast("int").alias("label"), "features")
     blocks = max(1, math.ceil(rows.count() / block))
-    part = lambda: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = asked.withColumn("qb", part()).withColumn("rb", every)
-    right = rows.withColumn("rb", part()).withColumn("qb", every)
+    left = asked.withColumn("qb", part("id")).withColumn("rb", every)
+    right = rows.select(F.col("id").alias("other"), F.col("label").alias("other_label"), F.col("features").alias("x")).withColumn("rb", part("other")).withColumn("qb", every)
     met = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(_meet(k, p, which), SCHEMA)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("dist", "neighbour"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -68,15 +68,15 @@ def ranking(pred: DataFrame, keys: list[str], classes: int) -> DataFrame:
     by_score = long.groupBy(*keys, "k", "score").agg(F.sum("pos").alias("p"), F.count("*").alias("n"))
     group = Window.partitionBy(*keys, "k")
     down = group.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    w = by_score.select(*keys, "k", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("above"), F.sum("p").over(group).alias("P"), F.sum("n").over(group).alias("N"))
+    w = by_score.select(*keys, "k", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("above"), F.sum("p").over(group).alias("all_p"), F.sum("n").over(group).alias("all_n"))
     # negatives below this score, and half of those at it
-    below = (F.col("N") - F.col("P")) - (F.col("above") - F.col("tp")) + (F.col("n") - F.col("p")) / 2
+    below = (F.col("all_n") - F.col("all_p")) - (F.col("above") - F.col("tp")) + (F.col("n") - F.col("p")) / 2
     each = w.groupBy(*keys, "k").agg(
-        F.sum(F.col("p") * below).alias("u"), F.sum(F.col("p") * F.col("tp") / F.col("above")).alias("ap"), F.max("P").alias("P"), F.max("N").alias("N")
+        F.sum(F.col("p") * below).alias("u"), F.sum(F.col("p") * F.col("tp") / F.col("above")).alias("ap"), F.max("all_p").alias("all_p"), F.max("all_n").alias("all_n")
     )
-    good = (F.col("P") > 0) & (F.col("P") < F.col("N"))
-    auc = F.when(good, F.col("u") / (F.col("P") * (F.col("N") - F.col("P")))).otherwise(0.0)
-    out = each.groupBy(*keys).agg(F.avg(auc).alias("AUC"), F.avg(F.when(good, F.col("ap") / F.col("P")).otherwise(0.0)).alias("AUPRC"), F.min(good).alias("whole"))
+    good = (F.col("all_p") > 0) & (F.col("all_p") < F.col("all_n"))
+    auc = F.when(good, F.col("u") / (F.col("all_p") * (F.col("all_n") - F.col("all_p")))).otherwise(0.0)
+    out = each.groupBy(*keys).agg(F.avg(auc).alias("AUC"), F.avg(F.when(good, F.col("ap") / F.col("all_p")).otherwise(0.0)).alias("AUPRC"), F.min(good).alias("whole"))
     return out.select(*keys, F.when(F.col("whole"), F.col("AUC")).otherwise(0.0).alias("AUC"), F.when(F.col("whole"), F.col("AUPRC")).otherwise(0.0).alias("AUPRC"))
 
 

@@ -145,6 +145,6 @@ def up_down(rows: DataFrame, k: int = 7, seed: int = 42) -> DataFrame:
     marked = rows.join(rate.select("id", "rate"), "id").join(F.broadcast(role), "label")
     most = F.max(inverse).over(Window.partitionBy("label"))
     marked = marked.withColumn("p", F.when(F.col("role") == "majority", inverse / most).otherwise(0.0))
-    safe = F.row_number().over(Window.partitionBy("label").orderBy("p", "id")) == 1
-    kept = marked.where((uniform(seed, "id") >= F.col("p")) | safe).select("id", "label", "features")
+    marked = marked.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("p", "id")))
+    kept = marked.where((uniform(seed, "id") >= F.col("p")) | (F.col("place") == 1)).select("id", "label", "features")
     return smote(kept, k, seed)
