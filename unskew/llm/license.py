@@ -177,7 +177,7 @@ def _variants(rng: np.random.Generator) -> tuple[list[list[str]], list[int]]:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unknown: int = UNKNOWN) -> Classifier:
     """Trains on templates and about `unknown` windows of the corpus, those of least hash."""
     total = docs.where(F.col(text_col).isNotNull()).count()
-    bar = F.lit(-(1 << 63) + (1 << 64) * min(unknown, total) // max(1, total) - 1)
+    bar = F.lit(max(-(1 << 63), -(1 << 63) + (1 << 64) * min(unknown, total) // max(1, total) - 1))
     h = F.xxhash64(id_col, F.length(text_col))
     some = docs.where(F.col(text_col).isNotNull() & (h <= bar)).select(F.get(F.split(text_col, "\n"), F.pmod(h, F.size(F.split(text_col, "\n"))).cast("int")).alias("line"))
     rng = np.random.default_rng(SEED)

@@ -92,7 +92,7 @@ def fold_entry(entry: str) -> str:
 class Lexicon:
     """entries: folded pattern (begins with a blank) to weight. exceptions: folded phrases."""
 
-    def __init__(self, entries: dict[str, float], exceptions: set[str] = frozenset(), curve=(-4.0, 1.0, 0.0, 0.0)):
+    def __init__(self, entries: dict[str, float], exceptions: set[str] = frozenset(), curve=(-5.0, 0.5, 2.0, 1.5)):
         self.entries, self.exceptions, self.curve, self._machine = entries, set(exceptions), curve, None
 
     def __getstate__(self):
