@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def class_balance(stream: DataFrame, ts: str = "ts", label: str = "label", window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """window_start, label, n of each window; rows later than `late` are left out when stream is a stream."""
-    marked = stream.withWatermark(ts, late) if stream.isStreaming else stream
+    # watermarks need timestamps with a zone
+    marked = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if stream.isStreaming else stream
     return marked.groupBy(F.window(ts, window).alias("w"), F.col(label).alias("label")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "label", "n")
 
 
