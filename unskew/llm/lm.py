@@ -38,11 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import packed, unpacked
-from .common import bounded_batches, fold, partitions, stored
+from .common import bounded_batches, fold, partitions, release, stored
 
 FOLDS, HELD, DELETED = 10, 0, 1
 #: Hot words, and the least share (one in) of a pair in the table, at most; tokens and distinct words of a flush.
-HOT, SHARE, FLUSH, TYPES = 1 << 16, 400_000, 1_200_000, 500_000
+HOT, SHARE, FLUSH, TYPES = 1 << 16, 400_000, 800_000, 400_000
 BUCKETS, CHUNK = 40, 250_000
 ADD = 0.1
 FIXED = (0.5, 0.4, 0.1)
@@ -143,8 +143,11 @@ def _flushes(batches, size: Size):
             if held.full():
                 yield held
                 held = _Flush(size)
+                release()
     if held.sizes:
         yield held
+    del held
+    release()
 
 
 def _count_words(parts: int, size: Size):
@@ -185,6 +188,8 @@ def _merge(top: int):
             return pd.DataFrame({"part": [int(df["part"].iloc[0])], "types": [0], "tokens": [0], "deleted": [0], "payload": [pairs], "hot": [None]})
         word, at = np.unique(np.concatenate([x["word"].astype(np.uint64) for x in got]), return_inverse=True)
         all_, deleted = (np.bincount(at, np.concatenate([x[n] for x in got]), len(word)).astype(np.int64) for n in ("all", "deleted"))
+        del got, at
+        release()
         hot = np.lexsort((word, -all_))[:top]
         return pd.DataFrame({
             "part": [int(df["part"].iloc[0])], "types": [len(word)], "tokens": [int(all_.sum())], "deleted": [int(deleted.sum())],
@@ -341,6 +346,7 @@ def _meet(table):
             pair, doc, origin = map(np.concatenate, (pair, doc, origin))
             order = np.argsort(pair, kind="stable")
             pair, doc, origin = pair[order], doc[order], origin[order]
+            del order
             first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
             n = np.diff([*first, len(pair)])
             c_hw, e_hw = np.add.reduceat(doc & 3 > 0, first, dtype=np.int64), np.add.reduceat(doc & 3 == DELETED, first, dtype=np.int64)
@@ -363,7 +369,10 @@ def _meet(table):
                     names, of = np.unique(origin[at], return_inverse=True)
                     blob = packed(word=words[y[one] - t.rare], n=n[one], c_hw=c_hw[one], e_hw=e_hw[one], c_h=c_h[one], e_h=e_h[one], doc=doc[at], origin=of, names=names)
                     out.append(_frame(ONWARD, int(_part(words[y[one[:1]] - t.rare], t.parts)[0]), [blob]))
-        return pd.concat(out)
+        made = pd.concat(out)
+        del out, aside, blobs
+        release()
+        return made
 
     return run
 
@@ -450,6 +459,8 @@ def _sum_up(table, model):
                     few = one[rare[one]]
                     rows.append((int(x["names"][x["origin"][one[0]]]), PAIRS, sums(x["doc"][one], score[one], x["doc"][few], count[few])))
             yield pd.DataFrame(rows, columns=["origin", "kind", "payload"]).astype({"origin": "int64", "kind": "int32"})
+            rows.clear()
+        release()
 
     return run
 
