@@ -226,3 +226,22 @@ def test_stream_monitor(spark, sf, tmp_path):
     q.awaitTermination(120)
     batch = monitor.class_balance(spark.read.parquet(f"{sf}/events.parquet"), "ts", "event_type")
     assert sorted(map(tuple, spark.table("balance").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_cli_runs_ranks_and_resumes(spark, tmp_path):
+    from unskew import cli
+
+    (tmp_path / "Heart").mkdir()
+    rng = np.random.default_rng(4)
+    for name in ("one", "two"):
+        x = np.r_[rng.normal(0, 1, (40, 2)), rng.normal(2, 1, (12, 2))]
+        (tmp_path / f"Heart/{name}.csv").write_text("a,b,Class\n" + "".join(f"{p},{q},{int(i >= 40)}\n" for i, (p, q) in enumerate(x)))
+    out = str(tmp_path / "r.parquet")
+    args = cli.parser().parse_args(["run", "--root", str(tmp_path), "--models", "SPE,mdo", "--out", out, "--n-folds", "3"])
+    first = {(r["Model"], r["Dataset"]): r["Runtime_mean"] for r in cli.run(spark, args).collect()}
+    assert len(first) == 4
+    args.models = ["SPE", "mdo", "glos"]
+    second = {(r["Model"], r["Dataset"]): r["Runtime_mean"] for r in cli.run(spark, args).collect()}
+    assert len(second) == 6 and all(second[k] == v for k, v in first.items())
+    ranked = cli.rank(spark, [out]).where("Group = 'Overall'").collect()
+    assert {r["Model"] for r in ranked} == {"SPE", "mdo", "glos"} and sum(r["F1_rank"] for r in ranked) == 6

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dempster
 from ..functions import vectors as V
-from ..operators import knn, metrics, report, resamplers, sampling
+from ..operators import knn, metrics, neighbourhood, report, resamplers, sampling
 from ..streaming import monitor
 from . import benchmark
 
@@ -235,6 +235,142 @@ def between_class_scatter(spark, sf_dir):
     return rounded(means.join(whole, "i").groupBy("i").agg(F.sum(F.col("n") * F.pow(F.col("mu") - F.col("all_mu"), 2)).alias("scatter")))
 
 
+SAME = "CASE WHEN nl = label THEN 1.0 ELSE 0.0 END"
+
+
+@query(f"""
+    WITH {POINTS}, {PAIRS}, {nearest_sql(5)}, s AS (SELECT id, label, avg({SAME}) AS s FROM near GROUP BY 1, 2)
+    SELECT label, CAST(sum((s >= 0.8)::INT) AS BIGINT) AS safe, CAST(sum((s < 0.8 AND s >= 0.4)::INT) AS BIGINT) AS border, CAST(sum((s < 0.4 AND s > 0)::INT) AS BIGINT) AS rare, CAST(sum((s = 0)::INT) AS BIGINT) AS outlier FROM s GROUP BY label""")
+def region_types(spark, sf_dir):
+    return neighbourhood.region_types(knn.neighbours(points(spark, sf_dir), 5))
+
+
+SIMILARITY = """mix AS (SELECT label AS a, nl AS b, count(*) AS n FROM near GROUP BY 1, 2), share AS (SELECT a, b, n / sum(n) OVER (PARTITION BY a) AS p FROM mix),
+    sim AS (SELECT x.a, y.b, CASE WHEN x.a = y.b THEN 1.0 ELSE (coalesce(p.p, 0) + coalesce(q.p, 0)) / 2 END AS similarity
+            FROM (SELECT DISTINCT a FROM share) x CROSS JOIN (SELECT DISTINCT a AS b FROM share) y LEFT JOIN share p ON p.a = x.a AND p.b = y.b LEFT JOIN share q ON q.a = y.b AND q.b = x.a),
+    safety AS (SELECT id, label, avg(similarity) AS safety FROM near JOIN sim ON label = a AND nl = b GROUP BY 1, 2)"""
+
+
+@query(f"WITH {POINTS}, {PAIRS}, {nearest_sql(5)}, {SIMILARITY} SELECT a, b, round(similarity, 6) AS similarity FROM sim")
+def class_similarity(spark, sf_dir):
+    return rounded(neighbourhood.class_similarity(knn.neighbours(points(spark, sf_dir), 5)))
+
+
+@query(f"WITH {POINTS}, {PAIRS}, {nearest_sql(5)}, {SIMILARITY} SELECT id, label, round(safety, 6) AS safety FROM safety")
+def similarity_safety(spark, sf_dir):
+    return rounded(neighbourhood.safety(knn.neighbours(points(spark, sf_dir), 5)))
+
+
+@query(f"""
+    WITH {POINTS}, {PAIRS}, {nearest_sql(5)}, {SIMILARITY}, g AS (SELECT CAST(round_even(avg(n), 0) AS BIGINT) AS goal FROM (SELECT count(*) AS n FROM points GROUP BY label))
+    SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY round(safety, 9) DESC, id) AS r FROM safety) WHERE r <= (SELECT goal FROM g)""")
+def soup_undersample(spark, sf_dir):
+    """To the mean class size by safety, scores to nine places."""
+    rows = points(spark, sf_dir)
+    goal = sampling.class_targets(rows).first()["mean_target"]
+    scores = rounded(neighbourhood.safety(knn.neighbours(rows, 5)), 9)
+    return neighbourhood.drop_least_safe(rows, scores, goal).select("id", "label")
+
+
+@query(f"""
+    WITH {POINTS}, {PAIRS}, {nearest_sql(5)}, {SIMILARITY}, g AS (SELECT CAST(round_even(avg(n), 0) AS BIGINT) AS goal FROM (SELECT count(*) AS n FROM points GROUP BY label)),
+    r AS (SELECT id, label, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY round(safety, 9) DESC, id) - 1 AS r FROM safety)
+    SELECT label, id, copies FROM (SELECT label, id, CAST(greatest(goal - n, 0) // n + CASE WHEN r < greatest(goal - n, 0) % n THEN 1 ELSE 0 END AS BIGINT) AS copies FROM r, g) WHERE copies > 0""")
+def soup_replicate(spark, sf_dir):
+    rows = points(spark, sf_dir)
+    goal = sampling.class_targets(rows).first()["mean_target"]
+    return neighbourhood.repeat_safest(rows, rounded(neighbourhood.safety(knn.neighbours(rows, 5)), 9), goal)
+
+
+@query(f"""
+    WITH {POINTS}, {PAIRS}, {nearest_sql(5)}, s AS (SELECT id, label, avg({SAME}) AS safe FROM near GROUP BY 1, 2), g AS (SELECT CAST(round_even(avg(n), 0) AS BIGINT) AS goal FROM (SELECT count(*) AS n FROM points GROUP BY label))
+    SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY ln(greatest({V.uniform_sql(42, 'id')}, 1e-12)) / (1 - safe + 1e-6), id) AS r FROM s) WHERE r <= (SELECT goal FROM g)""")
+def roulette_delete(spark, sf_dir):
+    rows = points(spark, sf_dir)
+    return neighbourhood.roulette_delete(rows, knn.safe_level(rows, 5), sampling.class_targets(rows).first()["mean_target"])
+
+
+DID = """did AS (SELECT id, label, coalesce(avg(CASE WHEN nl <> label THEN d END), 0) / greatest(coalesce(avg(CASE WHEN nl = label THEN d END), 0), 1e-12) AS did FROM near GROUP BY 1, 2)"""
+
+
+@query(f"WITH {POINTS}, {PAIRS}, {nearest_sql(5)}, {DID} SELECT id, label, round(ln(greatest(did, 1e-12)), 6) AS log_did, did < avg(did) OVER (PARTITION BY label) AS hard FROM did")
+def did_scores(spark, sf_dir):
+    """As logs, as rows without neighbours of their class have very large scores."""
+    got = neighbourhood.did(knn.neighbours(points(spark, sf_dir), 5))
+    return rounded(got.select("id", "label", F.ln(F.greatest("did", F.lit(1e-12))).alias("log_did"), "hard"))
+
+
+@query(f"""
+    WITH w AS (SELECT o_orderkey AS id, o_orderpriority, floor(o_totalprice) AS weight FROM orders),
+    s AS (SELECT *, weight / sum(weight) OVER (PARTITION BY o_orderpriority) * 5000 AS share FROM w)
+    SELECT o_orderpriority, id, CAST(floor(share) + CASE WHEN row_number() OVER (PARTITION BY o_orderpriority ORDER BY share - floor(share) DESC, id) <= 5000 - sum(floor(share)) OVER (PARTITION BY o_orderpriority) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM s""")
+def largest_remainder(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority", F.floor("o_totalprice").cast("double").alias("weight"))
+    return neighbourhood.largest_remainder(rows, 5000, "id", "weight", "o_orderpriority")
+
+
+@query("""
+    WITH b AS (SELECT quantile_cont(o_totalprice, 0.05) AS lo, quantile_cont(o_totalprice, 0.95) AS hi FROM orders)
+    SELECT o_orderkey, round((least(greatest(o_totalprice, lo), hi) - lo) / (hi - lo), 6) AS scaled FROM orders, b""")
+def density_clip(spark, sf_dir):
+    return rounded(neighbourhood.density_clipped(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice").select("o_orderkey", "scaled"))
+
+
+CENTRES = """c AS (SELECT label, list(m ORDER BY i) AS centre FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(range(1, len(f) + 1)) AS i, unnest(f) AS x FROM points) GROUP BY 1, 2) GROUP BY label),
+    e AS (SELECT p.id, p.label, c.label AS k, list_sum(list_transform(list_zip(p.f, c.centre), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2 FROM points p CROSS JOIN c)"""
+
+
+@query(f"""
+    WITH {POINTS}, {CENTRES}, s AS (SELECT *, exp(min(d2) OVER (PARTITION BY id) - d2) AS x, row_number() OVER (PARTITION BY id ORDER BY d2, k) AS r FROM e)
+    SELECT id, label AS y, CAST(max(CASE WHEN r = 1 THEN k END) AS INTEGER) AS yhat, round(max(CASE WHEN r = 1 THEN x END) / sum(x), 6) AS top FROM s GROUP BY 1, 2""")
+def nearest_centroid(spark, sf_dir):
+    got = neighbourhood.nearest_centroid(points(spark, sf_dir))
+    return rounded(got.select("id", "y", "yhat", F.array_max("proba").alias("top")))
+
+
+@query(f"""
+    WITH {POINTS}, {CENTRES}, w AS (SELECT id, label, 1 / greatest(d2, 1e-24) AS w FROM e), u AS (SELECT id, label, w / sum(w) OVER (PARTITION BY id) AS u FROM w),
+    h AS (SELECT id, label, -sum(u * ln(greatest(u, 1e-12))) AS entropy FROM u GROUP BY 1, 2)
+    SELECT id, label, round(entropy, 6) AS entropy, entropy > (SELECT avg(entropy) + stddev_pop(entropy) FROM h) AS overlap FROM h""")
+def membership_entropy(spark, sf_dir):
+    return rounded(neighbourhood.membership_entropy(points(spark, sf_dir)))
+
+
+@query(f"""
+    WITH {POINTS}, {PAIRS}, own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nb) AS r FROM pairs WHERE label = 2 AND nl = 2) WHERE r <= 3),
+    m AS (SELECT id, nb, list_transform(list_zip(f, g), lambda z: z[1] + 0.5 * (z[2] - z[1])) AS mid FROM own),
+    n AS (SELECT m.id, m.nb, p.label, row_number() OVER (PARTITION BY m.id, m.nb ORDER BY sqrt(list_sum(list_transform(list_zip(m.mid, p.f), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), p.id) AS r FROM m CROSS JOIN points p)
+    SELECT id, nb AS neighbour, round(avg(CASE WHEN label = 2 THEN 1.0 ELSE 0.0 END), 6) AS pure FROM n WHERE r <= 3 GROUP BY 1, 2""")
+def midpoint_weights(spark, sf_dir):
+    return rounded(neighbourhood.midpoint_weights(points(spark, sf_dir), 2, 3))
+
+
+@query(f"""
+    WITH {POINTS}, {PAIRS}, {nearest_sql(5, 'mixed', 'label = 2')}, {nearest_sql(5, 'own', 'label = 2 AND nl = 2')}, {nearest_sql(1, 'far', 'label = 2 AND nl <> 2')},
+    s AS (SELECT id, avg({SAME}) AS support FROM mixed GROUP BY id), d AS (SELECT id, 1 / greatest(avg(d), 1e-12) AS density FROM own GROUP BY id), i AS (SELECT id, min(d) AS isolation FROM far GROUP BY id),
+    j AS (SELECT * FROM s JOIN d USING (id) JOIN i USING (id))
+    SELECT id, round(0.4 * support + 0.3 * (density - min(density) OVER ()) / (max(density) OVER () - min(density) OVER ()) + 0.3 * (isolation - min(isolation) OVER ()) / (max(isolation) OVER () - min(isolation) OVER ()), 6) AS trust FROM j""")
+def qc_trust(spark, sf_dir):
+    return rounded(neighbourhood.trust(points(spark, sf_dir), 2, 5))
+
+
+@query(f"""
+    WITH {POINTS}, {PAIRS}, {nearest_sql(5, where='label IN (0, 2) AND nl IN (0, 2)')}, o AS (SELECT id, label, sum((nl <> label)::INT) AS o FROM near GROUP BY 1, 2)
+    SELECT id, label FROM o WHERE o >= 3 AND o < 5""")
+def border_rows(spark, sf_dir):
+    return neighbourhood.border_rows(points(spark, sf_dir), 2, 0)
+
+
+@query(f"""
+    WITH {POINTS}, {CENTRES}, s AS (SELECT id, label, k, exp(min(d2) OVER (PARTITION BY id) - d2) AS x FROM e), p AS (SELECT id, label, k, x / sum(x) OVER (PARTITION BY id) AS p FROM s),
+    f AS (SELECT id, k AS class, 0.8 * p AS single, 0.2 / 3 AS rest FROM p)
+    SELECT id, class, round(single + rest, 6) AS probability FROM f""")
+def mass_from_probability(spark, sf_dir):
+    """Probabilities discounted by 0.2 to the whole frame, and back."""
+    rows = neighbourhood.nearest_centroid(points(spark, sf_dir))
+    return rounded(dempster.pignistic(dempster.from_probability(rows, "proba", 0.8)))
+
+
 # -- resampling and learners -------------------------------------------------------------------------------------------
 
 
