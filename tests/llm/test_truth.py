@@ -115,6 +115,21 @@ def test_html_main_text():
     assert html.main_text(PAGE) == want
 
 
+WORDS = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua."
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<nav><a href=1>Home</a></nav><main><article><header><h1>Title</h1><p class='byline'>By Jane Doe</p></header><p>$</p><h2>Sub</h2><ul><li>First item</li><li><a href=x>Linked item</a></li></ul><pre>x = 1</pre><p>Yes.</p></article></main><aside><p>$</p></aside><section class='comments'><p>$</p></section>", ["Title", "$", "Sub", "First item", "Linked item", "x = 1", "Yes."]),
+    ("<div id=top><a href=1>Home</a>|<a href=2>About</a></div><div class='col-main'><h1>Title</h1><div>$</div><div>Short text.</div><div>$</div></div><div class='col-side'><div><a href=1>Link</a></div></div><div id=foot>Contact us | Privacy policy</div>", ["Title", "$", "Short text.", "$"]),
+    ("<table><tr><td><a href=1>Home</a></td><td><h2>Title</h2><p>$</p><p>Small.</p><p>$</p></td></tr></table><p><font>Copyright 2001 Foo. All rights reserved.</font></p>", ["Title", "$", "Small.", "$"]),
+    ("<form id=page><div class=content><h1>T</h1><p>$</p><p>$ $</p></div><div class=footer><p>$</p></div></form>", ["T", "$", "$ $"]),
+    ("<div role='dialog'><p>$</p></div><div role=main><h1>A</h1><p>$</p></div><div class='ad-slot'><p>$</p></div><p hidden>$</p><div style='display: none'>$</div><noscript>$</noscript>", ["A", "$"]),
+    ("<section><h1>Title</h1><p>$</p><section><h2>S</h2><p>Short words here</p><p>$</p></section></section><div class='pagination'><a>1</a></div>", ["Title", "$", "S", "Short words here", "$"]),
+])
+def test_html_of_many_shapes(page, want):
+    assert html.main_text(f"<html><body>{page.replace('$', WORDS)}</body></html>").split("\n\n") == [w.replace("$", WORDS) for w in want]
+
+
 def test_html_of_the_table(spark, sf):
     import html as h
     import re

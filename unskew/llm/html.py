@@ -45,8 +45,8 @@ WORDS_AWAY = re.compile(
 WORDS_MAIN = re.compile(r"(?<![a-z])(?:article|content|main|post|entry|story|body|text)(?![a-z])")
 PHRASES_AWAY = re.compile(r"©|\(c\) \d{4}|all rights reserved|we use cookies|cookie policy|privacy policy|terms of (?:use|service)|subscribe to|sign up for|log in|follow us|share this", re.I)
 #: Weights of the classifier, in log odds for content, and of the edges.
-BIAS, LENGTH, SENTENCE, LINKS, PARAGRAPH, HEADING, ITEM, IN_MAIN, OUT, PHRASE = -2.6, 0.55, 0.8, -4.0, 0.6, 0.5, -0.6, 3.2, -7.0, -1.5
-NEAR, SAME_PARENT = 0.8, 0.5
+BIAS, LENGTH, SENTENCE, LINKS, PARAGRAPH, HEADING, ITEM, IN_MAIN, OUT, PHRASE = -2.0, 0.65, 0.8, -4.0, 0.6, 0.5, -0.6, 3.0, -8.0, -3.0
+NEAR, SAME_PARENT, UNDER_HEADING, LINKS_IN_MAIN = 0.8, 0.5, 2.0, 0.4
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -160,15 +160,20 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
+def _heading(b: Block) -> bool:
+    inner = b.chain[-1].tag if b.chain else ""
+    return inner[:1] == "h" and inner[1:].isdigit()
+
+
 def odds(found: list[Block]) -> list[float]:
     """Log odds of each block for being content."""
     total = sum(len(b.text) for b in found) or 1
     out = []
     for b in found:
         size, inner = len(b.text), b.chain[-1].tag if b.chain else ""
-        z = BIAS + LENGTH * min(math.log1p(size), 6.5) + LINKS * b.linked / size
+        z = BIAS + LENGTH * min(math.log1p(size), 6.5)
         z += SENTENCE * (b.text[-1] in ".!?…\"”»:;") + PARAGRAPH * (inner in ("p", "blockquote", "pre", "figcaption"))
-        z += HEADING * (inner[:1] == "h" and inner[1:].isdigit()) + ITEM * (inner in ("li", "td", "th", "dd", "dt"))
+        z += HEADING * _heading(b) + ITEM * (inner in ("li", "td", "th", "dd", "dt"))
         main = out_of = False
         for e in b.chain:
             # what holds most of the page's text is no side part, whatever its name
@@ -178,6 +183,7 @@ def odds(found: list[Block]) -> list[float]:
                 out_of = True
             main |= e.main
         z += OUT if out_of else IN_MAIN if main else 0.0
+        z += LINKS * b.linked / size * (LINKS_IN_MAIN if main and not out_of else 1.0)
         out.append(z + PHRASE * (size < 300 and bool(PHRASES_AWAY.search(b.text))))
     return out
 
@@ -193,7 +199,9 @@ def edges(found: list[Block]) -> list[tuple[int, int, float]]:
                 if x is not y:
                     break
                 same += 1
-            out.append((j - 1, j, NEAR / (1 + max(0, len(a) + len(b.chain) - 2 * same - 2))))
+            # a heading goes with what it stands over
+            near = UNDER_HEADING if _heading(found[j - 1]) and not _heading(b) else NEAR
+            out.append((j - 1, j, near / (1 + max(0, len(a) + len(b.chain) - 2 * same - 2))))
         parent = id(b.chain[-2]) if len(b.chain) > 1 else 0
         if parent in last and last[parent] < j - 1:
             out.append((last[parent], j, SAME_PARENT))
