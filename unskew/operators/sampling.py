@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.vectors import interpolate, uniform
 from .knn import neighbours
 
+#: Into how many slices a class is cut to place its rows.
+SLICES = 1024
+
 
 def class_counts(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.groupBy(label).agg(F.count("*").alias("n"))
@@ -39,14 +42,28 @@ def scale(rows: DataFrame, fit_on: Column, features: str = "features", keys: tup
     return joined.withColumn(features, scaled).drop("__stats")
 
 
-def hash_order(seed: int, *partition: str, id_col: str = "id") -> Column:
-    """Position of a row in its class by hash."""
-    return F.row_number().over(Window.partitionBy(*partition).orderBy(uniform(seed, id_col), id_col))
+def with_place(rows: DataFrame, seed: int, *partition: str, id_col: str = "id", out: str = "place", slices: int = SLICES) -> DataFrame:
+    """rows with their place (from 1) in each partition by hash.
+
+    A partition may hold a third of all rows, so no window gathers it: the hash, which is even, cuts it into slices; rows
+    are placed within their slice, and a count of the slices before it, of bounded size, is added.
+    """
+    cut = rows.withColumn("__u", uniform(seed, id_col)).withColumn("__slice", F.floor(F.col("__u") * slices).cast("int"))
+    sizes = cut.groupBy(*partition, "__slice").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*partition).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sizes.select(*[F.col(c).alias(f"__key_{c}") for c in partition], F.col("__slice").alias("__cut"), before.alias("__before"))
+    own = F.row_number().over(Window.partitionBy(*partition, "__slice").orderBy("__u", id_col))
+    same = F.col("__slice") == F.col("__cut")
+    for c in partition:
+        same = same & F.col(c).eqNullSafe(F.col(f"__key_{c}"))
+    placed = cut.withColumn("__own", own).join(F.broadcast(before), same)
+    return placed.withColumn(out, F.col("__own") + F.col("__before")).select(*rows.columns, out)
 
 
 def stratified_folds(rows: DataFrame, n: int = 5, seed: int = 42, label: str = "label", id_col: str = "id") -> DataFrame:
     """rows with fold (from 1): each class is dealt evenly."""
-    return rows.withColumn("fold", ((hash_order(seed, label, id_col=id_col) - 1) % n + 1).cast("int"))
+    placed = with_place(rows, seed, label, id_col=id_col, out="__place")
+    return placed.withColumn("fold", ((F.col("__place") - 1) % n + 1).cast("int")).drop("__place")
 
 
 def stratified_holdout(rows: DataFrame, share: float = 0.3, seed: int = 42, label: str = "label", id_col: str = "id") -> DataFrame:
@@ -56,7 +73,7 @@ def stratified_holdout(rows: DataFrame, share: float = 0.3, seed: int = 42, labe
     place = F.row_number().over(Window.orderBy(F.desc(F.col("want") - F.col("low")), label))
     spare = F.ceil(F.col("total") * share) - F.sum("low").over(Window.partitionBy())
     counts = counts.withColumn("test", F.col("low") + (place <= spare).cast("int")).select(label, "test")
-    dealt = rows.withColumn("__r", hash_order(seed, label, id_col=id_col)).join(F.broadcast(counts), label)
+    dealt = with_place(rows, seed, label, id_col=id_col, out="__r").join(F.broadcast(counts), label)
     return dealt.withColumn("split", F.when(F.col("__r") <= F.col("test"), "test").otherwise("train")).drop("__r", "test")
 
 
@@ -65,20 +82,20 @@ def imbalance_ratio(rows: DataFrame, ir: int, seed: int = 42, label: str = "labe
     roles = split_classes(rows, label)
     most = roles.agg(F.max("n").alias("most"))
     want = roles.crossJoin(F.broadcast(most)).select(label, F.when(F.col("role") == "majority", F.col("n")).otherwise(F.greatest(F.lit(1), F.floor(F.col("most") / ir))).alias("want"))
-    return rows.withColumn("__r", hash_order(seed, label, id_col=id_col)).join(F.broadcast(want), label).where("__r <= want").drop("__r", "want")
+    return with_place(rows, seed, label, id_col=id_col, out="__r").join(F.broadcast(want), label).where("__r <= want").drop("__r", "want")
 
 
 def random_balance(rows: DataFrame, seed: int = 42, label: str = "label", id_col: str = "id") -> DataFrame:
     """As many rows of each class as the smallest has."""
     least = class_counts(rows, label).agg(F.min("n").alias("least"))
-    return rows.withColumn("__r", hash_order(seed, label, id_col=id_col)).crossJoin(F.broadcast(least)).where("__r <= least").drop("__r", "least")
+    return with_place(rows, seed, label, id_col=id_col, out="__r").crossJoin(F.broadcast(least)).where("__r <= least").drop("__r", "least")
 
 
 def stratified_cap(rows: DataFrame, cap: int, seed: int = 42, label: str = "label", id_col: str = "id") -> DataFrame:
     """About cap rows: round(cap * n_c / n) of each class (half to even), one at least."""
     counts = class_counts(rows, label).withColumn("total", F.sum("n").over(Window.partitionBy()))
     want = counts.select(label, F.when(F.col("total") <= cap, F.col("n")).otherwise(F.greatest(F.lit(1), F.bround(F.lit(cap) * F.col("n") / F.col("total")))).alias("want"))
-    return rows.withColumn("__r", hash_order(seed, label, id_col=id_col)).join(F.broadcast(want), label).where("__r <= want").drop("__r", "want")
+    return with_place(rows, seed, label, id_col=id_col, out="__r").join(F.broadcast(want), label).where("__r <= want").drop("__r", "want")
 
 
 def weighted_without_replacement(rows: DataFrame, weight: Column, n: int, seed: int, *partition: str, id_col: str = "id") -> DataFrame:
@@ -97,9 +114,11 @@ def self_paced(rows: DataFrame, hardness: str, round_: int, rounds: int, bins: i
 
     alpha = math.tan(math.pi * min(round_, rounds - 1) / (2 * max(1, rounds - 1)))
     least = class_counts(rows, label).agg(F.min("n").alias("least"))
-    each = Window.partitionBy(label)
-    low, high = F.min(hardness).over(each), F.max(hardness).over(each)
-    binned = rows.withColumn("__bin", F.when(high > low, F.least(F.floor((F.col(hardness) - low) / (high - low) * bins), F.lit(bins - 1))).otherwise(0))
+    each = Window.partitionBy(label)  # over bins, not rows
+    ends = rows.groupBy(label).agg(F.min(hardness).alias("__low"), F.max(hardness).alias("__high"))
+    low, high = F.col("__low"), F.col("__high")
+    at = F.when(high > low, F.least(F.floor((F.col(hardness) - low) / (high - low) * bins), F.lit(bins - 1))).otherwise(0)
+    binned = rows.join(F.broadcast(ends), label).withColumn("__bin", at).drop("__low", "__high")
     stats = binned.groupBy(label, "__bin").agg(F.avg(hardness).alias("h"), F.count("*").alias("have")).crossJoin(F.broadcast(least))
     stats = stats.withColumn("w", 1 / (F.col("h") + alpha + 1e-12))
     want = F.floor(F.col("least") * F.col("w") / F.sum("w").over(each))
@@ -108,7 +127,7 @@ def self_paced(rows: DataFrame, hardness: str, round_: int, rounds: int, bins: i
     spare = stats.where("have > take").select(label, "__bin", "w", "lack", F.explode(F.sequence(F.lit(1), F.least(F.col("have") - F.col("take"), F.greatest("lack", F.lit(1))).cast("int"))).alias("turn"))
     more = spare.withColumn("p", F.row_number().over(Window.partitionBy(label).orderBy("turn", F.desc("w"), "__bin"))).where("p <= lack").groupBy(label, "__bin").agg(F.count("*").alias("more"))
     take = stats.join(more, [label, "__bin"], "left").select(label, "__bin", (F.col("take") + F.coalesce("more", F.lit(0))).alias("take"))
-    dealt = binned.withColumn("__r", hash_order(seed + round_, label, "__bin", id_col=id_col))
+    dealt = with_place(binned, seed + round_, label, "__bin", id_col=id_col, out="__r")
     return dealt.join(F.broadcast(take), [label, "__bin"]).where("__r <= take").drop("__r", "__bin", "take")
 
 
@@ -121,7 +140,7 @@ def synthetic_slots(counts: DataFrame, label: str = "label") -> DataFrame:
 def smote(rows: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """rows (id, label, features) with synthetic ones up to the largest class: a hashed seed row, one of its k nearest of
     the class, a hashed gap; classes of one row give copies. Synthetic ids are negative."""
-    numbered = rows.select("id", "label", "features", (F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1).alias("place"))
+    numbered = with_place(rows.select("id", "label", "features"), seed, "label").withColumn("place", (F.col("place") - 1).cast("int"))
     slots = synthetic_slots(class_counts(rows))
     drawn = slots.withColumn("place", F.least(F.floor(uniform(seed, "label", "slot", F.lit("seed")) * F.col("n")), F.col("n") - 1).cast("int"))
     drawn = drawn.join(numbered, ["label", "place"])
@@ -143,8 +162,8 @@ def up_down(rows: DataFrame, k: int = 7, seed: int = 42) -> DataFrame:
     role = split_classes(rows).select("label", "role")
     inverse = 1 / F.greatest("rate", F.lit(1e-6))
     marked = rows.join(rate.select("id", "rate"), "id").join(F.broadcast(role), "label")
-    most = F.max(inverse).over(Window.partitionBy("label"))
-    marked = marked.withColumn("p", F.when(F.col("role") == "majority", inverse / most).otherwise(0.0))
-    marked = marked.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("p", "id")))
-    kept = marked.where((uniform(seed, "id") >= F.col("p")) | (F.col("place") == 1)).select("id", "label", "features")
+    # one row a class: its largest inverse rate, and the row of the least one, which stays
+    most = marked.groupBy("label").agg(F.max(inverse).alias("most"), F.min_by("id", F.struct(inverse, "id")).alias("safest"))
+    marked = marked.join(F.broadcast(most), "label").withColumn("p", F.when(F.col("role") == "majority", inverse / F.col("most")).otherwise(0.0))
+    kept = marked.where((uniform(seed, "id") >= F.col("p")) | (F.col("id") == F.col("safest"))).select("id", "label", "features")
     return smote(kept, k, seed)

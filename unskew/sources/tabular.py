@@ -55,9 +55,9 @@ def catalog(spark: SparkSession, datasets: list[Dataset]) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, bearing: bool = False) -> DataFrame:
-    """id, features array<double>, label: the last column (bearing: the column `label`, features are feat_* columns).
+    """features array<double>, label: the last column (bearing: the column `label`, features are feat_* columns).
 
-    Ids number the rows by content, so that they don't depend on how the file is split. A cell that is no number makes
+    Ids (numbered()) come from content, so that they don't depend on how the file is split. A cell that is no number makes
     the read fail when it is run, as a cast under ANSI rules.
     """
     raw = spark.read.csv(path, header=True, inferSchema=True)
@@ -67,10 +67,11 @@ def read_csv(spark: SparkSession, path: str, bearing: bool = False) -> DataFrame
 
 
 def numbered(rows: DataFrame, *keys: str) -> DataFrame:
-    """Adds id: the place of the row by content within keys."""
+    """Adds id: a hash of the row's content and of its number among equal rows within keys."""
     from pyspark.sql import Window
 
-    return rows.withColumn("id", F.row_number().over(Window.partitionBy(*keys).orderBy("label", "features")).cast("long"))
+    copy = F.row_number().over(Window.partitionBy(*keys, "label", "features").orderBy(F.lit(0)))
+    return rows.withColumn("__copy", copy).withColumn("id", F.xxhash64(*keys, "label", "features", "__copy")).drop("__copy")
 
 
 def load_folds(spark: SparkSession, data: Dataset, folds: int = 5, seed: int = 42) -> DataFrame:
