@@ -245,3 +245,35 @@ def test_cli_runs_ranks_and_resumes(spark, tmp_path):
     assert len(second) == 6 and all(second[k] == v for k, v in first.items())
     ranked = cli.rank(spark, [out]).where("Group = 'Overall'").collect()
     assert {r["Model"] for r in ranked} == {"SPE", "mdo", "glos"} and sum(r["F1_rank"] for r in ranked) == 6
+
+
+def test_plan_generators_stay_in_their_regions(rows):
+    from unskew.operators import neighbourhood
+
+    for r in neighbourhood.sphere_oversample(rows, 2, 40, 3).collect():
+        z, reach = np.array(r["features"]), [np.sort(np.linalg.norm(X[Y != 2] - x, axis=1))[2] for x in X[Y == 2]]
+        assert any(np.linalg.norm(z - x) <= d + 1e-9 for x, d in zip(X[Y == 2], reach, strict=True))
+    made = neighbourhood.orem_generate(rows, 2, 25).collect()
+    assert len(made) == 25 and len({r["id"] for r in made}) == 25
+    for r in made:
+        z = np.array(r["features"])
+        assert any((np.minimum(x, o) - 1e-9 <= z).all() and (z <= np.maximum(x, o) + 1e-9).all() for x in X[Y == 2] for o in X)
+    sets = {}
+    for r in neighbourhood.balanced_sets(rows).collect():
+        sets.setdefault(r["set"], []).append(r["label"])
+    assert {k: [v.count(c) for c in range(3)] for k, v in sets.items()} == {0: [90, 30, 10], 1: [30, 30, 10], 2: [10, 10, 10]}
+
+
+def test_workbook(spark, tmp_path):
+    import zipfile
+    from xml.etree import ElementTree
+
+    from unskew.sources import xlsx
+
+    xlsx.write(str(tmp_path / "r.xlsx"), {"Means & more": spark.createDataFrame([("a<b", 1.5, None), ("c", float("nan"), True)], "m string, x double, b boolean"), "Notes": spark.range(2)})
+    with zipfile.ZipFile(tmp_path / "r.xlsx") as z:
+        for n in z.namelist():
+            ElementTree.fromstring(z.read(n))
+        text = z.read("xl/worksheets/sheet1.xml").decode()
+        assert "a&lt;b" in text and "<v>1.5</v>" in text and "nan" not in text and len(z.namelist()) == 6
+    assert xlsx._name(0) == "A" and xlsx._name(27) == "AB"

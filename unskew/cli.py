@@ -11,7 +11,7 @@ from .operators import report
 from .operators.learners import LEARNERS
 from .plans import benchmark
 from .session import ship
-from .sources import config, tabular
+from .sources import baselines, config, tabular, xlsx
 
 METRICS = {"F1_mean": "F1", "GMean_mean": "GMean", "AUC_mean": "AUC", "AUPRC_mean": "AUPRC", "Runtime_mean": "Runtime"}
 
@@ -39,7 +39,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--out")
     p = sub.add_parser("rank")
     p.add_argument("--source", required=True, nargs="+")
-    p.add_argument("--out")
+    p.add_argument("--out", help="a folder for CSV, or a file name that ends in .xlsx")
+    p.add_argument("--baselines", action="store_true", help="show the means beside published ones")
     p = sub.add_parser("build-ir")
     p.add_argument("--csv", required=True)
     p.add_argument("--irs", type=lambda t: [int(x) for x in _names(t)], default=[5, 10, 20, 30])
@@ -105,7 +106,13 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "rank":
         ranked = rank(spark, args.source)
         ranked.show(200, False)
-        if args.out:
+        if args.baselines:
+            means = ranked.where("Group = 'Overall'").select("Model", "F1", "GMean", "AUC", "AUPRC")
+            report.with_baselines(means, baselines.baselines(spark)).orderBy(F.desc("GMean")).show(200, False)
+        if args.out and args.out.endswith(".xlsx"):
+            ranks = ["Group", "Model", *[c for c in ranked.columns if "ank" in c]]
+            xlsx.write(args.out, {"Mean Values": ranked.select("Group", "Model", "n_datasets", *report.METRICS), "Mean Ranking": ranked.select(*ranks)})
+        elif args.out:
             ranked.write.mode("overwrite").option("header", True).csv(args.out)
     else:
         rows = tabular.numbered(tabular.read_csv(spark, args.csv))

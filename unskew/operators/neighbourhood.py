@@ -145,3 +145,78 @@ def border_rows(rows: DataFrame, label: int, against: int, k: int = 5, spread: i
     both = rows.where(F.col("label").isin(label, against))
     other = neighbours(both, k).groupBy("id", "label").agg(F.sum((F.col("neighbour_label") != F.col("label")).cast("long")).alias("o"))
     return other.where((F.col("o") >= -(-k // spread)) & (F.col("o") < k)).select("id", "label")
+
+
+def class_covariance(rows: DataFrame, dims: int) -> DataFrame:
+    """label, i, j, cov: sample covariances of each class for j <= i < dims, in one aggregate."""
+    x = lambda i: F.get("features", F.lit(i))
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.covar_samp(x(i), x(j)).alias("cov")) for i in range(dims) for j in range(i + 1)]
+    return rows.groupBy("label").agg(F.array(*cells).alias("c")).select("label", F.explode("c").alias("e")).select("label", "e.*")
+
+
+def best_split(rows: DataFrame, value: str, label: str, classes: int) -> DataFrame:
+    """threshold, gini: the cut of one feature with the least weighted Gini impurity, from cumulative counts by value.
+
+    Values are counted first, so that the one window runs over distinct values."""
+    counts = [F.sum((F.col(label) == c).cast("long")).alias(f"c{c}") for c in range(classes)]
+    by_value = rows.groupBy(F.col(value).alias("v")).agg(*counts)
+    line = Window.orderBy("v")
+    down, whole = line.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    w = by_value.select("v", F.lead("v").over(line).alias("next"), *[F.sum(f"c{c}").over(down).alias(f"l{c}") for c in range(classes)], *[F.sum(f"c{c}").over(whole).alias(f"t{c}") for c in range(classes)])
+    left = [F.col(f"l{c}").cast("double") for c in range(classes)]
+    right = [F.col(f"t{c}") - F.col(f"l{c}") for c in range(classes)]
+
+    def impurity(parts):
+        n = sum(parts[1:], parts[0])
+        return n - sum((p * p for p in parts[1:]), parts[0] * parts[0]) / n
+
+    total = sum((F.col(f"t{c}") for c in range(1, classes)), F.col("t0"))
+    cut = w.where("next is not null").select(((F.col("v") + F.col("next")) / 2).alias("threshold"), ((impurity(left) + impurity(right)) / total).alias("gini"))
+    return cut.orderBy("gini", "threshold").limit(1)
+
+
+def balanced_sets(rows: DataFrame, seed: int = 42) -> DataFrame:
+    """set, id, label: for each class a set in which no class has more rows than it (larger ones cut by hash)."""
+    from .sampling import class_counts, with_place
+
+    goals = class_counts(rows).select(F.col("label").alias("set"), F.col("n").alias("goal"))
+    return with_place(rows.select("id", "label"), seed, "label").crossJoin(F.broadcast(goals)).where("place <= goal").select("set", "id", "label")
+
+
+def sphere_oversample(rows: DataFrame, label: int, n: int, k: int = 5, seed: int = 42) -> DataFrame:
+    """id (negative), label, features: n points, each even in the ball around a seed row that reaches to its k-th row of other
+    classes; directions are normal draws by Box and Muller from hashes."""
+    from .knn import cross_class_distance
+    from .sampling import with_place
+
+    own = with_place(rows.where(F.col("label") == label), seed, "label")
+    size = own.agg(F.count("*").alias("__size"))
+    radius = cross_class_distance(rows, label, k)
+    slots = rows.sparkSession.range(n).crossJoin(F.broadcast(size)).select(F.col("id").alias("slot"), (F.floor(uniform(seed, F.lit("seed"), "id") * F.col("__size")) + 1).alias("place"))
+    drawn = slots.join(own, "place").join(radius, "id")
+    normal = F.transform("features", lambda x, i: F.sqrt(-2 * F.ln(F.greatest(uniform(seed, F.lit("r"), F.col("slot"), i), F.lit(1e-12)))) * F.cos(2 * F.pi() * uniform(seed, F.lit("a"), F.col("slot"), i)))
+    drawn = drawn.withColumn("way", normal).withColumn("norm", F.sqrt(F.aggregate("way", F.lit(0.0), lambda s, x: s + x * x)))
+    reach = F.coalesce("dist", F.lit(1.0)) * F.pow(uniform(seed, F.lit("reach"), "slot"), 1.0 / F.size("features"))
+    made = F.zip_with("features", "way", lambda x, w: x + w / F.col("norm") * reach)
+    return drawn.select((-1 - F.col("slot")).alias("id"), "label", made.alias("features"))
+
+
+def orem_generate(rows: DataFrame, label: int, n: int, stop: int = 5, reach: int = 50, seed: int = 42) -> DataFrame:
+    """id (negative), label, features: n points of a class, its rows as seeds in turns, each toward a hashed row of its clean
+    region (within `reach` neighbours), dimension by dimension; at most half the way toward other classes."""
+    from ..functions.vectors import interpolate_each
+    from .knn import clean_directions, consecutive_cut
+    from .sampling import with_place
+
+    own = with_place(rows.where(F.col("label") == label), seed, "label")
+    region = clean_directions(consecutive_cut(neighbours(rows, reach, queries=own), stop), rows)
+    ways = region.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour", "neighbour_label"))).alias("ways"))  # reach at most
+    size = own.agg(F.count("*").alias("__size"))
+    slots = rows.sparkSession.range(n).crossJoin(F.broadcast(size)).select(F.col("id").alias("slot"), (F.col("id") % F.col("__size") + 1).alias("place"))
+    drawn = slots.join(own, "place").join(ways, "id", "left")
+    pick = F.get("ways", F.floor(uniform(seed, F.lit("way"), "slot") * F.size("ways")).cast("int"))
+    drawn = drawn.withColumn("w", F.when(F.size("ways") > 0, pick))
+    drawn = drawn.join(rows.select(F.col("id").alias("__to"), F.col("features").alias("to")), F.col("w.neighbour") == F.col("__to"), "left")
+    drawn = drawn.withColumn("gaps", F.transform("features", lambda x, i: uniform(seed, F.lit("gap"), F.col("slot"), i)))
+    made = interpolate_each("features", F.coalesce("to", "features"), "gaps", F.coalesce(F.col("w.neighbour_label") != F.col("label"), F.lit(False)))
+    return drawn.select((-1 - F.col("slot")).alias("id"), "label", made.alias("features"))

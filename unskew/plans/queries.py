@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dempster
 from ..functions import vectors as V
 from ..operators import knn, metrics, neighbourhood, report, resamplers, sampling
+from ..sources import baselines
 from ..streaming import monitor
 from . import benchmark
 
@@ -371,6 +372,56 @@ def mass_from_probability(spark, sf_dir):
     return rounded(dempster.pignistic(dempster.from_probability(rows, "proba", 0.8)))
 
 
+@query(f"""
+    WITH {POINTS}, p AS (SELECT label, f[1] AS x1, f[2] AS x2, f[3] AS x3 FROM points)
+    SELECT label, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(cov, 6) AS cov FROM (
+        SELECT label, unnest([{{'i': 0, 'j': 0, 'cov': covar_samp(x1, x1)}}, {{'i': 1, 'j': 0, 'cov': covar_samp(x2, x1)}}, {{'i': 1, 'j': 1, 'cov': covar_samp(x2, x2)}}, {{'i': 2, 'j': 0, 'cov': covar_samp(x3, x1)}},
+                              {{'i': 2, 'j': 1, 'cov': covar_samp(x3, x2)}}, {{'i': 2, 'j': 2, 'cov': covar_samp(x3, x3)}}], recursive := true) FROM p GROUP BY label)""")
+def class_covariance(spark, sf_dir):
+    return rounded(neighbourhood.class_covariance(points(spark, sf_dir), 3))
+
+
+@query("""
+    WITH r AS (SELECT l_quantity AS v, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y FROM lineitem),
+    g AS (SELECT v, sum((y = 0)::INT)::DOUBLE AS c0, sum((y = 1)::INT)::DOUBLE AS c1, sum((y = 2)::INT)::DOUBLE AS c2 FROM r GROUP BY v),
+    w AS (SELECT v, lead(v) OVER (ORDER BY v) AS nx, sum(c0) OVER d AS l0, sum(c1) OVER d AS l1, sum(c2) OVER d AS l2, sum(c0) OVER () AS t0, sum(c1) OVER () AS t1, sum(c2) OVER () AS t2 FROM g WINDOW d AS (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    k AS (SELECT (v + nx) / 2 AS threshold, ((l0 + l1 + l2) - (l0 * l0 + l1 * l1 + l2 * l2) / (l0 + l1 + l2)
+        + ((t0 - l0) + (t1 - l1) + (t2 - l2)) - ((t0 - l0) ** 2 + (t1 - l1) ** 2 + (t2 - l2) ** 2) / ((t0 - l0) + (t1 - l1) + (t2 - l2))) / (t0 + t1 + t2) AS gini FROM w WHERE nx IS NOT NULL)
+    SELECT threshold, round(gini, 6) AS gini FROM k ORDER BY k.gini, threshold LIMIT 1""")
+def best_split(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select("l_quantity", F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("y"))
+    return rounded(neighbourhood.best_split(rows, "l_quantity", "y", 3))
+
+
+@query(f"""
+    WITH o AS (SELECT o_orderkey, o_orderpriority, {FOLD_SQL} AS r FROM orders), g AS (SELECT o_orderpriority AS "set", count(*) AS goal FROM orders GROUP BY 1)
+    SELECT "set", o_orderpriority AS label, count(*) AS n FROM o, g WHERE r <= goal GROUP BY 1, 2""")
+def balanced_sets(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("label"))
+    return neighbourhood.balanced_sets(rows).groupBy("set", "label").agg(F.count("*").alias("n"))
+
+
+@query()
+def sphere_oversample(spark, sf_dir):
+    return neighbourhood.sphere_oversample(points(spark, sf_dir), 2, 200)
+
+
+@query()
+def orem_generate(spark, sf_dir):
+    return neighbourhood.orem_generate(points(spark, sf_dir), 2, 200)
+
+
+@query("""
+    WITH b AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)
+    SELECT CAST(CASE WHEN hi > lo THEN least(floor((o_totalprice - lo) / (hi - lo) * 20), 19) ELSE 0 END AS INTEGER) AS bin, count(*) AS n FROM orders, b GROUP BY 1""")
+def equal_width_bins(spark, sf_dir):
+    """Twenty bins of one width; the largest value belongs to the last."""
+    rows = read(spark, sf_dir, "orders").select("o_totalprice")
+    ends = rows.agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
+    at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("o_totalprice") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 20), F.lit(19))).otherwise(0)
+    return rows.crossJoin(F.broadcast(ends)).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
 # -- resampling and learners -------------------------------------------------------------------------------------------
 
 
@@ -571,6 +622,20 @@ def renamed_models(spark, sf_dir):
     return report.renamed(report.normalise_models(rows, {"1-URGENT": "top", "2-HIGH": "top"}))
 
 
+MEANS_SQL = ", ".join(f"('{m}', {f}, {g}, {a}, {p})" for m, f, g, a, p in baselines.MEANS)
+
+
+@query(f"""
+    WITH {CELLS}, m AS (SELECT CASE "Model" WHEN 'model_1' THEN 'SPE' ELSE "Model" END AS "Model", avg("F1") AS "F1", avg("GMean") AS "GMean", avg("AUC") AS "AUC", avg("AUPRC") AS "AUPRC" FROM cells GROUP BY 1),
+    b AS (SELECT * FROM (VALUES {MEANS_SQL}) AS t("Model", "F1", "GMean", "AUC", "AUPRC"))
+    SELECT "Model", round("F1", 6) AS "F1", round("GMean", 6) AS "GMean", round("AUC", 6) AS "AUC", round("AUPRC", 6) AS "AUPRC" FROM (SELECT * FROM m UNION ALL SELECT * FROM b WHERE "Model" NOT IN (SELECT "Model" FROM m))""")
+def means_with_baselines(spark, sf_dir):
+    """The cells' means, one model under a published name, with the published means of all others."""
+    cells = report.normalise_models(result_cells(spark, sf_dir), {"model_1": "SPE"})
+    means = cells.groupBy("Model").agg(*[F.avg(m).alias(m) for m in report.METRICS if m != "Runtime"])
+    return rounded(report.with_baselines(means, baselines.baselines(spark)))
+
+
 # -- functions ---------------------------------------------------------------------------------------------------------
 
 
