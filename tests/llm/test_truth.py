@@ -183,6 +183,15 @@ def test_ngrams_by_hand():
     assert dict(zip(codes.tolist(), counts.tolist(), strict=True)) == want
 
 
+def test_texts_without_letters_are_undetermined():
+    model = langid.Model({"en": langid.ngrams("the cat")[0], "zz": np.array([0x10400 + 40], np.int64)})
+    assert [model.predict(t) for t in (None, "", "12 ² ½ 🙂 !", "_")] == [("und", 0.0)] * 4
+    assert model.predict("the 🙂 cat")[0] == "en" and model.predict("\U00010400")[0] == "zz"
+    long = "word " * 300_000
+    whole, count = langid.ngrams(long)
+    assert dict(zip(whole.tolist(), count.tolist(), strict=True))[ord("w")] == 300_000
+
+
 # 5
 
 

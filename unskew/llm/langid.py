@@ -16,7 +16,6 @@ columns are ignored (keep_known() keeps them). Texts are read whole.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -28,13 +27,12 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, fold
 
 PROFILE, FIT_ROWS, FOLDS = 400, 3000, 5
-_LETTER = re.compile(r"[^\W\d_]")
 _PIECE = 1 << 20
 
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    """Of each code point of the basic plane, itself if a letter, else a blank; beyond that plane all count as letters."""
+    """Of each code point of the basic plane, itself if a letter, else a blank."""
     return np.array([c if chr(c).isalpha() else 32 for c in range(1 << 16)], dtype=np.uint32)
 
 
@@ -49,7 +47,10 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer(f" {text[at:end]} ".lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         at = end
         low = points < 1 << 16
-        chars = np.where(low, _letters()[np.where(low, points, 32)], points).astype(np.int64)
+        chars = _letters()[np.where(low, points, 32)].astype(np.int64)
+        if not low.all():
+            some, where = np.unique(points[~low], return_inverse=True)
+            chars[~low] = np.array([c if chr(c).isalpha() else 32 for c in some.tolist()])[where]
         chars = chars[np.concatenate([[True], (chars[1:] != 32) | (chars[:-1] != 32)])]
         letter = chars != 32
         two, three = chars[:-1] << 21 | chars[1:], chars[:-2] << 42 | chars[1:-1] << 21 | chars[2:]
@@ -107,9 +108,9 @@ class Model:
             self.ranks[np.searchsorted(self.codes, profiles[lang]), j] = np.arange(len(profiles[lang]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not text or not _LETTER.search(text):
+        mine = ranked(*ngrams(text), self.profile) if self.langs and text else ()
+        if not len(mine):  # no letter
             return "und", 0.0
-        mine = ranked(*ngrams(text), self.profile)
         at = np.searchsorted(self.codes, mine)
         at[(at >= len(self.codes)) | (self.codes[np.minimum(at, len(self.codes) - 1)] != mine)] = len(self.codes)
         ranks = self.ranks[at]

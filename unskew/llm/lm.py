@@ -17,7 +17,8 @@ bounded size; one more pass sums up each document.
 
 All steps move columns packed into binary values, one for each task and part, so that Spark sees few rows. The tables only
 save travel: every pair and word is counted exactly, nothing is sampled, cut or dropped, and no task holds more than a
-part or a flush of FLUSH tokens.
+part or a flush of FLUSH tokens. Documents are told by task and place, so their rows must come in a repeatable order, as from
+files; pass others through common.stored() first.
 
 Defined cases: a null or blank text is the end token alone; without training documents the base score is 0 and so is the
 score; without a deleted fold the weights are fixed; ids may be null or repeated, each row is scored by itself; an empty
