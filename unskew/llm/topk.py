@@ -105,7 +105,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     asked = whole.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     n, n_asked = whole.agg(F.count("*"), F.sum((F.col("id") % every == 0).cast("long"))).first()  # two counts
     blocks, q_blocks = max(1, math.ceil((n or 0) / VECTOR_BLOCK)), max(1, math.ceil((n_asked or 0) / QUERY_BLOCK))
-    block = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    # blocks by lot, not by hash: many rows may hold one id and one vector, and any blocks give the same result
+    block = lambda m: F.floor(F.rand(7) * m).cast("int")
     left = asked.withColumn("qb", block(q_blocks)).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = whole.withColumn("vb", block(blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     met = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(_pairs(k), SCHEMA)
