@@ -171,6 +171,11 @@ def test_report_helpers(spark):
     assert {r["Model"]: (r["Error"], r["run"]) for r in report.last_results(again, "run").collect()} == {"a": ("", 2), "b": ("bang", 2)}
 
 
+def test_paper_names(spark):
+    models, titles = spark.createDataFrame([("MC-CCR",), ("x_y",)], "Model string"), spark.createDataFrame([("mc_ccr",), ("McCcr",), ("other",)], "Title string")
+    assert {r["Model"]: r["Paper"] for r in report.paper_names(models, titles).collect()} == {"MC-CCR": "McCcr", "x_y": "x_y"}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "KEEL/complete").mkdir(parents=True)
     (tmp_path / "KEEL/5fold/five").mkdir(parents=True)
@@ -205,6 +210,8 @@ def test_benchmark_reports_errors(spark, rows):
     folds = rows.select(F.lit("d").alias("dataset"), F.lit(1).alias("fold"), F.when(F.col("id") % 4 == 0, "test").otherwise("train").alias("split"), "id", "features", F.col("label").alias("label_idx"))
     got = {r["Model"]: r for r in benchmark.results(benchmark.predictions(folds, ["SPE", "mdo"], smoke=True, params={"mdo": {"nonsense": 1}}), "s").collect()}
     assert got["SPE"]["Error"] is None and got["SPE"]["Accuracy_mean"] > 0.5 and "nonsense" in got["mdo"]["Error"] and got["mdo"]["F1_mean"] is None
+    late = benchmark.predictions(folds, ["DBCF"], limit=0.02).collect()
+    assert len(late) == 1 and "TimeoutError" in late[0]["error"]
     with pytest.raises(ValueError):
         benchmark.predictions(folds, ["no such"])
 

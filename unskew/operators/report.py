@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import normal_name
+
 METRICS = ("F1", "GMean", "AUC", "AUPRC", "Runtime")
 
 
@@ -70,6 +72,14 @@ def failed_cells(results: DataFrame, metrics: tuple[str, ...] = METRICS) -> Data
     return results.where(failed(metrics, "Error" in results.columns)).select("Model", "Dataset").distinct()
 
 
+def paper_names(models: DataFrame, titles: DataFrame) -> DataFrame:
+    """Model, Paper: the title (column Title; ties: the first by name) that is the model's name but for case, hyphens and
+    underscores, or else the model's name."""
+    short = titles.groupBy(normal_name("Title").alias("__name")).agg(F.min("Title").alias("Paper"))
+    found = models.join(short, normal_name("Model") == F.col("__name"), "left")
+    return found.select("Model", F.coalesce("Paper", "Model").alias("Paper"))
+
+
 def last_results(results: DataFrame, run_order: str) -> DataFrame:
     """The last row of each model and dataset; a success beats errors whenever they ran."""
     bad = F.trim(F.coalesce("Error", F.lit(""))) != ""

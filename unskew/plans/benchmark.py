@@ -7,7 +7,9 @@ so that all metrics are aggregates of one plan.
 
 from __future__ import annotations
 
+import signal
 import time
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,23 @@ NAMES = ["Accuracy", "Precision", "Recall", "F1", "GMean", "AUC", "AUPRC", "MCC"
 MOST_ROWS = 50_000
 
 
-def _cell(classes: int, seed: int, smoke: bool, params: dict):
+@contextmanager
+def limited(seconds: float):
+    """Raises TimeoutError in the worker's main thread after so many seconds."""
+
+    def stop(*_):
+        raise TimeoutError(f"stopped after {seconds:g} seconds")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def _cell(classes: int, seed: int, smoke: bool, params: dict, limit: float):
     def run(df: pd.DataFrame) -> pd.DataFrame:
         model, dataset, fold = df["model"].iloc[0], df["dataset"].iloc[0], int(df["fold"].iloc[0])
         try:
@@ -36,9 +54,10 @@ def _cell(classes: int, seed: int, smoke: bool, params: dict):
             z = (np.stack(test["features"].to_numpy()).astype(float) - mean) / dev
             began = time.perf_counter()
             settings = (SMOKE.get(model, {}) if smoke else {}) | params.get(model, {})
-            predict = LEARNERS[model]((x - mean) / dev, y, classes, seed + fold, **settings)
-            took = time.perf_counter() - began
-            p = predict(z)
+            with limited(limit):
+                predict = LEARNERS[model]((x - mean) / dev, y, classes, seed + fold, **settings)
+                took = time.perf_counter() - began
+                p = predict(z)
             return pd.DataFrame({"model": model, "dataset": dataset, "fold": fold, "id": test["id"], "y": test["label_idx"], "yhat": p.argmax(1), "proba": list(p), "runtime": took, "error": None})
         except Exception as e:
             return pd.DataFrame({"model": [model], "dataset": [dataset], "fold": [fold], "id": [None], "y": [None], "yhat": [None], "proba": [None], "runtime": [None], "error": [f"{type(e).__name__}: {e}"]})
@@ -46,14 +65,14 @@ def _cell(classes: int, seed: int, smoke: bool, params: dict):
     return run
 
 
-def predictions(folds: DataFrame, models: list[str], seed: int = 42, smoke: bool = False, params: dict | None = None) -> DataFrame:
-    """model, dataset, fold, id, y, yhat, proba, runtime, error of every test row of every cell."""
+def predictions(folds: DataFrame, models: list[str], seed: int = 42, smoke: bool = False, params: dict | None = None, limit: float = 3600) -> DataFrame:
+    """model, dataset, fold, id, y, yhat, proba, runtime, error of every test row of every cell; limit: seconds for a fold."""
     unknown = [m for m in models if m not in LEARNERS]
     if unknown:
         raise ValueError(f"no such model: {', '.join(unknown)}")
     classes = folds.agg(F.max("label_idx")).first()[0] + 1
     cells = folds.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
-    return cells.groupBy("model", "dataset", "fold").applyInPandas(_cell(classes, seed, smoke, params or {}), PREDICTION)
+    return cells.groupBy("model", "dataset", "fold").applyInPandas(_cell(classes, seed, smoke, params or {}, limit), PREDICTION)
 
 
 def results(pred: DataFrame, source: str) -> DataFrame:

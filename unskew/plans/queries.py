@@ -636,6 +636,15 @@ def means_with_baselines(spark, sf_dir):
     return rounded(report.with_baselines(means, baselines.baselines(spark)))
 
 
+@query("""
+    WITH m AS (SELECT DISTINCT event_type AS "Model" FROM events), t AS (SELECT min(title) AS "Paper", replace(lower(title), '_', '') AS name FROM (SELECT unnest(['CLI_CK', 'View', 'view_', 'none']) AS title) GROUP BY 2)
+    SELECT "Model", coalesce("Paper", "Model") AS "Paper" FROM m LEFT JOIN t ON name = replace(replace(lower("Model"), '_', ''), '-', '')""")
+def paper_names(spark, sf_dir):
+    models = read(spark, sf_dir, "events").select(F.col("event_type").alias("Model")).distinct()
+    titles = spark.createDataFrame([(x,) for x in ("CLI_CK", "View", "view_", "none")], "Title string")
+    return report.paper_names(models, titles)
+
+
 # -- functions ---------------------------------------------------------------------------------------------------------
 
 
