@@ -99,7 +99,14 @@ class Words:
         self.pool = np.concatenate([self.pool, flat.astype(np.uint32)])
 
     def _learn(self, words: list[str]) -> None:
-        plain = [] if self.pieces is None else [w for w in words if not _SLOW.search(w)]
+        if self.pieces is None:
+            plain, rest = [], words
+        elif _SLOW.search("\n".join(words)):
+            plain, rest = [], []
+            for w in words:
+                (rest if _SLOW.search(w) else plain).append(w)
+        else:
+            plain, rest = words, []
         if plain:
             parts, counts = [], []
             for w in plain:
@@ -114,7 +121,6 @@ class Words:
             flat = np.array(self.pieces.encode_ordinary("\0".join(parts) + "\0"), np.int64)
             bounds = np.concatenate([[0], np.flatnonzero(self.last[flat]) + 1])[np.concatenate([[0], np.cumsum(counts)])]
             self._keep(plain, np.diff(bounds), flat)
-        rest = words if self.pieces is None else [w for w in words if _SLOW.search(w)]
         if rest:
             got = [e.ids for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
             self._keep(rest, np.fromiter(map(len, got), np.int64, len(got)), np.array([i for x in got for i in x], np.int64))
@@ -126,7 +132,7 @@ class Words:
             self.clear()
         new = distinct.difference(self.known)
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
         sizes = self.sizes[at]
