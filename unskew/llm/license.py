@@ -21,6 +21,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -176,15 +177,23 @@ def _variants(rng: np.random.Generator) -> tuple[list[list[str]], list[int]]:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unknown: int = UNKNOWN) -> Classifier:
     """Trains on templates and about `unknown` windows of the corpus, those of least hash."""
+    bounded_batches(docs.sparkSession)
     total = docs.where(F.col(text_col).isNotNull()).count()
     bar = F.lit(max(-(1 << 63), -(1 << 63) + (1 << 64) * min(unknown, total) // max(1, total) - 1))
     h = F.xxhash64(id_col, F.length(text_col))
-    some = docs.where(F.col(text_col).isNotNull() & (h <= bar)).select(F.get(F.split(text_col, "\n"), F.pmod(h, F.size(F.split(text_col, "\n"))).cast("int")).alias("line"))
+    some = docs.where(F.col(text_col).isNotNull() & (h <= bar)).select(F.col(text_col).alias("text"), h.alias("h"))
+
+    def pick(dfs):
+        """One window of each text, wherever its hash falls."""
+        for df in dfs:
+            all_ = [(list(windows(x)), h) for x, h in zip(df["text"], df["h"], strict=True)]
+            yield pd.DataFrame({"words": pd.Series([" ".join(w[h % len(w)][1]) for w, h in all_ if w], dtype=object)})
+
     rng = np.random.default_rng(SEED)
     found, label = _variants(rng)
-    for r in some.select(F.substring("line", 1, 2000).alias("line")).collect():  # about `unknown` lines; their first window
-        words = words_of(r["line"])[:WINDOW]
-        if words and max(alike(words, f) for f in TEMPLATES) < 0.4:
+    for r in some.mapInPandas(pick, "words string").collect():  # about `unknown` windows
+        words = r["words"].split(" ")
+        if max(alike(words, f) for f in TEMPLATES) < 0.4:
             found.append(words)
             label.append(len(FAMILIES) - 1)
     order = rng.permutation(len(found))
