@@ -2,14 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and but for the last returns the
 columns of docs. Language ID drops documents without a recognised language, toxicity those that score at or over its
-threshold, near-dedup all but one document of each SimHash group; packing returns the pieces of the sequences.
+threshold, near-dedup all but one document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more); packing returns the pieces of the sequences.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unskew.llm import langid, packing, simhash, toxicity
+from unskew.llm import langid, neardup, packing, toxicity
 from unskew.llm.common import stored, table
 
 
@@ -22,7 +22,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return neardup.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

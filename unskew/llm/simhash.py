@@ -252,14 +252,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(group, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose id names its group: one document of each; of rows of one id one is kept.
-
-    Rows of null ids can't be named; all of them stay.
-    """
-    found = near_duplicates(docs, id_col, text_col)
-    named = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(named, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
-    return kept.unionAll(docs.where(F.col(id_col).isNull()))
