@@ -98,6 +98,23 @@ def consecutive_cut(found: DataFrame, stop: int = 5) -> DataFrame:
     return found.withColumn("__over", F.coalesce(over, F.lit(0))).where("__over = 0").drop("__island", "__run", "__over")
 
 
+def candidate_region(rows: DataFrame, stop: int = 5, reach: int = 50, queries: DataFrame | None = None) -> DataFrame:
+    """consecutive_cut() of whole ordered neighbour lists: rows whose list has not been cut within `reach` neighbours ask again
+    with a doubled reach, until it has or all rows are read."""
+    n, asked, whole = rows.count(), rows if queries is None else queries, None
+    while True:
+        got = consecutive_cut(neighbours(rows, reach, queries=asked), stop).cache()
+        if reach < n:
+            # a list that ends short of reach was cut; one cut at reach itself asks again and ends the same
+            open_ = got.groupBy("id").agg(F.max("rank").alias("__last")).where(F.col("__last") >= reach).select("id")
+            asked = asked.join(open_, "id", "left_semi").cache()
+            got = got.join(open_, "id", "left_anti")
+        whole = got if whole is None else whole.unionAll(got)
+        if reach >= n or asked.isEmpty():
+            return whole
+        reach *= 2
+
+
 def clean_directions(found: DataFrame, rows: DataFrame) -> DataFrame:
     """Neighbours to whose midpoint no earlier neighbour of another class lies closer than half the distance."""
     v = rows.select(F.col("id").alias("__v"), F.col("features").alias("__x"))

@@ -203,14 +203,14 @@ def sphere_oversample(rows: DataFrame, label: int, n: int, k: int = 5, seed: int
 
 def orem_generate(rows: DataFrame, label: int, n: int, stop: int = 5, reach: int = 50, seed: int = 42) -> DataFrame:
     """id (negative), label, features: n points of a class, its rows as seeds in turns, each toward a hashed row of its clean
-    region (within `reach` neighbours), dimension by dimension; at most half the way toward other classes."""
+    region, dimension by dimension; at most half the way toward other classes."""
     from ..functions.vectors import interpolate_each
-    from .knn import clean_directions, consecutive_cut
+    from .knn import candidate_region, clean_directions
     from .sampling import with_place
 
     own = with_place(rows.where(F.col("label") == label), seed, "label")
-    region = clean_directions(consecutive_cut(neighbours(rows, reach, queries=own), stop), rows)
-    ways = region.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour", "neighbour_label"))).alias("ways"))  # reach at most
+    region = clean_directions(candidate_region(rows, stop, reach, own), rows)
+    ways = region.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour", "neighbour_label"))).alias("ways"))
     size = own.agg(F.count("*").alias("__size"))
     slots = rows.sparkSession.range(n).crossJoin(F.broadcast(size)).select(F.col("id").alias("slot"), (F.col("id") % F.col("__size") + 1).alias("place"))
     drawn = slots.join(own, "place").join(ways, "id", "left")

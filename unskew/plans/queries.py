@@ -192,9 +192,15 @@ def median_distance(spark, sf_dir):
     k AS (SELECT *, max(CASE WHEN run >= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over_ FROM j)
     SELECT id, nb AS neighbour, CAST(r AS INTEGER) AS rank FROM k WHERE coalesce(over_, 0) = 0""")
 def candidate_region(spark, sf_dir):
+    """Within the 50 nearest, as its SQL has it; candidate_region_whole has no such bound."""
     return knn.consecutive_cut(knn.neighbours(points(spark, sf_dir), 50), 5).select("id", "neighbour", "rank")
 
 
+@query()
+def candidate_region_whole(spark, sf_dir):
+    return knn.candidate_region(points(spark, sf_dir), 5).select("id", "neighbour", "rank")
+
+
 @query(f"""
     WITH {POINTS}, {PAIRS}, {nearest_sql(12)}
     SELECT e.id, e.nb AS neighbour, CAST(e.r AS INTEGER) AS rank FROM near e WHERE NOT EXISTS (
