@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from unskew.operators import knn
 from unskew.plans import queries as Q
 
 
@@ -35,3 +36,18 @@ def test_orem_generate_does_not_depend_on_reach(spark):
     rows = Q.points(spark, "/root/testdata/sf0.001").limit(80)
     few, all_ = (neighbourhood.orem_generate(rows, 0, 20, reach=n).orderBy("id").collect() for n in (2, 200))
     assert few == all_
+
+
+def test_density_parent_of_all_rows(spark, all_points):
+    ids, _, d = all_points
+    got = {r["id"]: r for r in knn.density_parent(Q.points(spark, "/root/testdata/sf0.01")).collect()}
+    k = max(15, int(len(ids) ** 0.5))
+    near = np.sort(d + np.diag(np.full(len(ids), np.inf)), axis=1)[:, :k]
+    rho = np.exp(-((near / np.median(near[:, -1])) ** 2)).sum(1)
+    assert np.allclose([got[i]["rho"] for i in ids], rho)
+    rho = np.array([got[i]["rho"] for i in ids])
+    for i in range(len(ids)):
+        up = np.flatnonzero((rho > rho[i]) | ((rho == rho[i]) & (ids < ids[i])))
+        best = up[np.lexsort((ids[up], d[i][up]))][:1]
+        assert got[ids[i]]["parent"] == (ids[best[0]] if len(best) else None)
+    assert sum(r["parent"] is None for r in got.values()) == 1

@@ -149,14 +149,24 @@ def reception_rate(rows: DataFrame, k: int = 7) -> DataFrame:
     return out.select("id", "label", F.when(F.col("t") > 0, F.col("s") / F.col("t")).otherwise(0.0).alias("rate"))
 
 
-def density_parent(rows: DataFrame, k: int = 15) -> DataFrame:
-    """id, rho, parent, delta: the nearest row of higher density among the k nearest; density is a Gaussian sum over them
-    with the median k-th distance as its width. Null for peaks of their neighbourhood. Ties of density go to the smaller id."""
-    found = neighbours(rows, k)
+def density_parent(rows: DataFrame, k: int | None = None) -> DataFrame:
+    """id, rho, parent, delta: the nearest row of higher density; density is a Gaussian sum over the k nearest rows (default: 15,
+    or the root of the number of rows if that is more) with the median k-th distance as its width. Rows without a parent among
+    the k nearest are few and meet all rows; only the densest row has none. Ties of density go to the smaller id."""
+    k = max(15, math.isqrt(rows.count())) if k is None else k
+    found = neighbours(rows, k).cache()
     width = found.groupBy("id").agg(F.max("dist").alias("kth")).agg(F.percentile("kth", F.lit(0.5)).alias("dc"))
-    rho = found.crossJoin(F.broadcast(width)).groupBy("id").agg(F.sum(F.exp(-F.pow(F.col("dist") / F.greatest("dc", F.lit(1e-12)), 2))).alias("rho"))
+    rho = found.crossJoin(F.broadcast(width)).groupBy("id").agg(F.sum(F.exp(-F.pow(F.col("dist") / F.greatest("dc", F.lit(1e-12)), 2))).alias("rho")).cache()
     other = rho.select(F.col("id").alias("neighbour"), F.col("rho").alias("rho_n"))
-    up = found.join(rho, "id").join(other, "neighbour")
     higher = (F.col("rho_n") > F.col("rho")) | ((F.col("rho_n") == F.col("rho")) & (F.col("neighbour") < F.col("id")))
-    best = up.where(higher).groupBy("id").agg(F.min_by("neighbour", F.struct("dist", "neighbour")).alias("parent"), F.min("dist").alias("delta"))
-    return rho.join(best, "id", "left").select("id", "rho", "parent", "delta")
+
+    def nearest(up: DataFrame) -> DataFrame:
+        return up.groupBy("id").agg(F.min_by("neighbour", F.struct("dist", "neighbour")).alias("parent"), F.min("dist").alias("delta"))
+
+    best = nearest(found.join(rho, "id").join(other, "neighbour").where(higher)).cache()
+    points = rows.select(F.col("id").cast("long").alias("id"), "features")
+    left = rho.join(best, "id", "left_anti").join(points, "id")
+    all_ = points.select(F.col("id").alias("neighbour"), F.col("features").alias("x")).join(other, "neighbour")
+    square = F.aggregate(F.zip_with("features", "x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    far = nearest(left.crossJoin(all_).where(higher).select("id", "neighbour", F.sqrt(square).alias("dist")))
+    return rho.join(best.unionAll(far), "id", "left").select("id", "rho", "parent", "delta")

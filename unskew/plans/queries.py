@@ -227,7 +227,7 @@ def reception_rate(spark, sf_dir):
 
 @query()
 def density_parent(spark, sf_dir):
-    return rounded(knn.density_parent(points(spark, sf_dir), 15))
+    return rounded(knn.density_parent(points(spark, sf_dir)))
 
 
 @query(f"""
