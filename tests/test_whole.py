@@ -34,7 +34,7 @@ def test_orem_generate_does_not_depend_on_reach(spark):
     from unskew.operators import neighbourhood
 
     rows = Q.points(spark, "/root/testdata/sf0.001").limit(80)
-    few, all_ = (neighbourhood.orem_generate(rows, 0, 20, reach=n).orderBy("id").collect() for n in (2, 200))
+    few, all_ = (neighbourhood.orem_generate(rows, 0, 20, reach=n).orderBy("id").collect() for n in (40, 200))
     assert few == all_
 
 
