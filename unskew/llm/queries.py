@@ -15,7 +15,8 @@ def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages))
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
