@@ -69,6 +69,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: How many keys that many rows share may be broadcast.
+MANY = 50_000
+
+
+def meet(rows: DataFrame, named: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined to named, whose keys are distinct and whose column n says how many of the `total` rows hold a key.
+
+    A key that over 1 in MANY rows (and over 1,000) hold isn't gathered in a task: there are MANY such keys at most, and
+    they go to the rows by broadcast. All other keys meet by shuffle.
+    """
+    bar = max(1000, total // MANY)
+    hot, cold = F.broadcast(named.where(F.col("n") > bar).drop("n")), named.where(F.col("n") <= bar).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,11 +9,12 @@ parts follows from the number of distinct fingerprints, so that a bucket of unre
 Buckets over TILE rows are cut into tiles and every pair of tiles of a bucket becomes a task of its own.
 
 Comparison: a block's fingerprints are stored as 64 vertical bit planes, 64 fingerprints to a machine word. A query's
-bits are XORed plane by plane and added into carry-save counters (three bits and a sticky overflow, starting such that
-overflow means "beyond the radius"); once every lane of a block has overflowed the block is abandoned. Each block gives
+bits are XORed plane by plane and added into carry-save counters (as many bits as the radius has and a sticky overflow,
+starting such that overflow means "beyond the radius"); once every lane of a block has overflowed the block is abandoned. Each block gives
 a spanning forest of its links, never all pairs, so that a group of n copies costs n rows.
 
-Groups: alternating large-star and small-star steps over the forest's edges, with checkpoints, until nothing changes.
+Groups: alternating large-star and small-star steps over the forest's edges, with checkpoints, until nothing changes. A node
+of many edges, a fingerprint of many copies and a group of many fingerprints aren't gathered (common.meet).
 
 Defined cases: a null or blank text has fingerprint zero, linked like any other; texts of fewer than `width` words are
 one shingle; repeated rows and ids are rows of their own; null ids get a group but never name it (a group of null ids
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, partitions
+from .common import bounded_batches, checkpointed, meet, partitions
 
 WIDTH, RADIUS, SEED = 4, 4, 42
 BUCKET, TILE, LANES, CHUNK = 2048, 8192, 512, 1 << 18
@@ -81,27 +82,27 @@ def planes(fps: np.ndarray) -> np.ndarray:
 
 def within(queries: np.ndarray, block: np.ndarray, radius: int = RADIUS) -> np.ndarray | None:
     """queries x words: lanes of the block's planes within the radius of each query; None if it was abandoned."""
-    start = 7 - radius  # counters of three bits overflow at radius + 1 differences
+    bits = max(1, radius.bit_length())
+    start = (1 << bits) - 1 - radius  # counters of so many bits overflow at radius + 1 differences
     shape = (len(queries), block.shape[1])
-    c0, c1, c2 = (np.full(shape, _ALL if start >> i & 1 else 0, np.uint64) for i in range(3))
+    counters = [np.full(shape, _ALL if start >> i & 1 else 0, np.uint64) for i in range(bits)]
     over = np.zeros(shape, np.uint64)
     flip = np.where(queries[None, :] >> np.arange(64, dtype=np.uint64)[:, None] & np.uint64(1), _ALL, np.uint64(0))
     for j in range(64):
         d = block[j][None, :] ^ flip[j][:, None]
-        carry = c0 & d
-        c0 ^= d
-        d = c1 & carry
-        c1 ^= carry
-        carry = c2 & d
-        c2 ^= d
-        over |= carry
+        for c in counters:
+            carry = c & d
+            c ^= d
+            d = carry
+        over |= d
         if j % 8 == 7 and j > 8 and (over == _ALL).all():
             return None
     return ~over
 
 
-def forest(fps: np.ndarray, radius: int = RADIUS, split: int | None = None) -> np.ndarray:
-    """Edges (positions) of a spanning forest of the links between fps; with split, only of those across that position."""
+def forest(fps: np.ndarray, radius: int = RADIUS, split: int | None = None, group: np.ndarray | None = None) -> np.ndarray:
+    """Edges (positions) of a spanning forest of the links between fps; with split, only of those across that position, with
+    group, only of those within a group."""
     rows, cols = (np.arange(len(fps)), np.arange(len(fps))) if split is None else (np.arange(split), np.arange(split, len(fps)))
     label, edges = np.arange(len(fps)), []
     for at in range(0, len(cols), LANES * 8):
@@ -118,6 +119,9 @@ def forest(fps: np.ndarray, radius: int = RADIUS, split: int | None = None) -> n
             bits = np.unpackbits(hit[some].view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little")[:, : len(lanes)]
             a, b = np.nonzero(bits)
             a, b = asked[some[a]], lanes[b]
+            if group is not None:
+                same = group[a] == group[b]
+                a, b = a[same], b[same]
             edges.append(_spanning(label, *((a[a < b], b[a < b]) if split is None else (a, b))))
     return np.concatenate(edges) if edges else np.empty((0, 2), np.int64)
 
@@ -225,18 +229,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root: the least node that edges (a, b) reach, for each node of an edge, by large-star and small-star steps."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = checkpointed(edges)
-    state = None
+    state, total = None, edges.count()
     for _ in range(rounds):
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = meet(both.where("v > u"), least, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = meet(large, least, "u", 2 * total).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = checkpointed(small.where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
-        state = now
+        state, total = now, now[0]
     else:
         raise RuntimeError("components have not settled")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -245,10 +249,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
     rows = checkpointed(fingerprints(docs, id_col, text_col, width))
-    classes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    found = components(links(classes.select("fp"), classes.count(), radius))
-    named = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    classes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    distinct, total = classes.agg(F.count("*"), F.sum("n")).first()
+    found = components(links(classes.select("fp"), distinct, radius))
+    named = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     # the least id of each group, by way of classes, not documents
-    group = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(group, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    group = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = meet(named.select("fp", "root", F.col("n").alias("copies")), group, "root", distinct).select("fp", "component_id", F.col("copies").alias("n"))
+    return meet(rows, named, "fp", total or 0).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
