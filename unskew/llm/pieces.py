@@ -1,33 +1,45 @@
-"""Encoding and decoding with a SentencePiece vocabulary: unigram Viterbi over a double-array trie.
+"""Encoding and decoding with a SentencePiece vocabulary: unigram Viterbi over a double-array trie of pieces with log scores.
 
 A text gets one leading blank, blanks become the marker U+2581, and the encoding is the sequence of pieces of highest
-summed score that spells it; a character may also be spelled by its byte pieces, each at BYTE_PENALTY below the least
-score of all pieces. Of equal sums the one whose last piece is longer wins, and so on backwards. Decoding joins pieces and bytes, turns markers into blanks and drops the
-leading one; it gives the text back exactly unless the text itself holds the marker.
-
-The trie runs over UTF-8 bytes. No piece has a marker after another character, so a text is cut before every run of markers
-and each distinct part is solved once; all distinct parts of a batch move through the trie together, position by
-position, in arrays. Memory is bounded by the batch. Each row is worked by itself in one map without a shuffle; the
-vocabulary, a few hundred kB, is read from a path that is a parameter.
+summed log probability that spells it; a character may also be spelled by its byte pieces, each at BYTE_PENALTY below the
+least score of all pieces. Of equal sums the one whose last piece is longer wins, and so on backwards. Decoding joins pieces
+and bytes, turns markers into blanks and drops the leading one; it gives the text back exactly unless the text itself holds
+the marker.
+
+Log scores: a vocabulary made by merges holds ranks, not probabilities. fit() learns the pieces' unigram log probabilities
+from the documents by expectation-maximisation: parts of texts are counted over all documents, then each of ROUNDS jobs
+sums, over all distinct parts and all their spellings (forward and backward over the trie), how often each piece is
+expected, with PRIOR added. For the fit alone, parts are cut after FIT_BYTES. Codec(path) without scores takes the file's numbers.
+
+The trie runs over UTF-8 bytes. No piece has a marker after another character, so a text is cut before every run of markers;
+parts beyond LONG bytes are cut on where no piece reaches across. Each distinct part is solved once; all new parts of a slice
+move through the trie together, position by position, in arrays. What is remembered is bounded in bytes, and parts that stay
+long are not remembered. Rows are worked by themselves in one map without a shuffle; the vocabulary, a few hundred kB,
+is read from a path that is a parameter.
 
 Defined cases: a null text encodes like the empty one, to no ids; ids and repeated rows are worked row by row; an empty
-table gives no rows; other columns are ignored; ids that stand for no text (control pieces) decode to nothing.
+table gives no rows (and a fit of equal scores); other columns are ignored; ids that stand for no text (control pieces) decode to nothing.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
+from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, stored
 
-MARK, BYTE_PENALTY, SLICE, CACHE, PART = "▁", 10.0, 250, 400_000, 8192
+#: Rows of a slice, bytes that are remembered, parts that are solved at once, bytes from which a part is long.
+SLICE, CACHE, PART, LONG = 250, 64 << 20, 8192, 256
+MARK, BYTE_PENALTY = "▁", 10.0
+#: Of the fit: rounds, what is added to each piece's count, bytes of a part, bytes counted before they are passed on, parts at once.
+ROUNDS, PRIOR, FIT_BYTES, FLUSH, FIT_PARTS = 4, 0.1, 48, 16 << 20, 20_000
 _PART = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>$")
 
@@ -101,7 +113,7 @@ class DoubleArray:
 
 
 class Codec:
-    def __init__(self, path: str):
+    def __init__(self, path: str, scores: np.ndarray | None = None):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -118,7 +130,7 @@ class Codec:
         plain = [i for i in range(self.size) if self.text[i] and not model.is_byte(i)]
         if any(MARK in pieces[i].lstrip(MARK) for i in plain):
             raise ValueError("a piece has a marker after another character")
-        self.score = np.array([model.get_score(i) for i in range(self.size)])
+        self.score = np.array([model.get_score(i) for i in range(self.size)]) if scores is None else np.asarray(scores, float)
         self.penalty = float(self.score[plain].min()) - BYTE_PENALTY
         self.ids = np.array(plain, np.int64)
         self.trie = DoubleArray([self.text[i] for i in plain])
@@ -130,30 +142,24 @@ class Codec:
 
     def _forget(self) -> None:
         self.known.clear()
-        self.starts, self.sizes, self.sums, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.held = 0
+        self.starts, self.sizes, self.sums, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32)
 
-    def solve(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the best spellings of all parts in one line, how many each has, and its summed score."""
+    def _lines(self, parts: list[bytes]):
+        """Parts by falling length: their places, lengths, bytes in one line, and where each begins there."""
         order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
         lengths = np.array([len(parts[i]) for i in order], np.int64)
-        n, width = len(parts), int(lengths[0]) if len(parts) else 0
-        # columns are positions; a zero byte follows each part and no piece has one
-        flat = np.frombuffer(b"".join(parts[i] for i in order), np.uint8)
-        offset = np.cumsum(lengths) - lengths
-        best = np.full((width + 1, n), -np.inf)
-        back, piece = np.zeros((width + 1, n), np.int16), np.zeros((width + 1, n), np.int32)
-        best[0] = 0.0
-        for at in range(width):
+        return order, lengths, np.frombuffer(b"".join(parts[i] for i in order), np.uint8), np.cumsum(lengths) - lengths
+
+    def _steps(self, lengths: np.ndarray, flat: np.ndarray, offset: np.ndarray):
+        """(from, to, which parts, pieces or None for a character in bytes), by rising from and to, of all spellings of all parts."""
+        for at in range(int(lengths[0]) if len(lengths) else 0):
             m = int(np.searchsorted(-lengths, -at, "left"))  # parts longer than `at`
-            who = np.arange(m)
             lead = flat[offset[:m] + at]
-            begins = (lead & 0xC0) != 0x80
-            who = who[begins & np.isfinite(best[at][:m])]
+            who = np.flatnonzero((lead & 0xC0) != 0x80)
             if not len(who):
                 continue
-            start, state, alive, depth = best[at], np.zeros(len(who), np.int64), who, 0
-            lead = flat[offset[who] + at]
-            chars = self.width[lead]
+            state, alive, depth, chars = np.zeros(len(who), np.int64), who, 0, self.width[lead[who]]
             while len(alive) and depth < self.longest:
                 inside = at + depth < lengths[alive]
                 alive, state = alive[inside], state[inside]
@@ -163,20 +169,29 @@ class Codec:
                 number = self.trie.value[state]
                 hit = number >= 0
                 if hit.any():
-                    w, found = alive[hit], self.ids[number[hit]]
-                    new = start[w] + self.score[found]
-                    better = new > best[at + depth][w]
-                    w = w[better]
-                    best[at + depth][w], back[at + depth][w], piece[at + depth][w] = new[better], depth, found[better]
-            # bytes: one character
+                    yield at, at + depth, alive[hit], self.ids[number[hit]]
             for size in range(1, 5):
                 w = who[chars == size]
                 w = w[at + size <= lengths[w]]
                 if len(w):
-                    new = start[w] + size * self.penalty
-                    better = new > best[at + size][w]
-                    w = w[better]
-                    best[at + size][w], back[at + size][w] = new[better], -size
+                    yield at, at + size, w, None
+
+    def solve(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the best spellings of all parts in one line, how many each has, and its summed score."""
+        order, lengths, flat, offset = self._lines(parts)
+        n, width = len(parts), int(lengths[0]) if len(parts) else 0
+        best = np.full((width + 1, n), -np.inf)
+        back, piece = np.zeros((width + 1, n), np.int16), np.zeros((width + 1, n), np.int32)
+        best[0] = 0.0
+        for at, to, w, found in self._steps(lengths, flat, offset):
+            new = best[at][w] + (self.score[found] if found is not None else (to - at) * self.penalty)
+            better = new > best[to][w]
+            w = w[better]
+            best[to][w] = new[better]
+            if found is None:
+                back[to][w] = at - to
+            else:
+                back[to][w], piece[to][w] = to - at, found[better]
         # all parts walk back together; a character in bytes stands as -1 - (where it begins) until the end
         left, steps = lengths.copy(), []
         while left.any():
@@ -204,85 +219,216 @@ class Codec:
         out = got[np.repeat(starts - (np.cumsum(sizes[given]) - sizes[given]), sizes[given]) + np.arange(len(got))]
         return out, sizes[given], sums[given]
 
+    def expected(self, parts: list[bytes], times: np.ndarray) -> tuple[np.ndarray, float]:
+        """How often each piece is expected in the spellings of parts that occur so many times, and the parts' log probability."""
+        order, lengths, flat, offset = self._lines(parts)
+        n, width, times = len(parts), int(lengths[0]) if len(parts) else 0, np.asarray(times, float)[order]
+        ahead, behind = np.full((width + 1, n), -np.inf), np.full((width + 1, n), -np.inf)
+        ahead[0], behind[lengths, np.arange(n)] = 0.0, 0.0
+        steps = list(self._steps(lengths, flat, offset))
+        cost = lambda at, to, found: self.score[found] if found is not None else (to - at) * self.penalty
+        for at, to, w, found in steps:
+            ahead[to][w] = np.logaddexp(ahead[to][w], ahead[at][w] + cost(at, to, found))
+        for at, to, w, found in reversed(steps):
+            behind[at][w] = np.logaddexp(behind[at][w], behind[to][w] + cost(at, to, found))
+        whole, out = behind[0], np.zeros(self.size)
+        for at, to, w, found in steps:
+            if found is not None:
+                out += np.bincount(found, np.exp(ahead[at][w] + self.score[found] + behind[to][w] - whole[w]) * times[w], self.size)
+        return out, float((whole * times).sum())
+
+    def segments(self, part: str) -> list[str]:
+        """The part cut wherever no piece reaches across, which leaves its best spelling as it is."""
+        raw = np.frombuffer(part.encode("utf-8", "surrogatepass"), np.uint8)
+        n = len(raw)
+        starts = np.flatnonzero((raw & 0xC0) != 0x80)
+        reach = starts + self.width[raw[starts]]
+        for at in range(0, len(starts), 1 << 18):
+            live = np.arange(at, min(len(starts), at + (1 << 18)))
+            state, depth = np.zeros(len(live), np.int64), 0
+            while len(live) and depth < self.longest:
+                inside = starts[live] + depth < n
+                live, state = live[inside], state[inside]
+                state = self.trie.step(state, raw[starts[live] + depth].astype(np.int64))
+                live, state = live[state >= 0], state[state >= 0]
+                depth += 1
+                hit = live[self.trie.value[state] >= 0]
+                reach[hit] = np.maximum(reach[hit], starts[hit] + depth)
+        cut = np.flatnonzero(np.maximum.accumulate(reach)[:-1] <= starts[1:]) + 1  # in characters
+        edges = [0, *cut.tolist(), len(part)]
+        return [part[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
     def _learn(self, parts: list[str]) -> None:
         # parts of like length go together, so that the arrays stay full
         parts.sort(key=len)
         for at in range(0, len(parts), PART):
             some = parts[at : at + PART]
-            raw = [x.encode("utf-8", "surrogatepass") for x in some]
-            cut = 0
-            while cut < len(raw) and len(raw[cut]) <= 256:
-                cut += 1
-            for group, names in [(raw[:cut], some[:cut]), *(([r], [s]) for r, s in zip(raw[cut:], some[cut:], strict=True))]:
-                if not group:
-                    continue
-                ids, sizes, sums = self.solve(group) if len(group[0]) <= 256 else self._long(group[0])
-                self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
-                self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
-                self.sizes, self.sums, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.sums, sums]), np.concatenate([self.pool, ids])
-
-    def _long(self, part: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One part by itself, byte by byte: for words beyond 256 bytes."""
+            ids, sizes, sums = self.solve([x.encode("utf-8", "surrogatepass") for x in some])
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+            self.sizes, self.sums, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.sums, sums]), np.concatenate([self.pool, ids.astype(np.int32)])
+            self.held += sum(map(len, some)) + 150 * len(some) + 4 * len(ids)
+
+    def _long(self, part: bytes) -> tuple[np.ndarray, float]:
+        """One part by itself, byte by byte: for what stays longer than LONG."""
         n = len(part)
-        best, back = np.full(n + 1, -np.inf), np.zeros(n + 1, np.int32)
+        best, back = array("d", [-np.inf]) * (n + 1), array("i", [0]) * (n + 1)
         best[0] = 0.0
-        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        base, check, value, score = self._plain()
+        penalty, width, longest = self.penalty, self.width.tolist(), self.longest
         for at in range(n):
-            if best[at] == -np.inf:
+            here = best[at]
+            if here == -np.inf:
                 continue
             state = 0
-            for depth in range(1, min(self.longest, n - at) + 1):
-                to = int(base[state]) + part[at + depth - 1] + 1
-                if check[to] != state:
+            for to in range(at + 1, min(at + longest, n) + 1):
+                nxt = base[state] + part[to - 1] + 1
+                if check[nxt] != state:
                     break
-                state = to
-                if value[state] >= 0 and (new := best[at] + self.score[self.ids[value[state]]]) > best[at + depth]:
-                    best[at + depth], back[at + depth] = new, depth
-            size = int(self.width[part[at]])
-            if at + size <= n and (new := best[at] + size * self.penalty) > best[at + size]:
-                best[at + size], back[at + size] = new, -size
-        got, end = [], n
+                state = nxt
+                if value[state] >= 0 and here + score[value[state]] > best[to]:
+                    best[to], back[to] = here + score[value[state]], to - at
+            size = width[part[at]]
+            if at + size <= n and here + size * penalty > best[at + size]:
+                best[at + size], back[at + size] = here + size * penalty, -size
+        ids, end = array("i"), n
         while end:
-            step = int(back[end])
-            got.append([self.ids[self.trie.get(part[end - step : end])]] if step > 0 else [self.byte[b] for b in part[end + step : end]])
+            step = back[end]
+            if step > 0:
+                ids.append(int(self.ids[self.trie.get(part[end - step : end])]))
+            else:
+                ids.extend(self.byte[b] for b in reversed(part[end + step : end]))
             end -= abs(step)
-        ids = np.array([i for x in got[::-1] for i in x], np.int64)
-        return ids, np.array([len(ids)]), np.array([best[n]])
+        return np.array(ids, np.int32)[::-1], best[n]
+
+    def _plain(self):
+        """The trie and scores as lists, made when the first long part is met."""
+        if not hasattr(self, "_lists"):
+            self._lists = self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist(), self.score[self.ids].tolist()
+        return self._lists
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, float]]:
         """(ids, score) of each text."""
         parts = [_PART.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
-        if len(self.known) > CACHE:
+        for line in parts:
+            if any(len(x) > LONG // 4 for x in line):
+                line[:] = [y for x in line for y in (self.segments(x) if len(x) > LONG // 4 else (x,))]
+        if self.held > CACHE:
             self._forget()
+        short = lambda x: len(x) <= LONG // 4
         new = list(set().union(*parts).difference(self.known))
         if new:
-            self._learn(new)
+            self._learn([x for x in new if short(x)])
         out = []
-        for x in parts:
-            at = np.fromiter(map(self.known.__getitem__, x), np.int64, len(x))
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            where = np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(x) else 0)
-            out.append((self.pool[where], float(self.sums[at].sum())))
+        for line in parts:
+            runs, total, at = [], 0.0, 0
+            for k, x in enumerate([*line, None]):
+                if x is not None and short(x):
+                    continue
+                where, sums = self._found(line[at:k])
+                runs.append(where)
+                total += sums
+                if x is not None:
+                    ids, sum_ = self._long(x.encode("utf-8", "surrogatepass"))
+                    runs.append(ids)
+                    total += sum_
+                at = k + 1
+            out.append((np.concatenate(runs), total))
         return out
 
+    def _found(self, line: list[str]) -> tuple[np.ndarray, float]:
+        at = np.fromiter(map(self.known.__getitem__, line), np.int64, len(line))
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        where = np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(line) else 0)
+        return self.pool[where], float(self.sums[at].sum())
+
     def decode(self, ids) -> str:
         text = b"".join([self.text[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
-@lru_cache(1)
-def _codec(path: str) -> Codec:
+_CODECS: dict = {}
+
+
+def _codec(path: str, scores: np.ndarray | None = None) -> Codec:
     """One for each worker, kept from task to task."""
-    return Codec(path)
+    key = path, zlib.crc32(b"" if scores is None else scores.tobytes())
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(path, scores)
+    return _CODECS[key]
+
+
+def _pieces_of(text: str) -> list[str]:
+    """Parts of a text, cut after FIT_BYTES / 4 characters."""
+    step = FIT_BYTES // 4
+    return [y for x in _PART.findall(MARK + text.replace(" ", MARK)) for y in ((x,) if len(x) <= step else [x[i : i + step] for i in range(0, len(x), step)])]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def counted_parts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """part, n: all distinct parts of all texts."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        held, size = Counter(), 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["part", "n"])
+
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                before = len(held)
+                held.update(_pieces_of(x))
+                size += (len(held) - before) * (FIT_BYTES + 100)
+                if size > FLUSH:
+                    yield out()
+                    held.clear()
+                    size = 0
+        if held:
+            yield out()
+
+    return docs.where(F.length(text_col) > 0).select(text_col).mapInArrow(run, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, path: str, text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
+    """Log probabilities of the vocabulary's pieces, learned from all documents; of byte and control pieces the least of all."""
+    codec = _codec(path)
+    plain = np.zeros(codec.size, bool)
+    plain[codec.ids] = True
+    score = np.full(codec.size, -np.log(len(codec.ids)))
+    counted = stored(counted_parts(docs, text_col))
+    for _ in range(rounds):
+        shared = counted.sparkSession.sparkContext.broadcast(score)  # a number a piece
+
+        def run(batches, shared=shared):
+            codec, out = _codec(path, shared.value), None
+            for b in batches:
+                for at in range(0, b.num_rows, FIT_PARTS):
+                    part = b.slice(at, FIT_PARTS)
+                    got, _ = codec.expected([x.encode("utf-8", "surrogatepass") for x in part.column(0).to_pylist()], part.column(1).to_numpy())
+                    out = got if out is None else out + got
+            if out is not None:
+                which = np.flatnonzero(out)
+                yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(out[which], pa.float64())], ["piece", "n"])
+
+        found = counted.mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # a row a piece at most
+        n = np.full(codec.size, PRIOR)
+        n[[r["piece"] for r in found]] += [r["n"] for r in found]
+        # sums of doubles differ with their order in the last digits
+        score = np.round(np.log(n / n[plain].sum()), 6)
+        score[~plain] = score[plain].min()
+        shared.unpersist()
+    return score
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", scores: np.ndarray | None = None) -> DataFrame:
     """doc_id, ids, score of every row."""
     bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(scores)
 
     def run(batches):
-        codec = _codec(path)
+        codec = _codec(path, shared.value)
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
@@ -304,12 +450,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", scores: np.ndarray | None = None) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), score, decoded_chars, exact (decodes to the text) of every row."""
     bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(scores)
 
     def run(batches):
-        codec = _codec(path)
+        codec = _codec(path, shared.value)
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)

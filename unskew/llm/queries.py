@@ -55,7 +55,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.round_trip(docs, path, scores=pieces.fit(docs, path))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
