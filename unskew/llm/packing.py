@@ -3,23 +3,22 @@
 A document's ids (and a closing id) are cut into runs of at most CAPACITY; full runs are sequences of their own. The
 others are dealt out by hash, and each partition packs them in windows of WINDOW tokens: a window's sequences are opened
 all at once, and pieces go, the longest first, to the sequence of least estimated cost (linear in tokens plus quadratic
-in each piece's length, for attention) that has room; if none of the TRIES cheapest has room, the piece is cut to fill the
-cheapest. What doesn't fill whole sequences is carried to the next window; at the end of a partition it fills sequences
+in each piece's length, for attention) of all that have room for it; if none has, the piece is cut to fill the cheapest. What doesn't fill whole sequences is carried to the next window; at the end of a partition it fills sequences
 whose lengths are powers of two, which need no padding. So no sequence is padded at all.
 
 Only ids travel (two bytes each if the vocabulary allows), in one shuffle; a task holds one window. A partition's result
 is consistent by itself, so a lost task can be run again.
 
-Tokenising goes by words: no pattern of the tokenizer crosses white space, so ids of distinct words are looked up once.
+Tokenising goes by words: no pattern of the tokenizer crosses white space, so ids of distinct words are looked up once. What
+is remembered is bounded in bytes, words beyond LONG characters aren't, and words are tokenised CHUNK bytes at a time.
 A text with control characters that Python, but not the tokenizer, takes for white space is tokenised whole.
 
 Defined cases: a null or blank text has the closing id alone; ids may be null or repeated, every row is packed by
-itself; ties go to the earlier sequence; an empty table gives no rows; other columns are ignored.
+itself; equal rows go to as many tasks as hold them; ties go to the earlier sequence; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 import zlib
@@ -37,7 +36,9 @@ from .common import bounded_batches, partitions
 
 CAPACITY, END = 4096, 2
 LINEAR, QUADRATIC = 1.0, 1 / 6144
-WINDOW, TRIES, CACHE, SLICE = 1 << 22, 16, 400_000, 250
+WINDOW, SLICE = 1 << 22, 250
+#: Bytes that are remembered, characters from which a word isn't, characters of words tokenised at once.
+CACHE, LONG, CHUNK = 64 << 20, 128, 1 << 18
 RUNS = "doc_id long, start long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ODD = re.compile("[\x1c-\x1f]")
@@ -90,6 +91,7 @@ class Words:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _keep(self, words: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
@@ -97,8 +99,10 @@ class Words:
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.pool = np.concatenate([self.pool, flat.astype(np.uint32)])
+        self.held += sum(map(len, words)) + 150 * len(words) + 4 * len(flat)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in another order, how many ids each has, and all ids in one line."""
         if self.pieces is None:
             plain, rest = [], words
         elif _SLOW.search("\n".join(words)):
@@ -107,9 +111,10 @@ class Words:
                 (rest if _SLOW.search(w) else plain).append(w)
         else:
             plain, rest = words, []
-        if plain:
+        order, sizes, flat = [], [], []
+        for some in _chunks(plain):
             parts, counts = [], []
-            for w in plain:
+            for w in some:
                 w = w.lower()
                 if w.isalpha():
                     parts.append(w)
@@ -118,28 +123,61 @@ class Words:
                     cut = self.cut(w)
                     parts += cut
                     counts.append(len(cut))
-            flat = np.array(self.pieces.encode_ordinary("\0".join(parts) + "\0"), np.int64)
-            bounds = np.concatenate([[0], np.flatnonzero(self.last[flat]) + 1])[np.concatenate([[0], np.cumsum(counts)])]
-            self._keep(plain, np.diff(bounds), flat)
-        if rest:
-            got = [e.ids for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
-            self._keep(rest, np.fromiter(map(len, got), np.int64, len(got)), np.array([i for x in got for i in x], np.int64))
+            ids = np.array(self.pieces.encode_ordinary("\0".join(parts) + "\0"), np.uint32)
+            bounds = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1])[np.concatenate([[0], np.cumsum(counts)])]
+            order += some
+            sizes.append(np.diff(bounds))
+            flat.append(ids)
+        for some in _chunks(rest):
+            got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+            order += some
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            flat.append(np.concatenate(got))
+        return order, np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0, np.uint32), *flat])
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         lists = [[] if not x else [x] if _ODD.search(x) else x.split() for x in texts]
         distinct = set().union(*lists)
-        if len(self.known) > CACHE:
+        if self.held > CACHE:
             self.clear()
-        new = distinct.difference(self.known)
+        new = [w for w in distinct.difference(self.known) if len(w) <= LONG]
         if new:
-            self._learn(list(new))
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
+            self._keep(*self._learn(new))
+        once: dict[str, np.ndarray] = {}  # long words, for this slice
+        for w in distinct:
+            if len(w) > LONG:
+                once[w] = self._learn([w])[2]
+        out = []
+        for line in lists:
+            if not once or not any(len(w) > LONG for w in line):
+                out.append(self._found(line))
+                continue
+            runs, at = [], 0
+            for k, w in enumerate([*line, None]):
+                if w is None or len(w) > LONG:
+                    runs += [self._found(line[at:k])] if w is None else [self._found(line[at:k]), once[w]]
+                    at = k + 1
+            out.append(np.concatenate(runs))
+        return out
+
+    def _found(self, line: list[str]) -> np.ndarray:
+        at = np.fromiter(map(self.known.__getitem__, line), np.int64, len(line))
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
-        flat = self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        return self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def _chunks(words: list[str], most: int = CHUNK):
+    """The words in runs of at most so many characters, or of one word."""
+    held, size = [], 0
+    for w in words:
+        if held and size + len(w) > most:
+            yield held
+            held, size = [], 0
+        held.append(w)
+        size += len(w)
+    if held:
+        yield held
 
 
 @lru_cache(1)
@@ -179,27 +217,23 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, "<u2" if blob[0] == 2 else "<u4", offset=1).astype("<u4")
 
 
-def balance(sizes: list[int], capacities: list[int], tries: int = TRIES) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int]]]:
+def balance(sizes: list[int], capacities: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int]]]:
     """((piece, its first id, ids, sequence), ...) and what found no room (piece, first id, ids), for pieces of given sizes."""
-    room, heap = list(capacities), [(0.0, s) for s in range(len(capacities))]
+    room, cost = np.array(capacities, np.int64), np.zeros(len(capacities))
     placed, rest = [], []
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
         at, left = 0, sizes[i]
-        while left and heap:
-            aside = []
-            while heap and len(aside) < tries:
-                aside.append(heapq.heappop(heap))
-                if room[aside[-1][1]] >= left:
+        while left:
+            able = room >= left
+            if not able.any():
+                able = room > 0
+                if not able.any():
                     break
-            pick = len(aside) - 1 if room[aside[-1][1]] >= left else 0
-            cost, s = aside.pop(pick)
-            for x in aside:
-                heapq.heappush(heap, x)
-            put = min(left, room[s])
+            s = int(np.where(able, cost, np.inf).argmin())
+            put = min(left, int(room[s]))
             placed.append((i, at, put, s))
             room[s] -= put
-            if room[s]:
-                heapq.heappush(heap, (cost + LINEAR * put + QUADRATIC * put * put, s))
+            cost[s] += LINEAR * put + QUADRATIC * put * put
             at, left = at + put, left - put
         if left:
             rest.append((i, at, left))
@@ -235,7 +269,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, with_ids: bool = True) -> D
             held, tokens = keep, total % capacity
             if last and held:
                 powers = [1 << k for k in range(tokens.bit_length() - 1, -1, -1) if tokens >> k & 1]
-                placed, _ = balance([len(x[3]) for x in held], powers, len(powers))
+                placed, _ = balance([len(x[3]) for x in held], powers)
                 for i, at, n, s in placed:
                     rows.append(_piece(held[i], at, n, first + opened + s, offsets))
                 opened += len(powers)
@@ -258,7 +292,8 @@ def pack(found: DataFrame, capacity: int = CAPACITY, with_ids: bool = True) -> D
             yield out(whole)
         yield settle(True)
 
-    dealt = found.withColumn("h", F.xxhash64("doc_id", "start", "ids"))
+    # equal rows of several input partitions go apart
+    dealt = found.withColumn("h", F.xxhash64("doc_id", "start", "ids", F.spark_partition_id()))
     dealt = dealt.repartition(partitions(found.sparkSession), "h").sortWithinPartitions("h", "doc_id").drop("h")
     return dealt.mapInPandas(run, schema)
 
