@@ -88,6 +88,7 @@ def test_candidates_are_the_pairs_of_a_bucket_within_the_radius(spark):
 def test_many_rows_of_a_key_meet(spark, rows, monkeypatch):
     from unskew.llm import common
 
+    monkeypatch.setattr(common, "FEW", rows)
     left = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(3000)], "x long, k long")
     right = left.groupBy("k").count().withColumnRenamed("count", "n").withColumn("v", F.col("k") * 2)
     got = common.meet(left, right, "k", 3000).collect()

@@ -52,6 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("a cluster must name a folder that all its machines share in spark.checkpoint.dir")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "unskew-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -63,23 +65,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, written as compressed Parquet to the shared folder and read again: for what is too large for checkpoint()."""
+    """df, written as compressed Parquet to the shared folder and read again: for what is too large for checkpoint(). The
+    folder goes when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    jvm = df.sparkSession.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: How many keys that many rows share may be broadcast.
-MANY = 50_000
+#: Rows of a key that a task may gather, whatever the input; how many keys of more rows may be broadcast.
+FEW, MANY = 100_000, 50_000
 
 
 def meet(rows: DataFrame, named: DataFrame, key: str, total: int) -> DataFrame:
     """rows joined to named, whose keys are distinct and whose column n says how many of the `total` rows hold a key.
 
-    A key that over 1 in MANY rows (and over 1,000) hold isn't gathered in a task: there are MANY such keys at most, and
+    A key of over FEW rows that over 1 in MANY rows hold isn't gathered in a task: there are MANY such keys at most, and
     they go to the rows by broadcast. All other keys meet by shuffle.
     """
-    bar = max(1000, total // MANY)
+    bar = max(FEW, total // MANY)
+    if total <= bar:  # no key can have so many
+        return rows.join(named.drop("n"), key)
     hot, cold = F.broadcast(named.where(F.col("n") > bar).drop("n")), named.where(F.col("n") <= bar).drop("n")
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 

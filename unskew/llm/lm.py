@@ -6,7 +6,7 @@ training documents of fold DELETED are predicted from the counts of the others.
 The token before the first and after the last word is the end token. A context that was never seen has no a.
 
 Data flow. Words are 64-bit hashes. (1) Each task counts its words; counts meet by hash in as many parts as there are
-shuffle partitions. Tasks also report pairs that are frequent in them. (2) Two tables of bounded size are broadcast: up to
+shuffle partitions, or more, so that a part holds what PART_BYTES of text bring. Tasks also report pairs that are frequent in them. (2) Two tables of bounded size are broadcast: up to
 HOT of the most frequent words with their exact counts, and up to SHARE of the reported pairs of such words. (3) Each task
 turns its documents into word pairs. Of a table pair only the number travels, and its occurrences wait beside their
 document, so that no pair is too frequent for a part. The other pairs are routed: by the pair if both words are hot, by
@@ -23,7 +23,7 @@ files; pass others through common.stored() first.
 Defined cases: a null or blank text is the end token alone; without training documents the base score is 0 and so is the
 score; without a deleted fold the weights are fixed; ids may be null or repeated, each row is scored by itself; an empty
 table gives no rows; other columns are ignored. Two words of one hash would count as one (odds below 1e-6 for a million
-words). Scores sum what each part found for a document in single precision.
+words).
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ from .common import bounded_batches, fold, partitions, release, stored
 FOLDS, HELD, DELETED = 10, 0, 1
 #: Hot words, and the least share (one in) of a pair in the table, at most; tokens and distinct words of a flush.
 HOT, SHARE, FLUSH, TYPES = 1 << 16, 400_000, 800_000, 400_000
-BUCKETS, CHUNK = 40, 250_000
+BUCKETS, CHUNK, PART_BYTES = 40, 250_000, 32 << 20
 ADD = 0.1
 FIXED = (0.5, 0.4, 0.1)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -433,7 +433,7 @@ def _sum_up(table, model):
     def sums(doc, score, rare_doc=_I64, rare_count=_I64) -> bytes:
         who, at = np.unique(doc, return_inverse=True)
         order = np.argsort(rare_doc, kind="stable")
-        return packed(doc=who, score=np.bincount(at, score, len(who)).astype(np.float32), rare_doc=rare_doc[order], rare_count=rare_count[order])
+        return packed(doc=who, score=np.bincount(at, score, len(who)), rare_doc=rare_doc[order], rare_count=rare_count[order])
 
     def run(dfs):
         t: _Table = table.value
@@ -491,10 +491,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark, size = docs.sparkSession, size or Size()
     bounded_batches(spark)
-    parts = partitions(spark)
     rows = _documents(docs, id_col, text_col)
+    bytes_ = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(partitions(spark), -(-bytes_ // PART_BYTES))
+    # a task a part, where there are more parts than shuffle partitions
+    dealt = lambda df, key="part": df.repartition(parts, key) if parts > partitions(spark) else df
     counted = rows.where("fold > 0").mapInArrow(_count_words(parts, size), "part int, payload binary")
-    counts = counted.groupBy("part").applyInPandas(_merge(max(1, size.hot // parts)), "part int, types long, tokens long, deleted long, payload binary, hot binary")
+    counts = dealt(counted).groupBy("part").applyInPandas(_merge(max(1, size.hot // parts)), "part int, types long, tokens long, deleted long, payload binary, hot binary")
     counts = stored(counts)
     reported, counts = counts.where("part < 0").select("payload"), counts.where("part >= 0")
     totals = counts.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v"), F.sum("deleted").alias("e")).first()
@@ -506,9 +509,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     pair = _table_pairs(reported, tokens, word[order], size)
     table = spark.sparkContext.broadcast(_Table(word[order], all_, deleted, pair, tokens, totals["v"] or 0, totals["e"] or 0, parts, size))
     known = counts.select("part", "payload")
-    found = stored(rows.mapInArrow(_route(table), ROUTED).groupBy("part").cogroup(known.groupBy("part")).applyInPandas(_meet(table), FOUND))
+    found = stored(dealt(rows.mapInArrow(_route(table), ROUTED)).groupBy("part").cogroup(dealt(known).groupBy("part")).applyInPandas(_meet(table), FOUND))
     onward = found.where(F.col("kind") == ONWARD).select(F.col("key").cast("int").alias("part"), "payload")
-    onward = stored(onward.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(_meet_onward(table), FOUND))
+    onward = stored(dealt(onward).groupBy("part").cogroup(dealt(known).groupBy("part")).applyInPandas(_meet_onward(table), FOUND))
     both = found.unionByName(onward)
     histogram = both.where(F.col("kind") == HISTOGRAM).groupBy("key").agg(F.sum("weight").alias("n")).collect()  # BUCKETS * 2**14 rows at most
     weights = mixture(np.array([r["key"] for r in histogram], np.int64), np.array([r["n"] for r in histogram], float), table.value.types)
@@ -518,7 +521,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         pair_counts[x["pair"]] = x["c_hw"]
     model = spark.sparkContext.broadcast((weights, pair_counts))
     sums = both.where(F.col("kind").isin(INFO, PAIRS, WAITING)).mapInPandas(_sum_up(table, model), "origin long, kind int, payload binary")
-    return sums.groupBy("origin").applyInPandas(_finish(table), RESULT)
+    return dealt(sums, "origin").groupBy("origin").applyInPandas(_finish(table), RESULT)
 
 
 def _table_pairs(reported: DataFrame, tokens: int, hot: np.ndarray, size: Size) -> np.ndarray:

@@ -11,6 +11,7 @@ value of each run of one bin is its least hash, or the added value for an empty
 
 The edited text needs the next document in the order of descending ids. Ids are cut into ranges of like size, rows go to
 their range's task with text and fingerprint (one shuffle), and each range gets one row more, the first of the next one.
+There are as many ranges as shuffle partitions, or more, so that one holds RANGE_BYTES of text.
 
 Defined cases: a null text is empty; a text without words has the empty fingerprint, which is wholly like another empty
 one and unlike any other; fewer words than a shingle make one shingle; equal ids follow by text; null ids come last; a
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-SHINGLE, BIN_BITS, PROBES = 5, 8, 8
+SHINGLE, BIN_BITS, PROBES, RANGE_BYTES = 5, 8, 8, 64 << 20
 BINS = 1 << BIN_BITS
 _LOW = (1 << (64 - BIN_BITS)) - 1
 
@@ -75,7 +76,8 @@ def _range(id_: str, bounds: list[int]) -> Column:
 
 def with_next(docs: DataFrame, id_: str, text: str, prepared: Callable[[DataFrame], DataFrame], carried: list[str]) -> DataFrame:
     """docs, prepared, with next_<name> of the text and of each carried column: the row after it by descending id, the first after the last."""
-    parts = partitions(docs.sparkSession)
+    given = partitions(docs.sparkSession)
+    parts = max(given, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // RANGE_BYTES))
     shares = [k / parts for k in range(1, parts)]
     got = docs.agg(F.percentile_approx(id_, shares or [0.5], max(10_000, 20 * parts)).alias("b")).first()["b"]
     bounds = sorted(set(got or []))
@@ -88,6 +90,7 @@ def with_next(docs: DataFrame, id_: str, text: str, prepared: Callable[[DataFram
     heads = ranged.drop("__range").join(F.broadcast(of), F.col(id_).eqNullSafe(F.col("__top")))  # a row a range: bounded
     heads = heads.groupBy("__of").agg(F.min_by(F.struct(*docs.columns), F.coalesce(text, F.lit(""))).alias("row")).select("row.*", F.col("__of").alias("__range"))
     both = prepared(ranged).withColumn("__real", F.lit(True)).unionByName(prepared(heads).withColumn("__real", F.lit(False)))
+    both = both.repartition(parts, "__range") if parts > given else both  # a task a range
     line = Window.partitionBy("__range").orderBy(F.desc("__real"), F.desc_nulls_last(id_), text)
     for name in (text, *carried):
         both = both.withColumn(f"next_{name}", F.lead(name).over(line))

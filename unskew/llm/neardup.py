@@ -119,8 +119,8 @@ def candidates(classes: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """a, b: nodes of classes (node, fp, keys) joined by a forest of what lies within the radius in a common bucket."""
     keyed = classes.select("node", "fp", F.explode("keys").alias("key"))
     total = classes.agg(F.sum(F.size("keys"))).first()[0] or 0
-    least = keyed.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
-    met = meet(keyed, least.withColumn("rows", F.col("n")), "key", total)
+    least = checkpointed(keyed.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1"))
+    met = stored(meet(keyed, least.withColumn("rows", F.col("n")), "key", total))
     large = met.where((F.col("rows") > LARGE) & (F.col("node") != F.col("b"))).select(F.col("node").alias("a"), "b")
     wide = radius(similar)
 
@@ -187,6 +187,8 @@ def links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     kind = "a long, b long"
     plain = told.where("tiles = 1").select("root", "node", "text").groupBy("root").applyInPandas(small, kind)
     large = told.where("tiles > 1")
+    if large.isEmpty():
+        return plain
     firsts = large.where("node = root").select("root", "node", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "text", F.lit(1).alias("first"))
     rows = large.where("node <> root").select("root", "node", "tile", "text", F.lit(0).alias("first")).unionByName(firsts)
     near = checkpointed(rows.groupBy("root", "tile").applyInPandas(star, kind))
