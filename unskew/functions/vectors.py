@@ -41,6 +41,15 @@ def uniform_sql(seed: int, *keys: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)})), 1, 8))::BIGINT / 4294967296.0)"
 
 
+def as_text(v: str | Column) -> Column:
+    """The vector's numbers to six places, parted by commas, for comparison with other engines."""
+    return F.array_join(F.transform(v, lambda x: F.round(x, 6).cast("decimal(18,6)").cast("string")), ",")
+
+
+def as_text_sql(v: str) -> str:
+    return f"array_to_string(list_transform({v}, lambda x: CAST(CAST(round(x, 6) AS DECIMAL(18, 6)) AS VARCHAR)), ',')"
+
+
 def rbf(d: Column, gamma: float) -> Column:
     """exp(-(d / gamma)^2); 0 for gamma 0."""
     return F.exp(-F.pow(d / gamma, 2)) if gamma else F.lit(0.0)

@@ -1,9 +1,10 @@
 """Exact k-nearest-neighbour joins by blocks, and the neighbourhood statistics that follow from them.
 
 Rows (id, label, features array<double>) are dealt into blocks by hash; every block of queries meets every block of
-candidates in a cogroup, where distances are one matrix product and only k rows a query survive. Memory is bounded by two
-blocks, no side is broadcast, and a rank window over k rows a block and query gives the result. Self is told by id, so
-duplicates of a point remain neighbours. Ties go to the smaller id.
+candidates in a cogroup, where one matrix product finds the rows that may be among the k nearest (with a margin for its
+rounding) and exact distances of those choose k rows a query. Memory is bounded by two blocks, no side is broadcast, and
+a rank window over k rows a block and query gives the result. Self is told by id, so duplicates of a point remain
+neighbours. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -15,36 +16,44 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+from ..lineage import checkpointed
+
+BLOCK, STEP = 4096, 256
 SCHEMA = "id long, label int, neighbour long, neighbour_label int, dist double"
 
 
-def _distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
-    """Whole blocks; differences are formed by rows, so that equal points have distance zero exactly."""
-    if p == 2:
-        return np.stack([np.sqrt(((b - x) ** 2).sum(1)) for x in a])
-    return np.stack([(np.abs(b - x) ** p).sum(1) ** (1 / p) for x in a])
+def _candidates(q: np.ndarray, x: np.ndarray, able: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions that may be among the k nearest, from the product of the blocks."""
+    norms = (x * x).sum(1)
+    own = (q * q).sum(1)
+    d2 = np.where(able, own[:, None] + norms[None, :] - 2 * q @ x.T, np.inf)
+    if x.shape[0] > k:
+        slack = 1e-12 * (x.shape[1] + 8) * (own + norms.max())  # beyond what rounding can do
+        able = able & (d2 <= np.partition(d2, k - 1, axis=1)[:, k - 1 : k] + 2 * slack[:, None])
+    return np.nonzero(able)
 
 
 def _meet(k: int, p: float, which: str):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(rows):
-            return pd.DataFrame({c.split()[0]: [] for c in SCHEMA.split(", ")})
-        q, x = np.stack(queries["features"].to_numpy()).astype(float), np.stack(rows["x"].to_numpy()).astype(float)
-        ids, labels = rows["other"].to_numpy(), rows["other_label"].to_numpy()
-        out = []
-        for at in range(0, len(q), 256):
-            d = _distances(q[at : at + 256], x, p)
-            for i, row in enumerate(d):
-                own, label = queries["id"].iloc[at + i], queries["label"].iloc[at + i]
-                able = ids != own
-                able &= {"any": True, "same": labels == label, "other": labels != label}[which]
-                who = np.flatnonzero(able)
-                if len(who) > k:
-                    bar = np.partition(row[who], k - 1)[k - 1]
-                    who = who[row[who] <= bar]
-                who = who[np.lexsort((ids[who], row[who]))][:k]
-                out.append(pd.DataFrame({"id": own, "label": label, "neighbour": ids[who], "neighbour_label": labels[who], "dist": row[who]}))
+        out = [pd.DataFrame({"id": np.empty(0, np.int64), "label": np.empty(0, np.int32), "neighbour": np.empty(0, np.int64), "neighbour_label": np.empty(0, np.int32), "dist": np.empty(0)})]
+        if len(queries) and len(rows):
+            q, x = np.stack(queries["features"].to_numpy()).astype(float), np.stack(rows["x"].to_numpy()).astype(float)
+            q_ids, q_labels = queries["id"].to_numpy(), queries["label"].to_numpy()
+            ids, labels = rows["other"].to_numpy(), rows["other_label"].to_numpy()
+            for at in range(0, len(q), STEP):
+                part, own = q[at : at + STEP], slice(at, at + STEP)
+                able = ids[None, :] != q_ids[own, None]
+                if which != "any":
+                    able &= (labels[None, :] == q_labels[own, None]) == (which == "same")
+                i, j = _candidates(part, x, able, k) if p == 2 else np.nonzero(able)
+                # differences are formed row by row, so that equal points have distance zero exactly
+                dist = np.sqrt(((x[j] - part[i]) ** 2).sum(1)) if p == 2 else (np.abs(x[j] - part[i]) ** p).sum(1) ** (1 / p)
+                order = np.lexsort((ids[j], dist, i))
+                i, j, dist = i[order], j[order], dist[order]
+                first = np.searchsorted(i, i)  # where each query's rows begin
+                best = np.arange(len(i)) - first < k
+                i, j, dist = i[best], j[best], dist[best]
+                out.append(pd.DataFrame({"id": q_ids[own][i], "label": q_labels[own][i], "neighbour": ids[j], "neighbour_label": labels[j], "dist": dist}))
         return pd.concat(out)
 
     return run
@@ -103,11 +112,11 @@ def candidate_region(rows: DataFrame, stop: int = 5, reach: int = 50, queries: D
     with a doubled reach, until it has or all rows are read."""
     n, asked, whole = rows.count(), rows if queries is None else queries, None
     while True:
-        got = consecutive_cut(neighbours(rows, reach, queries=asked), stop).cache()
+        got = checkpointed(consecutive_cut(neighbours(rows, reach, queries=asked), stop))
         if reach < n:
             # a list that ends short of reach was cut; one cut at reach itself asks again and ends the same
             open_ = got.groupBy("id").agg(F.max("rank").alias("__last")).where(F.col("__last") >= reach).select("id")
-            asked = asked.join(open_, "id", "left_semi").cache()
+            asked = checkpointed(asked.join(open_, "id", "left_semi"))
             got = got.join(open_, "id", "left_anti")
         whole = got if whole is None else whole.unionAll(got)
         if reach >= n or asked.isEmpty():
@@ -154,16 +163,17 @@ def density_parent(rows: DataFrame, k: int | None = None) -> DataFrame:
     or the root of the number of rows if that is more) with the median k-th distance as its width. Rows without a parent among
     the k nearest are few and meet all rows; only the densest row has none. Ties of density go to the smaller id."""
     k = max(15, math.isqrt(rows.count())) if k is None else k
-    found = neighbours(rows, k).cache()
+    found = checkpointed(neighbours(rows, k))
     width = found.groupBy("id").agg(F.max("dist").alias("kth")).agg(F.percentile("kth", F.lit(0.5)).alias("dc"))
-    rho = found.crossJoin(F.broadcast(width)).groupBy("id").agg(F.sum(F.exp(-F.pow(F.col("dist") / F.greatest("dc", F.lit(1e-12)), 2))).alias("rho")).cache()
+    rho = found.crossJoin(F.broadcast(width)).groupBy("id").agg(F.sum(F.exp(-F.pow(F.col("dist") / F.greatest("dc", F.lit(1e-12)), 2))).alias("rho"))
+    rho = checkpointed(rho)
     other = rho.select(F.col("id").alias("neighbour"), F.col("rho").alias("rho_n"))
     higher = (F.col("rho_n") > F.col("rho")) | ((F.col("rho_n") == F.col("rho")) & (F.col("neighbour") < F.col("id")))
 
     def nearest(up: DataFrame) -> DataFrame:
         return up.groupBy("id").agg(F.min_by("neighbour", F.struct("dist", "neighbour")).alias("parent"), F.min("dist").alias("delta"))
 
-    best = nearest(found.join(rho, "id").join(other, "neighbour").where(higher)).cache()
+    best = checkpointed(nearest(found.join(rho, "id").join(other, "neighbour").where(higher)))
     points = rows.select(F.col("id").cast("long").alias("id"), "features")
     left = rho.join(best, "id", "left_anti").join(points, "id")
     all_ = points.select(F.col("id").alias("neighbour"), F.col("features").alias("x")).join(other, "neighbour")

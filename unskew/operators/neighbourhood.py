@@ -147,11 +147,42 @@ def border_rows(rows: DataFrame, label: int, against: int, k: int = 5, spread: i
     return other.where((F.col("o") >= -(-k // spread)) & (F.col("o") < k)).select("id", "label")
 
 
-def class_covariance(rows: DataFrame, dims: int) -> DataFrame:
-    """label, i, j, cov: sample covariances of each class for j <= i < dims, in one aggregate."""
-    x = lambda i: F.get("features", F.lit(i))
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.covar_samp(x(i), x(j)).alias("cov")) for i in range(dims) for j in range(i + 1)]
-    return rows.groupBy("label").agg(F.array(*cells).alias("c")).select("label", F.explode("c").alias("e")).select("label", "e.*")
+def class_covariance(rows: DataFrame) -> DataFrame:
+    """label, i, j, cov: sample covariances of each class for j <= i, from one sum of products a task and class.
+
+    Tasks give sums of centred products (64 dimensions: 2,080 numbers a class), which meet by class and cell.
+    """
+    import numpy as np
+    import pandas as pd
+
+    means = centroids(rows)
+
+    def products(dfs):
+        sums: dict = {}
+        for df in dfs:
+            for label, part in df.groupby("label"):
+                x = np.stack(part["features"].to_numpy()) - np.stack(part["centre"].to_numpy())
+                got = x.T @ x
+                n, held = sums.get(label, (0, 0.0))
+                sums[label] = n + len(x), held + got
+        for label, (n, held) in sums.items():
+            i, j = np.tril_indices(len(held))
+            yield pd.DataFrame({"label": label, "i": i, "j": j, "n": n, "s": held[i, j]})
+
+    kind = dict(rows.dtypes)["label"]
+    centred = rows.select("label", "features").join(F.broadcast(means), "label")  # a centre a class
+    summed = centred.mapInPandas(products, f"label {kind}, i int, j int, n long, s double").groupBy("label", "i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return summed.select("label", "i", "j", F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)).alias("cov"))
+
+
+def between_class_scatter(rows: DataFrame) -> DataFrame:
+    """i, j, scatter for j <= i: the sum over classes of n_c (mean_c - mean)(mean_c - mean)^T, from means alone."""
+    long = rows.select("label", F.posexplode("features").alias("i", "x"))
+    means = long.groupBy("label", "i").agg(F.count("*").alias("n"), F.sum("x").alias("s"))  # classes times dimensions
+    whole = means.groupBy("i").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    apart = means.join(F.broadcast(whole), "i").select("label", "i", "n", (F.col("s") / F.col("n") - F.col("mean")).alias("d"))
+    other = apart.select("label", F.col("i").alias("j"), F.col("d").alias("e"))
+    return apart.join(other, "label").where("j <= i").groupBy("i", "j").agg(F.sum(F.col("n") * F.col("d") * F.col("e")).alias("scatter"))
 
 
 def best_split(rows: DataFrame, value: str, label: str, classes: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import interpolate, uniform
+from ..lineage import checkpointed
 from .knn import neighbours
 
 #: Into how many slices a class is cut to place its rows.
@@ -139,17 +140,18 @@ def synthetic_slots(counts: DataFrame, label: str = "label") -> DataFrame:
 
 def smote(rows: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """rows (id, label, features) with synthetic ones up to the largest class: a hashed seed row, one of its k nearest of
-    the class, a hashed gap; classes of one row give copies. Synthetic ids are negative."""
+    the class, a hashed gap; classes of one row give copies. Synthetic ids are negative: a class has 2 ** 40 of its own."""
+    rows = checkpointed(rows.select("id", "label", "features"))
     numbered = with_place(rows.select("id", "label", "features"), seed, "label").withColumn("place", (F.col("place") - 1).cast("int"))
     slots = synthetic_slots(class_counts(rows))
     drawn = slots.withColumn("place", F.least(F.floor(uniform(seed, "label", "slot", F.lit("seed")) * F.col("n")), F.col("n") - 1).cast("int"))
     drawn = drawn.join(numbered, ["label", "place"])
-    near = neighbours(rows, k, which="same").select("id", "rank", "neighbour")
+    near = checkpointed(neighbours(rows, k, which="same").select("id", "rank", "neighbour"))  # once: it is the dear part
     have = near.groupBy("id").agg(F.max("rank").alias("have"))
     drawn = drawn.join(have, "id", "left").withColumn("rank", (F.floor(uniform(seed, "label", "slot", F.lit("near")) * F.col("have")) + 1).cast("int"))
     drawn = drawn.join(near, ["id", "rank"], "left").join(rows.select(F.col("id").alias("neighbour"), F.col("features").alias("to")), "neighbour", "left")
     made = interpolate("features", F.coalesce("to", "features"), uniform(seed, "label", "slot", F.lit("gap")))
-    number = -(F.xxhash64("label", "slot").bitwiseAND(F.lit((1 << 62) - 1))) - 1
+    number = -(F.col("label").cast("long") * (1 << 40) + F.col("slot") + 1)
     return rows.select("id", "label", "features").unionByName(drawn.select(number.alias("id"), "label", made.alias("features")))
 
 
@@ -161,7 +163,7 @@ def up_down(rows: DataFrame, k: int = 7, seed: int = 42) -> DataFrame:
     rate = reception_rate(rows, k)
     role = split_classes(rows).select("label", "role")
     inverse = 1 / F.greatest("rate", F.lit(1e-6))
-    marked = rows.join(rate.select("id", "rate"), "id").join(F.broadcast(role), "label")
+    marked = checkpointed(rows.join(rate.select("id", "rate"), "id").join(F.broadcast(role), "label"))
     # one row a class: its largest inverse rate, and the row of the least one, which stays
     most = marked.groupBy("label").agg(F.max(inverse).alias("most"), F.min_by("id", F.struct(inverse, "id")).alias("safest"))
     marked = marked.join(F.broadcast(most), "label").withColumn("p", F.when(F.col("role") == "majority", inverse / F.col("most")).otherwise(0.0))

@@ -94,11 +94,11 @@ SCALED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
                FROM lineitem WHERE l_orderkey % 5 <> 0)
     SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity - m1) / CASE WHEN s1 > 0 THEN s1 ELSE 1 END, 6) AS quantity_scaled,
            round((l_extendedprice - m2) / CASE WHEN s2 > 0 THEN s2 ELSE 1 END, 6) AS price_scaled
-    FROM lineitem, s WHERE l_orderkey % 5 = 0""")
+    FROM lineitem, s""")
 def standard_scaling(spark, sf_dir):
-    """Fitted on four fifths of the orders, applied to the fifth."""
+    """Fitted on four fifths of the orders, applied to all."""
     rows = read(spark, sf_dir, "lineitem").withColumn("features", F.array("l_quantity", "l_extendedprice"))
-    scaled = sampling.scale(rows, F.col("l_orderkey") % 5 != 0).where("l_orderkey % 5 = 0")
+    scaled = sampling.scale(rows, F.col("l_orderkey") % 5 != 0)
     return rounded(scaled.select("l_orderkey", "l_linenumber", "l_partkey", F.get("features", F.lit(0)).alias("quantity_scaled"), F.get("features", F.lit(1)).alias("price_scaled")))
 
 
@@ -225,21 +225,22 @@ def reception_rate(spark, sf_dir):
     return rounded(knn.reception_rate(points(spark, sf_dir), 7))
 
 
-@query()
+@query(f"""
+    WITH {POINTS}, {PAIRS}, near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nb) AS r FROM pairs) WHERE r <= (SELECT greatest(15, floor(sqrt(count(*)))) FROM points)),
+    w AS (SELECT greatest(quantile_cont(kth, 0.5), 1e-12) AS dc FROM (SELECT max(d) AS kth FROM near GROUP BY id)), rho AS (SELECT id, sum(exp(-((d / dc) ** 2))) AS rho FROM near, w GROUP BY id),
+    up AS (SELECT p.id, p.nb, p.d, row_number() OVER (PARTITION BY p.id ORDER BY p.d, p.nb) AS place FROM pairs p JOIN rho a ON a.id = p.id JOIN rho b ON b.id = p.nb WHERE b.rho > a.rho OR b.rho = a.rho AND b.id < a.id)
+    SELECT rho.id, round(rho, 6) AS rho, nb AS parent, round(d, 6) AS delta FROM rho LEFT JOIN (SELECT * FROM up WHERE place = 1) u ON u.id = rho.id""")
 def density_parent(spark, sf_dir):
     return rounded(knn.density_parent(points(spark, sf_dir)))
 
 
 @query(f"""
-    WITH {POINTS}, t AS (SELECT label, len(f) AS dims, unnest(list_transform(range(1, len(f) + 1), lambda i: {{'i': i - 1, 'x': f[i]}}), recursive := true) FROM points),
-    m AS (SELECT label, i, count(*) AS n, avg(x) AS mu FROM t GROUP BY label, i), g AS (SELECT i, avg(x) AS mu FROM t GROUP BY i)
-    SELECT CAST(m.i AS INTEGER) AS i, round(sum(m.n * (m.mu - g.mu) * (m.mu - g.mu)), 6) AS scatter FROM m JOIN g ON m.i = g.i GROUP BY m.i""")
+    WITH {POINTS}, t AS (SELECT label, unnest(range(1, len(f) + 1)) AS i, unnest(f) AS x FROM points),
+    m AS (SELECT label, i, count(*) AS n, avg(x) AS mu FROM t GROUP BY label, i), g AS (SELECT i, avg(x) AS mu FROM t GROUP BY i),
+    d AS (SELECT m.label, m.i, m.n, m.mu - g.mu AS d FROM m JOIN g USING (i))
+    SELECT CAST(a.i - 1 AS INTEGER) AS i, CAST(b.i - 1 AS INTEGER) AS j, round(sum(a.n * a.d * b.d), 6) AS scatter FROM d a JOIN d b ON a.label = b.label AND b.i <= a.i GROUP BY a.i, b.i""")
 def between_class_scatter(spark, sf_dir):
-    """The diagonal of the between-class scatter."""
-    long = points(spark, sf_dir).select("label", F.posexplode("features").alias("i", "x"))
-    means = long.groupBy("label", "i").agg(F.count("*").alias("n"), F.avg("x").alias("mu"))
-    whole = long.groupBy("i").agg(F.avg("x").alias("all_mu"))
-    return rounded(means.join(whole, "i").groupBy("i").agg(F.sum(F.col("n") * F.pow(F.col("mu") - F.col("all_mu"), 2)).alias("scatter")))
+    return rounded(neighbourhood.between_class_scatter(points(spark, sf_dir)))
 
 
 SAME = "CASE WHEN nl = label THEN 1.0 ELSE 0.0 END"
@@ -379,12 +380,10 @@ def mass_from_probability(spark, sf_dir):
 
 
 @query(f"""
-    WITH {POINTS}, p AS (SELECT label, f[1] AS x1, f[2] AS x2, f[3] AS x3 FROM points)
-    SELECT label, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(cov, 6) AS cov FROM (
-        SELECT label, unnest([{{'i': 0, 'j': 0, 'cov': covar_samp(x1, x1)}}, {{'i': 1, 'j': 0, 'cov': covar_samp(x2, x1)}}, {{'i': 1, 'j': 1, 'cov': covar_samp(x2, x2)}}, {{'i': 2, 'j': 0, 'cov': covar_samp(x3, x1)}},
-                              {{'i': 2, 'j': 1, 'cov': covar_samp(x3, x2)}}, {{'i': 2, 'j': 2, 'cov': covar_samp(x3, x3)}}], recursive := true) FROM p GROUP BY label)""")
+    WITH {POINTS}, t AS (SELECT id, label, unnest(range(1, len(f) + 1)) AS i, unnest(f) AS x FROM points)
+    SELECT a.label, CAST(a.i - 1 AS INTEGER) AS i, CAST(b.i - 1 AS INTEGER) AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM t a JOIN t b ON a.id = b.id AND b.i <= a.i GROUP BY a.label, a.i, b.i""")
 def class_covariance(spark, sf_dir):
-    return rounded(neighbourhood.class_covariance(points(spark, sf_dir), 3))
+    return rounded(neighbourhood.class_covariance(points(spark, sf_dir)))
 
 
 @query("""
@@ -407,9 +406,17 @@ def balanced_sets(spark, sf_dir):
     return neighbourhood.balanced_sets(rows).groupBy("set", "label").agg(F.count("*").alias("n"))
 
 
-@query()
+BALL = f"""own AS (SELECT *, row_number() OVER (ORDER BY {V.uniform_sql(42, 'id')}, id) AS place FROM points WHERE label = 2),
+    far AS (SELECT id, max(d) AS radius FROM (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d, nb) AS r FROM pairs WHERE label = 2 AND nl <> 2) WHERE r <= 5 GROUP BY id),
+    slots AS (SELECT s AS slot, floor({V.uniform_sql(42, "'seed'", 's')} * (SELECT count(*) FROM own)) + 1 AS place FROM range(200) t(s)),
+    way AS (SELECT slot, own.id, own.f, list_transform(range(len(own.f)), lambda i: sqrt(-2 * ln(greatest({V.uniform_sql(42, "'r'", 'slot', 'i')}, 1e-12))) * cos(2 * pi() * {V.uniform_sql(42, "'a'", 'slot', 'i')})) AS w FROM slots JOIN own USING (place)),
+    made AS (SELECT slot, list_transform(list_zip(f, w), lambda z: z[1] + z[2] / sqrt(list_sum(list_transform(w, lambda x: x * x))) * (coalesce(radius, 1.0) * {V.uniform_sql(42, "'reach'", 'slot')} ** (1.0 / len(f)))) AS x FROM way LEFT JOIN far USING (id))"""
+
+
+@query(f"WITH {POINTS}, {PAIRS}, {BALL} SELECT -1 - slot AS id, 2 AS label, {V.as_text_sql('x')} AS features FROM made")
 def sphere_oversample(spark, sf_dir):
-    return neighbourhood.sphere_oversample(points(spark, sf_dir), 2, 200)
+    got = neighbourhood.sphere_oversample(points(spark, sf_dir), 2, 200)
+    return got.select("id", "label", V.as_text("features").alias("features"))
 
 
 @query()
@@ -439,14 +446,34 @@ def smote_counts(spark, sf_dir):
     return sampling.smote(points(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query()
+def smote_sql(rows: str, k: int) -> str:
+    """CTEs from rows (id, label, f) to `lifted` (id, label, x)."""
+    u = lambda name: V.uniform_sql(42, "label", "slot", f"'{name}'")
+    gap = "sqrt(list_sum(list_transform(list_zip(a.f, b.f), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+    return f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {V.uniform_sql(42, 'id')}, id) - 1 AS place FROM {rows}),
+    sizes AS (SELECT label, count(*) AS n, max(count(*)) OVER () AS most FROM {rows} GROUP BY label), slots AS (SELECT label, n, unnest(range(most - n)) AS slot FROM sizes),
+    drawn AS (SELECT s.label, s.slot, p.id, p.f FROM (SELECT *, least(floor({u('seed')} * n), n - 1) AS place FROM slots) s JOIN numbered p ON p.label = s.label AND p.place = s.place),
+    kin AS (SELECT * FROM (SELECT a.id, b.id AS nb, b.f AS g, row_number() OVER (PARTITION BY a.id ORDER BY {gap}, b.id) AS r FROM {rows} a JOIN {rows} b ON a.label = b.label AND a.id <> b.id) WHERE r <= {k}),
+    ranked AS (SELECT d.*, floor({u('near')} * h.have) + 1 AS r FROM drawn d LEFT JOIN (SELECT id, max(r) AS have FROM kin GROUP BY id) h USING (id)),
+    lifted AS (SELECT id, label, f AS x FROM {rows} UNION ALL
+               SELECT -(label::BIGINT * 1099511627776 + slot + 1), label, list_transform(list_zip(f, coalesce(g, f)), lambda z: z[1] + {u('gap')} * (z[2] - z[1])) FROM ranked LEFT JOIN kin USING (id, r))"""
+
+
+LIFTED = f"SELECT id, label, {V.as_text_sql('x')} AS features FROM lifted"
+
+
+@query(f"WITH {POINTS}, {smote_sql('points', 5)} {LIFTED}")
 def smote(spark, sf_dir):
-    return sampling.smote(points(spark, sf_dir))
+    return sampling.smote(points(spark, sf_dir)).select("id", "label", V.as_text("features").alias("features"))
 
 
-@query()
+@query(f"""
+    WITH {POINTS}, {PAIRS}, {nearest_sql(7)}, rate AS (SELECT id, label, CASE WHEN sum(d) > 0 THEN sum(CASE WHEN nl = label THEN d ELSE 0 END) / sum(d) ELSE 0 END AS rate FROM near GROUP BY 1, 2),
+    inverse AS (SELECT id, label, 1 / greatest(rate, 1e-6) AS v FROM rate), big AS (SELECT label FROM points GROUP BY label ORDER BY count(*) DESC, label LIMIT 1),
+    marked AS (SELECT id, label, v / max(v) OVER (PARTITION BY label) AS p, row_number() OVER (PARTITION BY label ORDER BY v, id) AS place FROM inverse),
+    kept AS (SELECT p.* FROM points p JOIN marked m USING (id) WHERE m.label <> (SELECT label FROM big) OR m.place = 1 OR {V.uniform_sql(42, 'p.id')} >= m.p), {smote_sql('kept', 7)} {LIFTED}""")
 def up_down_sampling(spark, sf_dir):
-    return sampling.up_down(points(spark, sf_dir))
+    return sampling.up_down(points(spark, sf_dir)).select("id", "label", V.as_text("features").alias("features"))
 
 
 def _resampled(method: str, **settings):
