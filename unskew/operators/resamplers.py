@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .knn import _candidates
+
 MOST_ROWS = 50_000
 
 
@@ -24,13 +26,18 @@ def near(x: np.ndarray, k: int, to: np.ndarray | None = None, p: float = 2.0) ->
     if k <= 0 or not len(x):
         return np.empty((len(x), 0), np.int64), np.empty((len(x), 0))
     at, away = np.empty((len(x), k), np.int64), np.empty((len(x), k))
-    for i in range(len(x)):
-        d = np.sqrt(((to - x[i]) ** 2).sum(1)) if p == 2 else (np.abs(to - x[i]) ** p).sum(1) ** (1 / p)
+    step = 256 if p == 2 else 1
+    for a in range(0, len(x), step):
+        part = x[a : a + step]
+        able = np.ones((len(part), len(to)), bool)
         if own:
-            d[i] = np.inf
-        best = np.argpartition(d, k - 1)[:k]
-        best = best[np.lexsort((best, d[best]))]
-        at[i], away[i] = best, d[best]
+            able[np.arange(len(part)), a + np.arange(len(part))] = False
+        i, j = _candidates(part, to, able, k) if p == 2 else np.nonzero(able)
+        d = np.sqrt(((to[j] - part[i]) ** 2).sum(1)) if p == 2 else (np.abs(to[j] - part[i]) ** p).sum(1) ** (1 / p)
+        order = np.lexsort((j, d, i))
+        i, j, d = i[order], j[order], d[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        at[a : a + step], away[a : a + step] = j[best].reshape(-1, k), d[best].reshape(-1, k)
     return at, away
 
 
@@ -149,40 +156,66 @@ def glos(x, y, rng, k=5):
     return _joined(x, y, made)
 
 
-def mc_ccr(x, y, rng, energy=0.25, reach=500):
-    """Classes are lifted in turn, largest first: spheres (taxicab) around their rows grow on an energy budget, others
-    inside are pushed to the surface, and new points fill the spheres, most in the smallest."""
-    sizes, x = _by_size(y), x.astype(float).copy()
-    made_x, made_y = [x], [y]
+def _spheres(pool, rest, energy, reach, p, rng):
+    """Radii of the pool's spheres under an energy budget (a step costs as much as rows it holds, and one), how the rest
+    moves to get out of them, and which of the rest lies in any."""
+    at, away = near(pool, reach, rest, p=p)
+    radius, moves, caught = np.zeros(len(pool)), np.zeros_like(rest), np.zeros(len(rest), bool)
+    for i in range(len(pool)):
+        left, r, inside = energy, 0.0, 0
+        while inside < away.shape[1] and (away[i, inside] - r) * (inside + 1) < left:
+            left -= (away[i, inside] - r) * (inside + 1)
+            r, inside = away[i, inside], inside + 1
+        r += left / (inside + 1 if inside < away.shape[1] or not inside else inside)
+        radius[i] = r
+        for j, d in zip(at[i, :inside], away[i, :inside], strict=True):
+            way = rest[j] - pool[i]
+            if d < 1e-20:  # on the row itself: any direction
+                way = rng.choice([-1.0, 1.0], len(way)) * (1e-6 + 1e-6 * rng.random(len(way)))
+                d = (np.abs(way) ** p).sum() ** (1 / p)
+            moves[j] += (r - d) / d * way
+            caught[j] = True
+    return radius, moves, caught
+
+
+def mc_ccr(x, y, rng, energy=0.25, reach=500, p=1.0, cleaning="translate", selection="proportional", method="sampling"):
+    """Classes are lifted in turn, largest first, against the larger ones (method sampling: against an equal draw of each of
+    them, else against all): spheres around their rows grow on an energy budget; others inside are pushed to the surface,
+    removed or left (cleaning: translate, remove, ignore); new points fill the spheres, most in the smallest or, with
+    selection random, evenly by lot."""
+    sizes = _by_size(y)
+    held = {c: x[y == c].astype(float) for c, _ in sizes}
     for pos, (c, n) in enumerate(sizes[1:], 1):
-        full_x, full_y = np.concatenate(made_x), np.concatenate(made_y)
-        pool, rest = full_x[full_y == c], full_x[full_y != c].copy()
         need = sizes[0][1] - n
-        at, away = near(pool, reach, rest, p=1)
-        radius, moves = np.zeros(len(pool)), np.zeros_like(rest)
-        for i in range(len(pool)):
-            left, r = energy, 0.0
-            for inside, d in enumerate(away[i]):
-                cost = (d - r) * (inside + 1)
-                if cost > left:
-                    break
-                left, r = left - cost, d
-            r += left / (np.searchsorted(away[i], r, "right") + 1)
-            radius[i] = r
-            for j, d in zip(at[i], away[i], strict=True):
-                if d < r:
-                    push = (r - d) / d * (rest[j] - pool[i]) if d > 0 else r / x.shape[1] * rng.choice([-1.0, 1.0], x.shape[1])
-                    moves[j] += push
-        rest += moves
-        rest_y = full_y[full_y != c]
+        if need <= 0:
+            continue
+        asked, aside = {}, {}
+        for other, _ in sizes:
+            rows = held[other]
+            if other == c:
+                continue
+            if method != "sampling":
+                asked[other], aside[other] = rows, rows[:0]
+            elif other in [q for q, _ in sizes[:pos]]:
+                pick = np.zeros(len(rows), bool)
+                pick[rng.choice(len(rows), min(len(rows), int(sizes[0][1] / pos)), replace=False)] = True
+                asked[other], aside[other] = rows[pick], rows[~pick]
+            else:
+                asked[other], aside[other] = rows[:0], rows
+        pool, rest = held[c], np.concatenate(list(asked.values()))
+        owner = np.repeat(list(asked), [len(v) for v in asked.values()])
+        radius, moves, caught = _spheres(pool, rest, energy, reach, p, rng)
+        if cleaning == "translate":
+            rest = rest + moves
+        elif cleaning == "remove":
+            rest, owner = rest[~caught], owner[~caught]
         share = 1 / np.maximum(radius, 1e-12)
-        each = np.round(share / share.sum() * need).astype(int)
-        seed = np.repeat(np.arange(len(pool)), each)
+        seed = np.repeat(np.arange(n), np.round(share / share.sum() * need).astype(int)) if selection == "proportional" else rng.integers(0, n, need)
         way = rng.standard_exponential((len(seed), x.shape[1])) * rng.choice([-1.0, 1.0], (len(seed), x.shape[1]))
         way /= np.maximum(np.abs(way).sum(1, keepdims=True), 1e-12)
         new = pool[seed] + way * (rng.random(len(seed)) * radius[seed])[:, None]
-        made_x, made_y = [rest, pool, new], [rest_y, np.full(len(pool), c), np.full(len(new), c)]
-    return np.concatenate(made_x), np.concatenate(made_y)
+        held = {other: np.concatenate([rest[owner == other], aside[other]]) for other in asked} | {c: np.concatenate([pool, new])}
+    return np.concatenate([held[c] for c, _ in sizes]), np.repeat([c for c, _ in sizes], [len(held[c]) for c, _ in sizes])
 
 
 def mc_rbo(x, y, rng, gamma=0.05, step=0.001, steps=500, support=25):
@@ -239,36 +272,105 @@ def mdo(x, y, rng, k1=5, k2=6, share=0.5):
     return _joined(x, y, made)
 
 
-def nromm(x, y, rng, k=5, tries=20):
-    """Rows inland, at the border or trapped (by local purity) breed with weights .5, 1, 1.5; a point stays only if it is
-    nearer to its class than to others; at last inland rows nearer to others than to their own go."""
-    sizes, made = _by_size(y), []
-    safe = safe_levels(x, y, k)
-    for c, n in sizes[1:]:
-        pool, rest, purity = x[y == c], x[y != c], safe[y == c]
-        weight = np.where(purity >= 0.75, 0.5, np.where(purity >= 0.25, 1.0, 1.5))
-        kin, _ = near(pool, k)
-        new = []
-        for _ in range(sizes[0][1] - n):
-            for _ in range(tries):
-                i = rng.choice(n, p=weight / weight.sum())
-                other = pool[rng.choice(kin[i])] if kin.shape[1] else pool[i]
-                z = pool[i] + rng.uniform(0.5, 1) * (other - pool[i])
-                mine, theirs = np.sqrt(((pool - z) ** 2).sum(1)).min(), np.sqrt(((rest - z) ** 2).sum(1)).min()
-                if theirs > 1.05 * mine:
-                    break
-            else:
-                z = interpolated(pool, 1, k, rng)[0]
-            new.append(z)
-        made.append((np.array(new).reshape(-1, x.shape[1]), c))
-    out_x, out_y = _joined(x, y, made)
+def density_peaks(x) -> np.ndarray:
+    """A cluster for each row: centres are the rows of largest density times distance to a denser row, the square root of half
+    the rows in number; all others go with their nearest denser row."""
+    n = len(x)
+    if n <= 2:
+        return np.zeros(n, np.int64)
+    _, away = near(x, min(max(15, int(np.sqrt(n))), n - 1))
+    rho = np.exp(-((away / max(float(np.median(away[:, -1])), 1e-12)) ** 2)).sum(1)
+    order = np.argsort(-rho, kind="stable")
+    parent, delta = np.full(n, -1), np.zeros(n)
+    delta[order[0]] = away[order[0]].max()
+    for place in range(1, n):
+        i, denser = order[place], order[:place]
+        d = np.sqrt(((x[denser] - x[i]) ** 2).sum(1))
+        parent[i], delta[i] = denser[d.argmin()], d.min()
+    label = np.full(n, -1)
+    centres = np.argsort(-rho * delta, kind="stable")[: int(np.ceil(np.sqrt(n / 2)))]
+    label[centres] = np.arange(len(centres))
+    for i in order:  # the denser row has its cluster already
+        if label[i] < 0:
+            label[i] = label[parent[i]] if parent[i] >= 0 else 0
+    return label
+
+
+INLAND, BORDER, TRAPPED = range(3)
+
+
+def nromm_groups(pool, rest, k=5) -> tuple[np.ndarray, np.ndarray]:
+    """Inland, border or trapped for each row of a class against the rest, by purity of its neighbourhood, its margin (how much
+    farther the rest is than its class) and its cluster's mean margin; and whether the rest is nearer than its own class."""
+    kin = near(pool, 1)[1]
+    same = kin[:, 0] if kin.shape[1] else np.ones(len(pool))
+    if not len(rest):
+        return np.full(len(pool), INLAND), np.zeros(len(pool), bool)
+    other = near(pool, 1, rest)[1][:, 0]
+    both = np.concatenate([pool, rest])
+    at = near(both, min(k, len(both) - 1))[0][: len(pool)]
+    purity, margin, cluster = (at < len(pool)).mean(1), other - same, density_peaks(pool)
+    mean = (np.bincount(cluster, margin) / np.maximum(np.bincount(cluster), 1))[cluster]
+    inland = (purity >= 0.75) & (margin > 0) & (mean >= 0)
+    trapped = ~inland & ((purity <= 0.25) | (margin <= 0) | ((mean < 0) & (purity < 0.5)))
+    return np.where(inland, INLAND, np.where(trapped, TRAPPED, BORDER)), other < same
+
+
+def within_boundary(seed, point, rest) -> np.ndarray:
+    """The point, drawn back toward its seed to 0.95 of the way to the nearest of the rest."""
+    if not len(rest):
+        return point
+    bound = max(0.95 * np.sqrt(((rest - seed) ** 2).sum(1)).min(), 1e-12)
+    far = np.sqrt(((point - seed) ** 2).sum())
+    return seed + (point - seed) / far * bound if far > bound else point
+
+
+def nromm(x, y, rng, k=5, margin=1.05, ratio=20):
+    """Each class against the inland rows of the larger ones: its rows breed by group (inland .5, border 1, trapped 1.5),
+    trapped ones from half the way or more toward others of their class; points are kept within the seed's boundary
+    and count if they are nearer to their class than to the rest by the margin. At last inland rows to which others are
+    nearer than their own go."""
+    sizes = _by_size(y)
+    held = {c: x[y == c] for c, _ in sizes}
+    for pos, (c, n) in enumerate(sizes[1:], 1):
+        need, pool = sizes[0][1] - n, held[c]
+        if need <= 0:
+            continue
+        if n == 1:
+            held[c] = np.concatenate([pool, np.repeat(pool, need, 0)])
+            continue
+        larger = []
+        for other, _ in sizes[:pos]:
+            inland = nromm_groups(held[other], pool, k)[0] == INLAND
+            larger.append(held[other][inland] if inland.any() else held[other])
+        rest = np.concatenate(larger)
+        group, _ = nromm_groups(pool, rest, k)
+        weight = np.array([0.5, 1.0, 1.5])[group]
+        kin, some = near(pool, k)[0], lambda mask: pool[mask] if mask.any() else pool  # noqa: B023
+        free, inland = some(group != TRAPPED), pool[group == INLAND]
+        new, seeds = [], iter(rng.choice(n, need * ratio + 50, p=weight / weight.sum()))
+        while len(new) < need and (i := next(seeds, None)) is not None:
+            start = pool[i]
+            if group[i] == TRAPPED:
+                start = start + rng.uniform(0.5, 1) * (free[rng.integers(len(free))] - start)
+            toward = free if group[i] == BORDER or not len(inland) else inland
+            z = start + rng.random() * (toward[rng.integers(len(toward))] - start)
+            step = pool[i] + rng.random() * (pool[rng.choice(kin[i])] - pool[i])
+            z = within_boundary(pool[i], (z + step) / 2, rest)
+            if np.sqrt(((rest - z) ** 2).sum(1)).min() > margin * np.sqrt(((pool - z) ** 2).sum(1)).min():
+                new.append(z)
+        for i in rng.choice(n, need - len(new), p=weight / weight.sum()):
+            new.append(within_boundary(pool[i], pool[i] + rng.random() * (pool[rng.choice(kin[i])] - pool[i]), rest))
+        held[c] = np.concatenate([pool, np.array(new)])
+    out_x, out_y = np.concatenate([held[c] for c, _ in sizes]), np.repeat([c for c, _ in sizes], [len(held[c]) for c, _ in sizes])
     keep = np.ones(len(out_y), bool)
-    inland = np.flatnonzero(safe >= 0.75)
-    for i in inland:
-        own = np.flatnonzero((out_y == y[i]) & (np.arange(len(out_y)) != i))
-        if len(own) and np.sqrt(((out_x[out_y != y[i]] - x[i]) ** 2).sum(1)).min() < np.sqrt(((out_x[own] - x[i]) ** 2).sum(1)).min():
-            keep[i] = (keep & (out_y == y[i])).sum() <= 2
-    return out_x[keep], out_y[keep]
+    for c, _ in sizes:
+        rows = np.flatnonzero(out_y == c)
+        group, nearer = nromm_groups(out_x[rows], out_x[out_y != c], k)
+        gone = (group == INLAND) & nearer
+        if not gone.all():
+            keep[rows[gone]] = False
+    return (out_x[keep], out_y[keep]) if keep.sum() >= 2 else (out_x, out_y)
 
 
 def candidate_region(x, y, i, stop=5) -> tuple[np.ndarray, np.ndarray]:
@@ -429,41 +531,57 @@ def smom(x, y, rng, k=5, trapped=0.2, least=3):
     return _joined(x, y, made)
 
 
-def class_similarity(x, y, k=5) -> np.ndarray:
-    """Symmetric: how often classes stand among each other's neighbours; 1 on the diagonal."""
+def class_similarity(y, at) -> np.ndarray:
+    """Symmetric: how often classes stand among each other's neighbours (at); 1 on the diagonal."""
     classes = int(y.max()) + 1
-    at, _ = near(x, k)
-    mix = np.zeros((classes, classes))
-    np.add.at(mix, (np.repeat(y, at.shape[1]), y[at].ravel()), 1.0)
+    mix = np.bincount(np.repeat(y, at.shape[1]) * classes + y[at].ravel(), minlength=classes**2).reshape(classes, classes).astype(float)
     mix /= np.maximum(mix.sum(1, keepdims=True), 1.0)
     out = (mix + mix.T) / 2
     np.fill_diagonal(out, 1.0)
     return out
 
 
+def with_copy(x, at, away, b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x with a copy of row b at its end, and the neighbour lists as they are then: the copy comes after what is as near."""
+    k, new = at.shape[1], len(x)
+    d = np.sqrt(((x - x[b]) ** 2).sum(1))
+    at, away = at.copy(), away.copy()
+    for i in np.flatnonzero(d < away[:, -1]):
+        spot = int(np.searchsorted(away[i], d[i], "right"))
+        at[i], away[i] = np.insert(at[i], spot, new)[:k], np.insert(away[i], spot, d[i])[:k]
+    own = np.lexsort((np.arange(new), d))[:k]
+    return np.concatenate([x, x[b : b + 1]]), np.concatenate([at, own[None]]), np.concatenate([away, d[own][None]])
+
+
 def soup(x, y, rng, k=5, update=True):
     """To the mean class size: larger classes lose their least safe rows, smaller ones copy their safest; safety is the mean
     similarity of a row's class to its neighbours', taken anew after each class (and each copy if update)."""
     sizes = _by_size(y)
     goal = int(np.round(np.mean([n for _, n in sizes])))
 
-    def safety(x, y):
-        sim, at = class_similarity(x, y, k), near(x, k)[0]
-        return sim[y[:, None], y[at]].mean(1) if at.shape[1] else np.ones(len(y))
+    def safety(y, at, rows):
+        return class_similarity(y, at)[y[rows, None], y[at[rows]]].mean(1) if at.shape[1] else np.ones(len(rows))
 
     for c, n in sizes:
         if n > goal:
             rows = np.flatnonzero(y == c)
-            s = safety(x, y)[rows] + rng.random(n) * 1e-9
+            s = safety(y, near(x, k)[0], rows) + rng.random(n) * 1e-9
             drop = rows[np.argsort(s)[: n - goal]]
             x, y = np.delete(x, drop, 0), np.delete(y, drop)
+    at, away = near(x, k)
     for c, n in reversed(sizes):
         while n < goal:
             rows = np.flatnonzero(y == c)
-            s = safety(x, y)[rows] + rng.random(len(rows)) * 1e-9
+            s = safety(y, at, rows) + rng.random(len(rows)) * 1e-9
             times = 1 if update else goal - n
             best = rows[np.argsort(-s)[np.arange(times) % len(rows)]]
-            x, y, n = np.concatenate([x, x[best]]), np.concatenate([y, y[best]]), n + times
+            if at.shape[1] < k:  # too few rows yet for whole lists
+                x = np.concatenate([x, x[best]])
+                at, away = near(x, k)
+            else:
+                for b in best:
+                    x, at, away = with_copy(x, at, away, b)
+            y, n = np.concatenate([y, y[best]]), n + times
     return x, y
 
 

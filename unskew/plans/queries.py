@@ -478,14 +478,14 @@ def up_down_sampling(spark, sf_dir):
 
 def _resampled(method: str, **settings):
     def run(spark, sf_dir):
-        rows = small_points(spark, sf_dir).withColumn("fold", F.lit(1))
+        rows = points(spark, sf_dir).withColumn("fold", F.lit(1))
         return resamplers.resample(rows, method, ["fold"], **settings).groupBy("fold", "label").agg(F.count("*").alias("n"), F.avg(F.get("features", F.lit(0))).alias("mean_first"))
 
     return run
 
 
 for _name in ("EB-SMOTE", "glos", "mc_ccr", "mc_rbo", "mdo", "nromm", "orem_m", "QC-SMOTE", "shsampler", "smom", "soup"):
-    QUERIES[f"resample_{_name.lower().replace('-', '_')}"] = _resampled(_name, **({"steps": 30} if _name == "mc_rbo" else {"update": False} if _name == "soup" else {}))
+    QUERIES[f"resample_{_name.lower().replace('-', '_')}"] = _resampled(_name)
 BALANCED_SQL = """
     WITH c AS (SELECT CASE WHEN label < 6 THEN 0 WHEN label < 9 THEN 1 ELSE 2 END AS label, count(*) AS n FROM embeddings GROUP BY 1)
     SELECT 1 AS fold, label, CAST({goal} AS BIGINT) AS n FROM c"""
