@@ -51,3 +51,21 @@ def test_failed_models_are_left_out(spark):
     cells = spark.createDataFrame([("a", "d", "keel", 0.5, ""), ("a", "e", "keel", 0.6, ""), ("b", "d", "keel", 0.9, ""), ("b", "e", "keel", 0.9, " x ")], "Model string, Dataset string, Source string, F1 double, Error string")
     got = report.rankings(report.with_group(cells), ("F1",)).collect()
     assert {(r["Group"], r["Model"]) for r in got} == {("Overall", "a"), ("keel", "a")}
+
+
+@pytest.mark.parametrize("slices", [2, 7, 64])
+def test_ranks_by_slices(spark, slices):
+    """Many rows of one score, few rows, and no scores at all but one."""
+    made = [(i, "a", float(i % 3 == 0)) for i in range(300)] + [(i, "b", float(i * 37 % 101)) for i in range(300, 400)] + [(400, "c", 1.0)] + [(401 + i, None, 2.0) for i in range(9)]
+    got = sampling.with_rank(spark.createDataFrame(made, "id long, label string, s double"), F.col("s"), "label", slices=slices).collect()
+    want = {}
+    for label in ("a", "b", "c", None):
+        want |= {i: r for r, (_, i) in enumerate(sorted((s, i) for i, y, s in made if y == label), 1)}
+    assert {r["id"]: r["place"] for r in got} == want
+
+
+@pytest.mark.parametrize("name", ["soup_undersample", "soup_replicate", "roulette_delete", "largest_remainder", "weighted_sample", "did_scores", "inverse_density"])
+def test_no_window_gathers_a_class(spark, sf, name):
+    text = plan(Q.QUERIES[name](spark, sf))
+    for keys in re.findall(r"Window \[.*?\], \[(.*?)\]", text):
+        assert not re.fullmatch(r"(label|o_orderpriority)#\d+", keys.strip()) or "__before" in text, keys

@@ -144,10 +144,13 @@ def inverse_density(rows: DataFrame, k: int = 5) -> DataFrame:
     """id, label, density: mean 1 / distance to same-class rows among the k nearest (1 if none), over its class mean, turned
     by exp(-x) and again over its class mean."""
     near = neighbours(rows, k).where("neighbour_label = label").groupBy("id").agg(F.avg(1 / F.greatest("dist", F.lit(1e-10))).alias("r"))
-    each = Window.partitionBy("label")
-    out = rows.select("id", "label").join(near, "id", "left").withColumn("r", F.coalesce("r", F.lit(1.0)))
-    out = out.withColumn("e", F.exp(-F.col("r") / F.avg("r").over(each)))
-    return out.select("id", "label", (F.col("e") / F.avg("e").over(each)).alias("density"))
+    out = checkpointed(rows.select("id", "label").join(near, "id", "left").withColumn("r", F.coalesce("r", F.lit(1.0))))
+
+    def over_mean(df: DataFrame, column: str) -> DataFrame:
+        return df.join(F.broadcast(df.groupBy("label").agg(F.avg(column).alias("__mean"))), "label")  # a row a class
+
+    out = over_mean(out, "r").select("id", "label", F.exp(-F.col("r") / F.col("__mean")).alias("e"))
+    return over_mean(out, "e").select("id", "label", (F.col("e") / F.col("__mean")).alias("density"))
 
 
 def reception_rate(rows: DataFrame, k: int = 7) -> DataFrame:

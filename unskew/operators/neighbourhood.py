@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import interpolate, min_max, squared_distance, uniform
+from ..lineage import checkpointed
 from .knn import neighbours
 
 
@@ -41,14 +42,18 @@ def safety(edges: DataFrame) -> DataFrame:
 
 def drop_least_safe(rows: DataFrame, scores: DataFrame, goal: Column | int) -> DataFrame:
     """Of classes over the goal the rows of most safety (ties: the smaller id); smaller classes whole."""
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("safety"), "id"))
-    return rows.join(scores.select("id", "safety"), "id").withColumn("__r", place).where(F.col("__r") <= goal).drop("__r", "safety")
+    from .sampling import with_rank
+
+    ranked = with_rank(rows.join(scores.select("id", "safety"), "id"), -F.col("safety"), "label", out="__r")
+    return ranked.where(F.col("__r") <= goal).drop("__r", "safety")
 
 
 def repeat_safest(rows: DataFrame, scores: DataFrame, goal: int) -> DataFrame:
     """label, id, copies of classes under the goal: rows in the order of safety are copied in turns until it is reached."""
-    w = Window.partitionBy("label")
-    ranked = rows.select("id", "label").join(scores.select("id", "safety"), "id").withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("safety"), "id")) - 1)
+    from .sampling import class_counts, with_rank
+
+    ranked = with_rank(rows.select("id", "label").join(scores.select("id", "safety"), "id"), -F.col("safety"), "label", out="r")
+    ranked = ranked.join(F.broadcast(class_counts(rows)), "label").withColumn("r", F.col("r") - 1)
     need = F.greatest(F.lit(goal) - F.col("n"), F.lit(0))
     copies = F.floor(need / F.col("n")) + (F.col("r") < need % F.col("n")).cast("long")
     return ranked.select("label", "id", copies.cast("long").alias("copies")).where("copies > 0")
@@ -57,8 +62,11 @@ def repeat_safest(rows: DataFrame, scores: DataFrame, goal: int) -> DataFrame:
 def roulette_delete(rows: DataFrame, safe: DataFrame, goal: int, seed: int = 42) -> DataFrame:
     """Of classes over the goal, rows are drawn away without replacement by weight 1 - safe; label, id of what stays."""
     key = F.ln(F.greatest(uniform(seed, "id"), F.lit(1e-12))) / (1 - F.col("safe") + 1e-6)
-    place = F.row_number().over(Window.partitionBy("label").orderBy(key, "id"))  # the races' losers stay
-    return rows.select("id", "label").join(safe.select("id", "safe"), "id").withColumn("__r", place).where(F.col("__r") <= goal).select("id", "label")
+    from .sampling import with_rank
+
+    # the races' losers stay
+    ranked = with_rank(rows.select("id", "label").join(safe.select("id", "safe"), "id"), key, "label", out="__r")
+    return ranked.where(F.col("__r") <= goal).select("id", "label")
 
 
 def did(edges: DataFrame) -> DataFrame:
@@ -66,16 +74,21 @@ def did(edges: DataFrame) -> DataFrame:
     same = F.col("neighbour_label") == F.col("label")
     each = edges.groupBy("id", "label").agg(F.avg(F.when(same, F.col("dist"))).alias("s"), F.avg(F.when(~same, F.col("dist"))).alias("o"))
     each = each.withColumn("did", F.coalesce("o", F.lit(0.0)) / F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(1e-12)))
-    return each.select("id", "label", "did", (F.col("did") < F.avg("did").over(Window.partitionBy("label"))).alias("hard"))
+    each = checkpointed(each)
+    mean = each.groupBy("label").agg(F.avg("did").alias("__mean"))  # a row a class
+    return each.join(F.broadcast(mean), "label").select("id", "label", "did", (F.col("did") < F.col("__mean")).alias("hard"))
 
 
 def largest_remainder(weights: DataFrame, total: int, key: str = "id", weight: str = "weight", *partition: str) -> DataFrame:
     """key, quota: total shared out by weight within each partition; ties of remainders go to the smaller key."""
-    w = Window.partitionBy(*partition)
-    shared = weights.withColumn("__share", F.col(weight) / F.sum(weight).over(w) * total).withColumn("__low", F.floor("__share"))
-    place = F.row_number().over(w.orderBy(F.desc(F.col("__share") - F.col("__low")), key))
-    left = F.lit(total) - F.sum("__low").over(w)
-    return shared.select(*partition, key, (F.col("__low") + (place <= left).cast("long")).alias("quota"))
+    from .sampling import with_rank
+
+    sums = weights.groupBy(*partition).agg(F.sum(weight).alias("__sum"))
+    met = lambda df, more: df.join(F.broadcast(more), list(partition)) if partition else df.crossJoin(F.broadcast(more))
+    shared = met(weights, sums).withColumn("__share", F.col(weight) / F.col("__sum") * total).withColumn("__low", F.floor("__share"))
+    placed = checkpointed(with_rank(shared, F.col("__low") - F.col("__share"), *partition, id_col=key, out="__place"))
+    left = placed.groupBy(*partition).agg((F.lit(total) - F.sum("__low")).alias("__left"))
+    return met(placed, left).select(*partition, key, (F.col("__low") + (F.col("__place") <= F.col("__left")).cast("long")).alias("quota"))
 
 
 def density_clipped(scores: DataFrame, value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:

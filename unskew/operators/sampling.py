@@ -9,8 +9,8 @@ from ..functions.vectors import interpolate, uniform
 from ..lineage import checkpointed
 from .knn import neighbours
 
-#: Into how many slices a class is cut to place its rows.
-SLICES = 1024
+#: Into how many slices a class is cut to place its rows by hash, and by score.
+SLICES, SCORE_SLICES = 1024, 64
 
 
 def class_counts(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -61,6 +61,35 @@ def with_place(rows: DataFrame, seed: int, *partition: str, id_col: str = "id",
     return placed.withColumn(out, F.col("__own") + F.col("__before")).select(*rows.columns, out)
 
 
+def with_rank(rows: DataFrame, score: Column, *partition: str, id_col: str = "id", out: str = "place", slices: int = SCORE_SLICES) -> DataFrame:
+    """rows with their place (from 1) in each partition by rising score, then id.
+
+    A partition may hold a third of all rows, and many of them one score, so no window gathers it: quantiles of the score cut
+    it into slices, and a slice of one score is cut by quantiles of the id; rows are placed within their slice, and a count of
+    the slices before it is added. What is broadcast has slices squared numbers a partition at most.
+    """
+    rows = checkpointed(rows.withColumn("__score", score.cast("double")))
+    shares = [k / slices for k in range(1, slices)]
+    under = lambda bounds, x: F.size(F.filter(bounds, lambda b: b < F.col(x)))
+
+    def met(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+        named = right.select(*[F.col(k).alias(f"__key_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+        return left.join(F.broadcast(named), same).drop(*[f"__key_{k}" for k in keys])
+
+    cut = met(rows, rows.groupBy(*partition).agg(F.percentile_approx("__score", shares, 10_000).alias("__b")), *partition).withColumn("__slice", under("__b", "__score"))
+    ends = cut.groupBy(*partition, "__slice").agg((F.min("__score") == F.max("__score")).alias("__one"), F.percentile_approx(id_col, shares, 10_000).alias("__ids"))
+    cut = met(cut, ends, *partition, "__slice").withColumn("__part", F.when(F.col("__one"), under("__ids", id_col)).otherwise(0))
+    sizes = cut.groupBy(*partition, "__slice", "__part").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*partition).orderBy("__slice", "__part").rowsBetween(Window.unboundedPreceding, -1)  # over slices, not rows
+    before = sizes.select(*partition, "__slice", "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(*partition, "__slice", "__part").orderBy("__score", id_col))
+    placed = met(cut.withColumn("__own", own), before, *partition, "__slice", "__part")
+    return placed.withColumn(out, F.col("__own") + F.col("__before")).select(*[c for c in rows.columns if c not in (out, "__score")], out)
+
+
 def stratified_folds(rows: DataFrame, n: int = 5, seed: int = 42, label: str = "label", id_col: str = "id") -> DataFrame:
     """rows with fold (from 1): each class is dealt evenly."""
     placed = with_place(rows, seed, label, id_col=id_col, out="__place")
@@ -102,8 +131,7 @@ def stratified_cap(rows: DataFrame, cap: int, seed: int = 42, label: str = "labe
 def weighted_without_replacement(rows: DataFrame, weight: Column, n: int, seed: int, *partition: str, id_col: str = "id") -> DataFrame:
     """n rows of each partition, drawn by weight: the largest log(u) / w (exponential races)."""
     key = F.ln(F.greatest(uniform(seed, id_col), F.lit(1e-12))) / F.greatest(weight, F.lit(1e-12))
-    place = F.row_number().over(Window.partitionBy(*partition).orderBy(F.desc(key), id_col))
-    return rows.withColumn("__r", place).where(F.col("__r") <= n).drop("__r")
+    return with_rank(rows, -key, *partition, id_col=id_col, out="__r").where(F.col("__r") <= n).drop("__r")
 
 
 def self_paced(rows: DataFrame, hardness: str, round_: int, rounds: int, bins: int = 20, seed: int = 42, label: str = "label", id_col: str = "id") -> DataFrame:
