@@ -86,6 +86,19 @@ def margin_hardness(proba: str, label: str) -> Column:
     return (1 - own + others) / 2
 
 
+def paced_hardness(h: Column, strategy: str, density: Column | None = None, proba: str | Column | None = None) -> Column:
+    """Margin hardness as a pacing strategy sees it: density weighs it by .55 to 1, margin and boundary lift it by the power .75,
+    entropy averages it with the probabilities' entropy over its largest value."""
+    if strategy in ("density", "boundary", "density_cost"):
+        h = F.least(F.greatest(h * (0.55 + 0.45 * density), F.lit(0.0)), F.lit(1.0))
+    if strategy in ("margin", "boundary"):
+        return F.least(F.greatest(F.pow(h, 0.75), F.lit(0.0)), F.lit(1.0))
+    if strategy == "entropy":
+        total = -F.aggregate(proba, F.lit(0.0), lambda s, p: s + p * F.ln(p + 1e-12))
+        return 0.5 * h + 0.5 * total / F.ln(F.size(proba))
+    return h
+
+
 def balance_entropy(counts: str | Column) -> Column:
     """log2 S - (sum c log2 c) / S of a count vector; 0 when empty."""
     total = F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)

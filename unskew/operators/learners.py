@@ -445,7 +445,7 @@ def hrielm(x, y, classes, seed, hidden=200, ridge=0.01, k=5, share=0.2) -> Predi
     return predict
 
 
-def eass(x, y, classes, seed, episodes=3, members=5, depth=12) -> Predict:
+def eass(x, y, classes, seed, episodes=5, members=5, depth=12) -> Predict:
     """Episodes of ensembles on class-wise Gaussian selections by loss (random actions); the best by validation F1 stays."""
     rng = np.random.default_rng(seed)
     hold = rng.random(len(y)) < 0.2
@@ -469,9 +469,65 @@ def eass(x, y, classes, seed, episodes=3, members=5, depth=12) -> Predict:
     return lambda z: np.mean([m.predict_proba(z) for m in best[1]], 0)
 
 
-def diag_select(x, y, classes, seed, trees=100) -> Predict:
-    """A constant policy keeps every row; the head is a class-weighted forest."""
-    return fit_forest(x, y, classes, trees, seed, w=_class_weight(y, classes)).predict_proba
+def select_rows(p: np.ndarray, y: np.ndarray, most: int = 0) -> np.ndarray:
+    """Rows of selection probability .5 or more, the most probable of a class without any, and of over `most` (0: all) the most
+    probable of each class and then overall."""
+    keep = p >= 0.5
+    for c in np.unique(y):
+        own = np.flatnonzero(y == c)
+        keep[own[p[own].argmax()]] |= not keep[own].any()
+    if most and keep.sum() > most:
+        first = np.zeros(len(y), bool)
+        for c in np.unique(y):
+            own = np.flatnonzero((y == c) & keep)
+            first[own[p[own].argmax()]] = True
+        rest = np.flatnonzero(keep & ~first)
+        first[rest[np.argsort(-p[rest], kind="stable")[: max(0, most - first.sum())]]] = True
+        keep = first
+    return keep
+
+
+def diag_select(x, y, classes, seed, trees=100, episodes=5, draws=2, rate=0.5, most=0) -> Predict:
+    """A policy chooses the rows that a class-weighted forest learns from. Its state are a row's probability, margin and entropy
+    under a forest that hasn't seen it, its class's share, and how many neighbours share its class. The policy, logistic,
+    is first fitted to whether that forest is right, then moved by REINFORCE: the forest of a drawn selection is rewarded
+    by its F1 on a fifth of the rows. The best deterministic selection of the episodes trains the model."""
+    rng = np.random.default_rng(seed)
+    hold = rng.random(len(y)) < 0.2
+    hold[[np.flatnonzero(y == c)[0] for c in np.unique(y)]] = False
+    tx, ty, few = x[~hold], y[~hold], max(5, trees // 10)
+    part, proba = rng.integers(0, 2, len(ty)), np.full((len(ty), classes), 1 / classes)
+    for k in (0, 1):
+        if len(np.unique(ty[part != k])) > 1 and (part == k).any():
+            proba[part == k] = fit_forest(tx[part != k], ty[part != k], classes, few, seed + k, w=_class_weight(ty[part != k], classes)).predict_proba(tx[part == k])
+    own = proba[np.arange(len(ty)), ty]
+    other = np.where(np.arange(classes) == ty[:, None], -1.0, proba).max(1)
+    entropy = -(proba * np.log(np.maximum(proba, 1e-12))).sum(1) / np.log(max(2, classes))
+    share = (np.bincount(ty, minlength=classes) / len(ty))[ty]
+    state = np.column_stack([own, own - other, entropy, share, resamplers.safe_levels(tx, ty), np.ones(len(ty))])
+    policy, right = np.zeros(state.shape[1]), (own > other).astype(float)
+    score = lambda: 1 / (1 + np.exp(-np.clip(state @ policy, -30, 30)))
+    for _ in range(200):
+        policy += state.T @ (right - score()) / len(ty)
+
+    def head(keep, trees, seed):
+        return fit_forest(tx[keep], ty[keep], classes, trees, seed, w=_class_weight(ty[keep], classes))
+
+    def reward(keep, seed):
+        return _reward(y[hold], head(keep, few, seed).predict_proba(x[hold]).argmax(1), classes) if hold.any() else 0.0
+
+    best = None
+    for episode in range(episodes):
+        keep = select_rows(score(), ty, most)
+        base = reward(keep, seed + episode)
+        if best is None or base > best[0]:
+            best = (base, keep)
+        for _ in range(draws):
+            p = score()
+            drawn = rng.random(len(ty)) < p
+            gain = reward(drawn | select_rows(np.where(drawn, p, 0.0), ty), seed + episode) - base
+            policy += rate * gain * state.T @ (drawn - p) / len(ty)
+    return head(best[1], trees, seed).predict_proba
 
 
 def dmsam_oadb(x, y, classes, seed, members=4, epochs=50) -> Predict:
@@ -531,5 +587,5 @@ LEARNERS: dict[str, Callable[..., Predict]] = {
 SMOKE = {
     "SPE": {"rounds": 3, "trees": 5}, "SPEBoost": {"rounds": 3, "trees": 5}, "DiverseSPE": {"trees": 10}, "NROMMSPE": {"rounds": 3, "trees": 5}, "AdaBoostAD": {"rounds": 5}, "LexiBoost": {"rounds": 5},
     "DualLexiBoost": {"rounds": 3, "depth": 3}, "DBCF": {"channels": 1, "layers": 2, "forests": 2, "trees": 5}, "DEAHS": {"rounds": 3, "trees": 5, "actions": 2}, "ILMNN": {"steps": 5}, "imDEF": {"sets": 3, "trees": 5},
-    "FRAME": {"epochs": 20}, "HRIELM": {"hidden": 64}, "EASS": {"episodes": 1}, "DiagSelect": {"trees": 10}, "DMSAM-OAdB": {"members": 2, "epochs": 10}, "DDPM": {"epochs": 10}, "mc_rbo": {"steps": 50},
+    "FRAME": {"epochs": 20}, "HRIELM": {"hidden": 64}, "EASS": {"episodes": 1}, "DiagSelect": {"trees": 10, "episodes": 2, "draws": 1}, "DMSAM-OAdB": {"members": 2, "epochs": 10}, "DDPM": {"epochs": 10}, "mc_rbo": {"steps": 50},
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dempster
 from ..functions import vectors as V
-from ..operators import knn, metrics, neighbourhood, report, resamplers, sampling
+from ..operators import knn, metrics, neighbourhood, report, resamplers, sampling, selection
 from ..sources import baselines
 from ..streaming import monitor
 from . import benchmark
@@ -435,6 +435,70 @@ def equal_width_bins(spark, sf_dir):
     return rows.crossJoin(F.broadcast(ends)).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+@query(f"""
+    WITH o AS (SELECT o_orderkey, o_orderpriority, {V.uniform_sql(5, 'o_orderkey')} AS p FROM orders),
+    f AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY p DESC, o_orderkey) = 1 AS best FROM o),
+    r AS (SELECT *, row_number() OVER (ORDER BY best DESC, p DESC, o_orderkey) AS place FROM f WHERE p >= 0.5 OR best)
+    SELECT o_orderkey, o_orderpriority FROM r WHERE place <= 500 OR best""")
+def budgeted_selection(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", V.uniform(5, "o_orderkey").alias("p"))
+    return selection.budgeted(rows, "p", 500, "o_orderpriority", "o_orderkey").select("o_orderkey", "o_orderpriority")
+
+
+WEIGHED = f"""w AS (SELECT p.id, p.label, p.f, e.d2 AS wt FROM points p JOIN e ON e.id = p.id AND e.k = p.label WHERE p.label = 2), k AS (SELECT (SELECT count(*) FROM points WHERE label = 0) - count(*) AS want, count(*) AS n, sum(wt) + 1e-10 AS total FROM w),
+    y AS (SELECT w.*, greatest(1, round_even(wt / total * want, 0))::BIGINT AS m, row_number() OVER (ORDER BY wt, id) AS r FROM w, k), o AS (SELECT want - sum(m) AS off FROM y, k GROUP BY want),
+    s AS (SELECT y.*, off, k.n AS n, coalesce(sum(m - 1) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM y, o, k),
+    times AS (SELECT id, label, f, r, CASE WHEN off > 0 THEN m + CASE WHEN r > n - off THEN 1 ELSE 0 END ELSE m - least(m - 1, greatest(-off - before, 0)) END AS m FROM s),
+    kin AS (SELECT * FROM (SELECT a.id, b.id AS nb, b.f AS g, row_number() OVER (PARTITION BY a.id ORDER BY sqrt(list_sum(list_transform(list_zip(a.f, b.f), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), b.id) AS near FROM w a JOIN w b ON a.id <> b.id) WHERE near <= 5),
+    drawn AS (SELECT *, floor({V.uniform_sql(42, 'id', 'copy', "'near'")} * (SELECT least(5, n - 1) FROM k)) + 1 AS near FROM (SELECT *, unnest(range(1, CAST(m AS BIGINT) + 1)) AS copy FROM times))"""
+
+
+@query(f"""
+    WITH {POINTS}, {CENTRES}, {WEIGHED}
+    SELECT CAST(-(r * 4294967296 + copy) AS BIGINT) AS id, label, {V.as_text_sql(f"list_transform(list_zip(f, g), lambda z: z[1] + {V.uniform_sql(42, 'id', 'copy', chr(39) + 'gap' + chr(39))} * (z[2] - z[1]))")} AS features FROM drawn JOIN kin USING (id, near)""")
+def weighted_oversample(spark, sf_dir):
+    """The smallest class to the size of the largest, weighed by squared distance to its centre."""
+    rows = points(spark, sf_dir)
+    centres = neighbourhood.centroids(rows)
+    weighed = rows.join(F.broadcast(centres), "label").withColumn("w", V.squared_distance("features", "centre"))
+    got = selection.weighted_oversample(weighed, "w", 2, sampling.class_targets(rows).first()["max_target"])
+    return got.select("id", "label", V.as_text("features").alias("features"))
+
+
+@query(f"""
+    WITH {POINTS}, {PAIRS}, {nearest_sql(10, 'own', 'label = nl')}, e AS (SELECT id, nb, exp(min(d * d) OVER (PARTITION BY id) - d * d) AS e FROM own)
+    SELECT id, nb AS neighbour, round(e / (sum(e) OVER (PARTITION BY id) + 1e-12), 6) AS p FROM e""")
+def target_distribution(spark, sf_dir):
+    return rounded(selection.target_distribution(points(spark, sf_dir)))
+
+
+@query(f"""
+    WITH {POINTS}, {PAIRS}, {CENTRES}, q AS (SELECT p.id, p.label, p.f AS s, c.centre AS z FROM points p JOIN c ON c.label = 2 WHERE p.label = 2),
+    b AS (SELECT id, greatest(min(d) * 0.95, 1e-12) AS b FROM pairs WHERE nl <> label GROUP BY id), m AS (SELECT id, s, z, b, sqrt(list_sum(list_transform(list_zip(s, z), lambda t: (t[2] - t[1]) * (t[2] - t[1])))) AS far FROM q JOIN b USING (id))
+    SELECT id, {V.as_text_sql('CASE WHEN far > b THEN list_transform(list_zip(s, z), lambda t: t[1] + (t[2] - t[1]) / far * b) ELSE z END')} AS features FROM m""")
+def within_boundary(spark, sf_dir):
+    """The centre of the smallest class as each of its rows may see it."""
+    rows = points(spark, sf_dir)
+    centre = neighbourhood.centroids(rows).where("label = 2").drop("label")
+    asked = rows.where("label = 2").crossJoin(F.broadcast(centre)).select("id", "label", F.col("features").alias("seed"), F.col("centre").alias("features"))
+    return selection.within_boundary(asked, rows).select("id", V.as_text("features").alias("features"))
+
+
+STRATEGIES = ("spe", "density", "margin", "boundary", "entropy")
+
+
+@query(f"""
+    WITH {POINTS}, {CENTRES}, x AS (SELECT id, label, k, exp(min(d2) OVER (PARTITION BY id) - d2) AS x FROM e), p AS (SELECT id, label, k, x / sum(x) OVER (PARTITION BY id) AS p FROM x),
+    h AS (SELECT id, label, (1 - max(CASE WHEN k = label THEN p END) + max(CASE WHEN k <> label THEN p END)) / 2 AS h, -sum(p * ln(p + 1e-12)) / ln(count(*)) AS entropy, {V.uniform_sql(6, 'id')} AS density FROM p GROUP BY id, label),
+    d AS (SELECT *, least(greatest(h * (0.55 + 0.45 * density), 0), 1) AS dense FROM h)
+    SELECT id, label, round(h, 6) AS spe, round(dense, 6) AS density, round(h ** 0.75, 6) AS margin, round(dense ** 0.75, 6) AS boundary, round(0.5 * h + 0.5 * entropy, 6) AS entropy FROM d""")
+def hardness_strategies(spark, sf_dir):
+    """Margin hardness under the nearest centre, by pacing strategy; densities are drawn."""
+    rows = neighbourhood.nearest_centroid(points(spark, sf_dir)).withColumnRenamed("y", "label")
+    h = V.margin_hardness("proba", "label")
+    return rounded(rows.select("id", "label", *[V.paced_hardness(h, s, V.uniform(6, "id"), "proba").alias(s) for s in STRATEGIES]))
+
+
 # -- resampling and learners -------------------------------------------------------------------------------------------
 
 
