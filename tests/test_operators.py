@@ -284,3 +284,71 @@ def test_workbook(spark, tmp_path):
         text = z.read("xl/worksheets/sheet1.xml").decode()
         assert "a&lt;b" in text and "<v>1.5</v>" in text and "nan" not in text and len(z.namelist()) == 6
     assert xlsx._name(0) == "A" and xlsx._name(27) == "AB"
+
+
+def test_excluded_models_come_last_and_are_noted(spark, tmp_path):
+    from unskew import cli
+
+    made = [("a", "d", "keel", 0.5, ""), ("a", "e", "keel", 0.6, ""), ("Zb", "d", "keel", 0.9, ""), ("c", "d", "keel", 0.4, "x"), ("c", "e", "keel", 0.4, "")]
+    rows = spark.createDataFrame([(m, d, s, v, v, v, v, 1.0, e) for m, d, s, v, e in made], "Model string, Dataset string, Source string, F1_mean double, GMean_mean double, AUC_mean double, AUPRC_mean double, Runtime_mean double, Error string")
+    rows.write.parquet(str(tmp_path / "r.parquet"))
+    got = [r["Model"] for r in cli.rank(spark, [str(tmp_path / "r.parquet")], {"a": "A"}).where("Group = 'Overall'").collect()]
+    assert got == ["A", "c", "Zb"]
+    from unskew.operators import report
+
+    notes = {r["Item"]: r["Text"] for r in report.notes(cli.read_ranked(spark, [str(tmp_path / "r.parquet")], {"a": "A"})).collect()}
+    assert notes == {"Excluded Zb": "datasets without result: keel: 1", "Excluded c": "datasets without result: keel: 1", "Renamed a": "to A, 2 rows"}
+    with pytest.raises(ValueError, match="GMean"):
+        rows.drop("GMean_mean").write.parquet(str(tmp_path / "less.parquet"))
+        cli.rank(spark, [str(tmp_path / "less.parquet")])
+
+
+def test_a_lost_writer_leaves_the_old_table(spark, tmp_path):
+    import os
+
+    from unskew.sources import tabular
+
+    path = str(tmp_path / "t.parquet")
+    tabular.write_results(spark.createDataFrame([("a", "d")], "Model string, Dataset string"), path)
+    tabular.write_results(spark.createDataFrame([("b", "d")], "Model string, Dataset string"), path)
+    assert [r["Model"] for r in tabular.read_results(spark, path).collect()] == ["b"] and not os.path.exists(path + ".old")
+    os.rename(path, path + ".old")  # lost between the two renames
+    assert [r["Model"] for r in tabular.read_results(spark, path).collect()] == ["b"]
+
+
+def test_selection_keeps_every_class():
+    from unskew.operators.learners import select_rows
+
+    p, y = np.array([0.9, 0.8, 0.7, 0.2, 0.1, 0.6]), np.array([0, 0, 0, 1, 1, 2])
+    assert select_rows(p, y).tolist() == [True, True, True, True, False, True]
+    assert select_rows(p, y, 4).tolist() == [True, True, False, True, False, True]
+    assert select_rows(p, y, 1).tolist() == [True, False, False, True, False, True]
+
+
+def test_density_peaks_and_groups():
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(0, 0.3, (40, 2)), rng.normal(5, 0.3, (40, 2))
+    label = resamplers.density_peaks(np.concatenate([a, b]))
+    assert not set(label[:40]) & set(label[40:])
+    group, nearer = resamplers.nromm_groups(np.concatenate([a, b[:1]]), b[1:])
+    assert (group[:40] == resamplers.INLAND).mean() > 0.8 and group[40] == resamplers.TRAPPED and nearer[40]
+    z = resamplers.within_boundary(a[0], b[0], b)
+    assert np.isclose(np.linalg.norm(z - a[0]), 0.95 * np.linalg.norm(b - a[0], axis=1).min())
+
+
+@pytest.mark.parametrize("settings", [{"cleaning": "remove"}, {"cleaning": "ignore"}, {"selection": "random"}, {"rivals": "complete"}])
+def test_cleaning_of_spheres(settings):
+    x, y = resamplers.run_kernel("mc_ccr", X, Y, 3, **settings)
+    n = np.bincount(y)
+    assert np.isfinite(x).all() and abs(n[2] - 90) <= 15
+    if settings.get("cleaning") != "remove":
+        assert n[0] == 90
+
+
+def test_updated_neighbour_lists_match_new_ones():
+    x = np.round(np.random.default_rng(1).normal(0, 1, (60, 2)), 1)
+    at, away = resamplers.near(x, 5)
+    for b in (3, 3, 17):
+        x, at, away = resamplers.with_copy(x, at, away, b)
+        new_at, new_away = resamplers.near(x, 5)
+        assert np.allclose(away, new_away) and (at == new_at).all()

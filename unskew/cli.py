@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
 from .operators import report
 from .operators.learners import LEARNERS
 from .plans import benchmark
@@ -41,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--source", required=True, nargs="+")
     p.add_argument("--out", help="a folder for CSV, or a file name that ends in .xlsx")
     p.add_argument("--baselines", action="store_true", help="show the means beside published ones")
+    p.add_argument("--rename", type=lambda t: dict(x.split("=", 1) for x in _names(t)), default={}, help="old=new,...: models to rename")
     p = sub.add_parser("build-ir")
     p.add_argument("--csv", required=True)
     p.add_argument("--irs", type=lambda t: [int(x) for x in _names(t)], default=[5, 10, 20, 30])
@@ -63,32 +65,44 @@ def run(spark: SparkSession, args: argparse.Namespace):
         if "PATH_NOT_FOUND" not in str(e):
             raise
         done = None
-    parts = [] if done is None else [done.withColumn("run", F.lit(0))]
-    for d in found:  # datasets have classes and folds of their own
-        todo = models
-        if done is not None:
-            grid = benchmark.grid(tabular.catalog(spark, [d]), models).select("Model", "Dataset")
-            todo = [r["Model"] for r in report.open_cells(grid, done).select("Model").collect()]
-        if todo:
-            folds = tabular.load_folds(spark, d, c.n_folds, c.base_seed)
-            folds = folds if args.full else folds.where("fold = 1")
-            pred = benchmark.predictions(folds, todo, c.base_seed, c.smoke, c.model_params).persist()
-            parts.append(benchmark.results(pred, d.source).withColumn("run", F.lit(1)))
-    table = parts[0]
-    for p in parts[1:]:
-        table = table.unionByName(p, allowMissingColumns=True)
-    table = report.last_results(table, "run").drop("run").persist()
-    table.count()
-    tabular.write_results(table, c.out)
-    return tabular.read_results(spark, c.out)
-
-
-def rank(spark: SparkSession, sources: list[str]):
+    catalog = tabular.catalog(spark, found)
+    todo = benchmark.grid(catalog, models)
+    todo = todo if done is None else report.open_cells(todo, done)
+    # the names of datasets with open cells; each has its files
+    names = {r["Dataset"] for r in todo.select("Dataset").distinct().collect()}
+    folds = None
+    for d in (d for d in found if d.name in names):
+        one = tabular.load_folds(spark, d, c.n_folds, c.base_seed)
+        folds = one if folds is None else folds.unionByName(one)
+    if folds is not None:
+        folds = checkpointed(folds if args.full else folds.where("fold = 1"))
+        classes = folds.groupBy("dataset").agg((F.max("label_idx") + 1).alias("classes"))
+        for r in classes.groupBy("classes").agg(F.collect_list("dataset").alias("datasets")).orderBy("classes").collect():
+            # all datasets of so many classes are one job of cells, and are saved when it is done
+            pred = checkpointed(benchmark.predictions(folds.where(F.col("dataset").isin(r["datasets"])), models, c.base_seed, c.smoke, c.model_params, cells=todo))
+            new = benchmark.results(pred, catalog.select(F.col("name").alias("Dataset"), F.col("source").alias("Source"))).withColumn("run", F.lit(1))
+            table = new if done is None else done.withColumn("run", F.lit(0)).unionByName(new, allowMissingColumns=True)
+            tabular.write_results(checkpointed(report.last_results(table, "run").drop("run")), c.out)
+            done = tabular.read_results(spark, c.out)
+    return done
+
+
+def read_ranked(spark: SparkSession, sources: list[str], names: dict[str, str] | None = None):
+    """All result tables as one, metrics and models under the report's names."""
     rows = tabular.read_results(spark, sources[0])
     for s in sources[1:]:
         rows = rows.unionByName(tabular.read_results(spark, s), allowMissingColumns=True)
     rows = rows.withColumnsRenamed(METRICS)
-    return report.ordered(report.rankings(report.with_group(rows)))
+    missing = [m for m in report.METRICS if m not in rows.columns]
+    if missing:
+        raise ValueError(f"result columns are missing: {', '.join(missing)}")
+    return report.normalise_models(rows, names or {})
+
+
+def rank(spark: SparkSession, sources: list[str], names: dict[str, str] | None = None):
+    """The ranking of complete models by group, with the others at the end by name alone."""
+    rows = report.with_group(read_ranked(spark, sources, names))
+    return report.ordered(report.with_excluded(report.rankings(rows), rows))
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -104,14 +118,14 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "run":
         run(spark, args).select("Model", "Dataset", "F1_mean", "GMean_mean", "AUC_mean", "AUPRC_mean", "Error").orderBy("Dataset", "Model").show(1000, False)
     elif args.command == "rank":
-        ranked = rank(spark, args.source)
+        ranked = rank(spark, args.source, args.rename)
         ranked.show(200, False)
         if args.baselines:
             means = ranked.where("Group = 'Overall'").select("Model", "F1", "GMean", "AUC", "AUPRC")
             report.with_baselines(means, baselines.baselines(spark)).orderBy(F.desc("GMean")).show(200, False)
         if args.out and args.out.endswith(".xlsx"):
             ranks = ["Group", "Model", *[c for c in ranked.columns if "ank" in c]]
-            xlsx.write(args.out, {"Mean Values": ranked.select("Group", "Model", "n_datasets", *report.METRICS), "Mean Ranking": ranked.select(*ranks)})
+            xlsx.write(args.out, {"Mean Values": ranked.select("Group", "Model", "n_datasets", *report.METRICS), "Mean Ranking": ranked.select(*ranks), "Notes": report.notes(read_ranked(spark, args.source, args.rename)).orderBy("Item")})
         elif args.out:
             ranked.write.mode("overwrite").option("header", True).csv(args.out)
     else:

@@ -56,7 +56,24 @@ def rankings(results: DataFrame, metrics: tuple[str, ...] = METRICS, keys: tuple
 
 
 def ordered(ranked: DataFrame) -> DataFrame:
-    return ranked.orderBy("Avg_Rank_excl_Runtime", F.lower("Model"))
+    """By mean rank, then name; models without a rank come last."""
+    return ranked.orderBy(F.asc_nulls_last("Avg_Rank_excl_Runtime"), F.lower("Model"))
+
+
+def with_excluded(ranked: DataFrame, results: DataFrame, keys: tuple[str, ...] = ("Group",)) -> DataFrame:
+    """ranked, and the models that miss datasets of a group by name alone."""
+    names = [*keys, "Model"]
+    left = results.select(*names).distinct().join(ranked.select(*names), names, "left_anti")
+    return ranked.unionByName(left, allowMissingColumns=True)
+
+
+def notes(results: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """Item, Text: what was left out (by model, its missing datasets by source) and what was renamed."""
+    lack = missing_by_source(results, metrics).groupBy("Model").agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%s: %d", "Source", "n"))), ", ").alias("Text"))  # a source each
+    out = lack.select(F.concat(F.lit("Excluded "), "Model").alias("Item"), F.concat(F.lit("datasets without result: "), "Text").alias("Text"))
+    if "_orig_model" in results.columns:
+        out = out.unionByName(renamed(results).select(F.concat(F.lit("Renamed "), "_orig_model").alias("Item"), F.format_string("to %s, %d rows", "Model", "n").alias("Text")))
+    return out
 
 
 def missing_by_source(results: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:

@@ -178,8 +178,8 @@ def _spheres(pool, rest, energy, reach, p, rng):
     return radius, moves, caught
 
 
-def mc_ccr(x, y, rng, energy=0.25, reach=500, p=1.0, cleaning="translate", selection="proportional", method="sampling"):
-    """Classes are lifted in turn, largest first, against the larger ones (method sampling: against an equal draw of each of
+def mc_ccr(x, y, rng, energy=0.25, reach=500, p=1.0, cleaning="translate", selection="proportional", rivals="sampling"):
+    """Classes are lifted in turn, largest first, against the larger ones (rivals sampling: an equal draw of each of
     them, else against all): spheres around their rows grow on an energy budget; others inside are pushed to the surface,
     removed or left (cleaning: translate, remove, ignore); new points fill the spheres, most in the smallest or, with
     selection random, evenly by lot."""
@@ -194,7 +194,7 @@ def mc_ccr(x, y, rng, energy=0.25, reach=500, p=1.0, cleaning="translate", selec
             rows = held[other]
             if other == c:
                 continue
-            if method != "sampling":
+            if rivals != "sampling":
                 asked[other], aside[other] = rows, rows[:0]
             elif other in [q for q, _ in sizes[:pos]]:
                 pick = np.zeros(len(rows), bool)

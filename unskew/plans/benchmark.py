@@ -65,18 +65,25 @@ def _cell(classes: int, seed: int, smoke: bool, params: dict, limit: float):
     return run
 
 
-def predictions(folds: DataFrame, models: list[str], seed: int = 42, smoke: bool = False, params: dict | None = None, limit: float = 3600) -> DataFrame:
-    """model, dataset, fold, id, y, yhat, proba, runtime, error of every test row of every cell; limit: seconds for a fold."""
+def predictions(folds: DataFrame, models: list[str], seed: int = 42, smoke: bool = False, params: dict | None = None, limit: float = 3600, cells: DataFrame | None = None) -> DataFrame:
+    """model, dataset, fold, id, y, yhat, proba, runtime, error of every test row of every cell; limit: seconds for a fold.
+
+    cells: (Model, Dataset) of those to run, if not all; all datasets of one call share the number of classes.
+    """
     unknown = [m for m in models if m not in LEARNERS]
     if unknown:
         raise ValueError(f"no such model: {', '.join(unknown)}")
     classes = folds.agg(F.max("label_idx")).first()[0] + 1
-    cells = folds.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    if cells is None:
+        cells = folds.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    else:
+        named = cells.where(F.col("Model").isin(models)).select(F.col("Model").alias("model"), F.col("Dataset").alias("dataset"))
+        cells = folds.join(F.broadcast(named), "dataset")  # models times datasets
     return cells.groupBy("model", "dataset", "fold").applyInPandas(_cell(classes, seed, smoke, params or {}, limit), PREDICTION)
 
 
-def results(pred: DataFrame, source: str) -> DataFrame:
-    """Model, Dataset, Source, each metric's mean and deviation over folds, Runtime, Error: one row a cell.
+def results(pred: DataFrame, source: str | DataFrame) -> DataFrame:
+    """Model, Dataset, Source (of all, or a table Dataset, Source), each metric's mean and deviation over folds, Runtime, Error: one row a cell.
 
     All datasets of one call share the number of classes; call it by dataset otherwise."""
     good = pred.where("error is null")
@@ -86,7 +93,8 @@ def results(pred: DataFrame, source: str) -> DataFrame:
     means = M.over_folds(each, ["model", "dataset"], [*NAMES, "Runtime"])
     errors = pred.where("error is not null").groupBy("model", "dataset").agg(F.min("error").alias("Error"))
     cells = pred.select("model", "dataset").distinct().join(errors, ["model", "dataset"], "left").join(means, ["model", "dataset"], "left")
-    cells = cells.withColumnsRenamed({"model": "Model", "dataset": "Dataset"}).withColumn("Source", F.lit(source))
+    cells = cells.withColumnsRenamed({"model": "Model", "dataset": "Dataset"})
+    cells = cells.withColumn("Source", F.lit(source)) if isinstance(source, str) else cells.join(F.broadcast(source.select("Dataset", "Source")), "Dataset")
     # a cell with a failed fold counts as failed
     return cells.select("Model", "Dataset", "Source", *[F.when(F.col("Error").isNull(), F.col(f"{n}_{k}")).alias(f"{n}_{k}") for n in [*NAMES, "Runtime"] for k in ("mean", "std")], "Error")
 

@@ -99,34 +99,50 @@ def load_folds(spark: SparkSession, data: Dataset, folds: int = 5, seed: int = 4
 RESULT_COLUMNS = ("Model", "Dataset")
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """A result table (CSV or Parquet); Model and Dataset must be there."""
-    rows = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.csv(path, header=True, inferSchema=True)
-    missing = [c for c in RESULT_COLUMNS if c not in rows.columns]
+def _files(spark: SparkSession, path: str):
+    """Path class and file system of a path."""
+    kind = spark._jvm.org.apache.hadoop.fs.Path
+    return kind, kind(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_results(spark: SparkSession, path: str, required: tuple[str, ...] = RESULT_COLUMNS) -> DataFrame:
+    """A result table (CSV or Parquet) that has the required columns. If a writer was lost while it put a new table in place
+    of the old one, the old one is read."""
+    kind, fs = _files(spark, path)
+    if not fs.exists(kind(path)) and fs.exists(kind(f"{path}.old")):
+        path = f"{path}.old"
+    plain = path.rstrip("/").removesuffix(".old")
+    rows = spark.read.parquet(path) if plain.endswith(".parquet") else spark.read.csv(path, header=True, inferSchema=True)
+    missing = [c for c in required if c not in rows.columns]
     if missing:
         raise ValueError(f"result columns are missing: {', '.join(missing)}")
     return rows
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """Replaces the table at path only once the new one is complete; columns that begin with _ stay out."""
-    spark = results.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    new, old = f"{path}.new", path
-    results.select([c for c in results.columns if not c.startswith("_")]).write.mode("overwrite").parquet(new)
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(fs_path(old), True)
-    fs.rename(fs_path(new), fs_path(old))
+    """Replaces the table at path once the new one is complete; the old one stays aside until then, so that there is one at any
+    time. Columns that begin with _ stay out."""
+    kind, fs = _files(results.sparkSession, path)
+    new, old = kind(f"{path}.new"), kind(f"{path}.old")
+    results.select([c for c in results.columns if not c.startswith("_")]).write.mode("overwrite").parquet(f"{path}.new")
+    if fs.exists(kind(path)):
+        fs.delete(old, True)
+        fs.rename(kind(path), old)
+    if not fs.rename(new, kind(path)):
+        raise OSError(f"{path} could not be put in place; the former table is {path}.old")
+    fs.delete(old, True)
 
 
 def write_imbalanced(rows: DataFrame, ratios: list[int], path: str, seed: int = 42) -> DataFrame:
-    """Writes one set for each ratio (partitioned by ir) and returns the manifest: ir, label, n."""
+    """Writes one set for each ratio (partitioned by ir), and beside them as JSON the manifest that it returns: ir, label, n."""
     sets = None
     for ir in ratios:
         one = sampling.imbalance_ratio(rows, ir, seed).withColumn("ir", F.lit(ir))
         sets = one if sets is None else sets.unionByName(one)
     sets.write.mode("overwrite").partitionBy("ir").parquet(path)
-    return rows.sparkSession.read.parquet(path).groupBy("ir", "label").agg(F.count("*").alias("n"))
+    counts = rows.sparkSession.read.parquet(path).groupBy("ir", "label").agg(F.count("*").alias("n"))
+    counts.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}_manifest")  # a row a ratio and class
+    return counts
 
 
 def confusion_json(counts: DataFrame) -> DataFrame:
