@@ -156,7 +156,15 @@ def weighted_sample(spark, sf_dir):
     return sampling.weighted_without_replacement(rows, F.col("o_totalprice"), 100, 7, "o_orderpriority", id_col="o_orderkey").select("o_orderkey", "o_orderpriority")
 
 
-@query()
+@query(f"""
+    WITH o AS (SELECT o_orderkey, o_orderpriority, {V.uniform_sql(3, 'o_orderkey')} AS h FROM orders),
+    b AS (SELECT *, CASE WHEN max(h) OVER g > min(h) OVER g THEN least(floor((h - min(h) OVER g) / (max(h) OVER g - min(h) OVER g) * 20), 19) ELSE 0 END AS bin FROM o WINDOW g AS (PARTITION BY o_orderpriority)),
+    s AS (SELECT o_orderpriority, bin, count(*) AS have, 1 / (avg(h) + tan(pi() * 3 / 18) + 1e-12) AS w FROM b GROUP BY 1, 2), l AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderpriority)),
+    t AS (SELECT *, least(have, floor(least * w / sum(w) OVER (PARTITION BY o_orderpriority))) AS take FROM s, l), k AS (SELECT *, least - sum(take) OVER (PARTITION BY o_orderpriority) AS lack FROM t),
+    x AS (SELECT o_orderpriority, bin, w, lack, unnest(range(1, CAST(least(have - take, greatest(lack, 1)) AS BIGINT) + 1)) AS turn FROM k WHERE have > take),
+    m AS (SELECT o_orderpriority, bin, count(*) AS more FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY turn, w DESC, bin) AS p FROM x) WHERE p <= lack GROUP BY 1, 2),
+    d AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, bin ORDER BY {V.uniform_sql(45, 'o_orderkey')}, o_orderkey) AS r FROM b)
+    SELECT d.o_orderkey, d.o_orderpriority FROM d JOIN k USING (o_orderpriority, bin) LEFT JOIN m USING (o_orderpriority, bin) WHERE r <= take + coalesce(more, 0)""")
 def self_paced_sample(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").withColumn("h", V.uniform(3, "o_orderkey"))
     return sampling.self_paced(rows, "h", 3, 10, label="o_orderpriority", id_col="o_orderkey").select("o_orderkey", "o_orderpriority")
@@ -196,7 +204,15 @@ def candidate_region(spark, sf_dir):
     return knn.consecutive_cut(knn.neighbours(points(spark, sf_dir), 50), 5).select("id", "neighbour", "rank")
 
 
-@query()
+def region_sql(where: str) -> str:
+    """CTEs from pairs to `region`: whole ordered lists until five rows of other classes in a row."""
+    return f"""listed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nb) AS r FROM pairs WHERE {where}),
+    islands AS (SELECT *, sum(CASE WHEN nl = label THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY r) AS island FROM listed),
+    running AS (SELECT *, sum(CASE WHEN nl <> label THEN 1 ELSE 0 END) OVER (PARTITION BY id, island ORDER BY r) AS run FROM islands),
+    region AS (SELECT * FROM (SELECT *, max(CASE WHEN run >= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over_ FROM running) WHERE coalesce(over_, 0) = 0)"""
+
+
+@query(f"WITH {POINTS}, {PAIRS}, {region_sql('true')} SELECT id, nb AS neighbour, CAST(r AS INTEGER) AS rank FROM region")
 def candidate_region_whole(spark, sf_dir):
     return knn.candidate_region(points(spark, sf_dir), 5).select("id", "neighbour", "rank")
 
@@ -419,9 +435,20 @@ def sphere_oversample(spark, sf_dir):
     return got.select("id", "label", V.as_text("features").alias("features"))
 
 
-@query()
+WAYS = f"""clean AS (SELECT e.* FROM region e WHERE NOT EXISTS (SELECT 1 FROM region z WHERE z.id = e.id AND z.r < e.r AND z.nl <> e.label
+          AND list_sum(list_transform(list_zip(list_transform(list_zip(e.f, e.g), lambda q: (q[1] + q[2]) / 2), z.g), lambda v: (v[1] - v[2]) * (v[1] - v[2]))) < e.d * e.d / 4)),
+    ways AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r) - 1 AS way, count(*) OVER (PARTITION BY id) AS size FROM clean),
+    own AS (SELECT *, row_number() OVER (ORDER BY {V.uniform_sql(42, 'id')}, id) AS place FROM points WHERE label = 2),
+    slots AS (SELECT s AS slot, s % (SELECT count(*) FROM own) + 1 AS place FROM range(200) t(s)),
+    drawn AS (SELECT slot, own.id, own.label, own.f AS f0, floor({V.uniform_sql(42, "'way'", 'slot')} * coalesce(size, 0)) AS way FROM slots JOIN own USING (place) LEFT JOIN (SELECT DISTINCT id, size FROM ways) USING (id)),
+    made AS (SELECT slot, f0, coalesce(g, f0) AS g, coalesce(nl <> drawn.label, false) AS halved FROM drawn LEFT JOIN ways ON ways.id = drawn.id AND ways.way = drawn.way)"""
+
+
+@query(f"""
+    WITH {POINTS}, {PAIRS}, {region_sql('label = 2')}, {WAYS}
+    SELECT -1 - slot AS id, 2 AS label, {V.as_text_sql(f"list_transform(range(len(f0)), lambda i: f0[i + 1] + CASE WHEN halved THEN 0.5 ELSE 1.0 END * {V.uniform_sql(42, chr(39) + 'gap' + chr(39), 'slot', 'i')} * (g[i + 1] - f0[i + 1]))")} AS features FROM made""")
 def orem_generate(spark, sf_dir):
-    return neighbourhood.orem_generate(points(spark, sf_dir), 2, 200)
+    return neighbourhood.orem_generate(points(spark, sf_dir), 2, 200).select("id", "label", V.as_text("features").alias("features"))
 
 
 @query("""
