@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and but for the last returns the
 columns of docs. Language ID drops documents without a recognised language, toxicity those that score at or over its
-threshold, near-dedup all but one document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more); packing returns the pieces of the sequences.
+threshold, near-dedup all but one document of each group of near copies (candidates by SimHash's bit-sliced comparison at a
+radius wide enough for a Jaccard similarity of 0.8 of five-word shingles, each link confirmed on the shingles); packing
+returns the pieces of the sequences.
 """
 
 from __future__ import annotations
