@@ -50,6 +50,14 @@ def test_expected_counts_match_all_spellings(learned):
     assert np.allclose(got, want) and math.isclose(log_p, total)
 
 
+def test_sums_of_unlikely_parts_go_through_logarithms(learned):
+    codec = pieces.Codec(PATH, learned)
+    parts, times = ["🙂" * 24, "▁the", "的" * 24], np.array([2, 3, 1])
+    got, log_p = codec.expected([x.encode() for x in parts], times)
+    want, total = codec._expected_logs([x.encode() for x in parts], times)
+    assert np.allclose(got, want) and math.isclose(log_p, total) and log_p < -1000
+
+
 def test_query_matches_brute_force(spark, sf, learned):
     """Scores are the best over all spellings, by words, of learned log probabilities that sum to one."""
     codec = pieces.Codec(PATH, learned)
@@ -103,7 +111,7 @@ def test_counts_of_parts(spark):
     got = {r["part"]: r["n"] for r in pieces.counted_parts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
     want = Counter({"▁a": 2, "▁b": 2, "▁▁b": 2})
     whole = "▁" + "b" * 100
-    want.update(whole[i : i + 12] for i in range(0, 101, 12))
+    want.update(whole[i : i + pieces.FIT_CHARS] for i in range(0, 101, pieces.FIT_CHARS))
     assert got == dict(want)
 
 

@@ -9,7 +9,7 @@ the marker.
 Log scores: a vocabulary made by merges holds ranks, not probabilities. fit() learns the pieces' unigram log probabilities
 from the documents by expectation-maximisation: parts of texts are counted over all documents, then each of ROUNDS jobs
 sums, over all distinct parts and all their spellings (forward and backward over the trie), how often each piece is
-expected, with PRIOR added. For the fit alone, parts are cut after FIT_BYTES. Codec(path) without scores takes the file's numbers.
+expected, with PRIOR added. For the fit alone, parts are cut after FIT_CHARS. Codec(path) without scores takes the file's numbers.
 
 The trie runs over UTF-8 bytes. No piece has a marker after another character, so a text is cut before every run of markers;
 parts beyond LONG bytes are cut on where no piece reaches across. Each distinct part is solved once; all new parts of a slice
@@ -27,6 +27,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,9 @@ from .common import bounded_batches, stored
 
 #: Rows of a slice, bytes that are remembered, parts that are solved at once, bytes from which a part is long.
 SLICE, CACHE, PART, LONG = 250, 64 << 20, 8192, 256
-MARK, BYTE_PENALTY = "▁", 10.0
-#: Of the fit: rounds, what is added to each piece's count, bytes of a part, bytes counted before they are passed on, parts at once.
-ROUNDS, PRIOR, FIT_BYTES, FLUSH, FIT_PARTS = 4, 0.1, 48, 16 << 20, 20_000
+MARK, BYTE_PENALTY, LIFT = "▁", 10.0, 3.0
+#: Of the fit: rounds, what is added to each piece's count, characters of a part, distinct parts counted before they are passed on, parts at once.
+ROUNDS, PRIOR, FIT_CHARS, FLUSH, FIT_PARTS = 4, 0.1, 24, 400_000, 20_000
 _PART = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>$")
 
@@ -134,6 +135,7 @@ class Codec:
         self.penalty = float(self.score[plain].min()) - BYTE_PENALTY
         self.ids = np.array(plain, np.int64)
         self.trie = DoubleArray([self.text[i] for i in plain])
+        self.bytes = np.array([len(t) for t in self.text])
         self.longest = max(len(self.text[i]) for i in plain)
         #: Bytes of the character that a byte leads.
         self.width = np.array([1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4 for b in range(256)])
@@ -220,9 +222,38 @@ class Codec:
         return out, sizes[given], sums[given]
 
     def expected(self, parts: list[bytes], times: np.ndarray) -> tuple[np.ndarray, float]:
-        """How often each piece is expected in the spellings of parts that occur so many times, and the parts' log probability."""
+        """How often each piece is expected in the spellings of parts that occur so many times, and the parts' log probability.
+
+        Probabilities are multiplied by e^LIFT a byte, which cancels out; parts whose sums are next to nothing all the same
+        are summed in logarithms.
+        """
         order, lengths, flat, offset = self._lines(parts)
         n, width, times = len(parts), int(lengths[0]) if len(parts) else 0, np.asarray(times, float)[order]
+        steps = list(self._steps(lengths, flat, offset))
+        chance = np.exp(self.score + LIFT * self.bytes)
+        of_bytes = np.exp(np.arange(5) * (self.penalty + LIFT))
+        ahead, behind = np.zeros((width + 1, n)), np.zeros((width + 1, n))
+        ahead[0], behind[lengths, np.arange(n)] = 1.0, 1.0
+        p = [chance[found] if found is not None else of_bytes[to - at] for at, to, _, found in steps]
+        for (at, to, w, _), q in zip(steps, p, strict=True):
+            ahead[to][w] += ahead[at][w] * q
+        for (at, to, w, _), q in zip(reversed(steps), reversed(p), strict=True):
+            behind[at][w] += behind[to][w] * q
+        whole, out = behind[0], np.zeros(self.size)
+        fine = whole > 1e-200
+        share = np.where(fine, times / np.where(fine, whole, 1.0), 0.0)
+        spelled = [(found, ahead[at][w] * q * behind[to][w] * share[w]) for (at, to, w, found), q in zip(steps, p, strict=True) if found is not None]
+        if spelled:
+            out = np.bincount(np.concatenate([x for x, _ in spelled]), np.concatenate([x for _, x in spelled]), self.size)
+        total = float(((np.log(whole[fine]) - LIFT * lengths[fine]) * times[fine]).sum())
+        if fine.all():
+            return out, total
+        rest, more = self._expected_logs([parts[order[i]] for i in np.flatnonzero(~fine)], times[~fine])
+        return out + rest, total + more
+
+    def _expected_logs(self, parts: list[bytes], times: np.ndarray) -> tuple[np.ndarray, float]:
+        order, lengths, flat, offset = self._lines(parts)
+        n, width, times = len(parts), int(lengths[0]), np.asarray(times, float)[order]
         ahead, behind = np.full((width + 1, n), -np.inf), np.full((width + 1, n), -np.inf)
         ahead[0], behind[lengths, np.arange(n)] = 0.0, 0.0
         steps = list(self._steps(lengths, flat, offset))
@@ -234,7 +265,7 @@ class Codec:
         whole, out = behind[0], np.zeros(self.size)
         for at, to, w, found in steps:
             if found is not None:
-                out += np.bincount(found, np.exp(ahead[at][w] + self.score[found] + behind[to][w] - whole[w]) * times[w], self.size)
+                np.add.at(out, found, np.exp(ahead[at][w] + self.score[found] + behind[to][w] - whole[w]) * times[w])
         return out, float((whole * times).sum())
 
     def segments(self, part: str) -> list[str]:
@@ -311,7 +342,7 @@ class Codec:
         """(ids, score) of each text."""
         parts = [_PART.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
         for line in parts:
-            if any(len(x) > LONG // 4 for x in line):
+            if line and max(map(len, line)) > LONG // 4:
                 line[:] = [y for x in line for y in (self.segments(x) if len(x) > LONG // 4 else (x,))]
         if self.held > CACHE:
             self._forget()
@@ -321,6 +352,9 @@ class Codec:
             self._learn([x for x in new if short(x)])
         out = []
         for line in parts:
+            if not line or max(map(len, line)) <= LONG // 4:
+                out.append(self._found(line))
+                continue
             runs, total, at = [], 0.0, 0
             for k, x in enumerate([*line, None]):
                 if x is not None and short(x):
@@ -361,9 +395,11 @@ def _codec(path: str, scores: np.ndarray | None = None) -> Codec:
 
 
 def _pieces_of(text: str) -> list[str]:
-    """Parts of a text, cut after FIT_BYTES / 4 characters."""
-    step = FIT_BYTES // 4
-    return [y for x in _PART.findall(MARK + text.replace(" ", MARK)) for y in ((x,) if len(x) <= step else [x[i : i + step] for i in range(0, len(x), step)])]
+    """Parts of a text, cut after FIT_CHARS."""
+    parts = _PART.findall(MARK + text.replace(" ", MARK))
+    if max(map(len, parts)) <= FIT_CHARS:
+        return parts
+    return [y for x in parts for y in ((x,) if len(x) <= FIT_CHARS else [x[i : i + FIT_CHARS] for i in range(0, len(x), FIT_CHARS)])]
 
 
 def counted_parts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -371,20 +407,17 @@ def counted_parts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches):
-        held, size = Counter(), 0
+        held = Counter()
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["part", "n"])
 
         for b in batches:
             for x in b.column(0).to_pylist():
-                before = len(held)
                 held.update(_pieces_of(x))
-                size += (len(held) - before) * (FIT_BYTES + 100)
-                if size > FLUSH:
+                if len(held) > FLUSH:
                     yield out()
                     held.clear()
-                    size = 0
         if held:
             yield out()
 
@@ -402,12 +435,14 @@ def fit(docs: DataFrame, path: str, text_col: str = "text", rounds: int = ROUNDS
         shared = counted.sparkSession.sparkContext.broadcast(score)  # a number a piece
 
         def run(batches, shared=shared):
-            codec, out = _codec(path, shared.value), None
-            for b in batches:
-                for at in range(0, b.num_rows, FIT_PARTS):
-                    part = b.slice(at, FIT_PARTS)
-                    got, _ = codec.expected([x.encode("utf-8", "surrogatepass") for x in part.column(0).to_pylist()], part.column(1).to_numpy())
-                    out = got if out is None else out + got
+            codec, out, parts, times = _codec(path, shared.value), None, [], []
+            for b in chain(batches, [None]):
+                if b is not None:
+                    parts += [x.encode("utf-8", "surrogatepass") for x in b.column(0).to_pylist()]
+                    times.append(b.column(1).to_numpy())
+                if parts and (b is None or len(parts) >= FIT_PARTS):
+                    got, _ = codec.expected(parts, np.concatenate(times))
+                    out, parts, times = got if out is None else out + got, [], []
             if out is not None:
                 which = np.flatnonzero(out)
                 yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(out[which], pa.float64())], ["piece", "n"])
