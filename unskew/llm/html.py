@@ -476,8 +476,11 @@ def _labelled(page: str) -> list[Seen]:
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = FIT_PAGES) -> Model:
     """Trains on the made pages and at most `most` of the given ones, of least hash."""
     bounded_batches(pages.sparkSession)
+    total = pages.count()
+    # about twice as many pages pass the bar, so that tasks send few to the driver however many they are; equal pages count once
+    bar = F.lit((1 << 63) - 1 if total <= 2 * most else -(1 << 63) + (1 << 64) * 2 * most // total)
     rows = pages.where(F.col(html_col).isNotNull() & (F.length(html_col) <= FIT_CHARS)).select(F.xxhash64(id_col, html_col).alias("h"), F.col(html_col).alias("html"))
-    some = rows.orderBy("h").limit(most).collect()  # `most` pages of at most FIT_CHARS
+    some = rows.where(F.col("h") <= bar).dropDuplicates(["h"]).orderBy("h").limit(most).collect()  # `most` pages of at most FIT_CHARS
     return train(_made_seen() + [x for r in some for x in _labelled(r["html"])])
 
 
