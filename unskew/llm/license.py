@@ -255,7 +255,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unknown
             kept = [(" ".join(w[h % len(w)][1]), h) for w, h in all_ if w]
             yield pd.DataFrame({"words": pd.Series([x for x, _ in kept], dtype=object), "h": pd.Series([h for _, h in kept], dtype="int64")})
 
-    rows = some.mapInPandas(pick, "words string, h long").orderBy("h", "words").limit(unknown).collect()
+    rows = some.mapInPandas(pick, "words string, h long").dropDuplicates(["h"]).orderBy("h").limit(unknown).collect()  # equal texts count once
     return learn([r["words"].split(" ") for r in rows])
 
 
