@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,8 +81,7 @@ def test_long_texts_are_cut_exactly(spark, monkeypatch):
     counts = Counter()
     for text, lang in rows:  # the same cuts, counted without Spark
         for part, skip in phrases.parts_of((text or "").encode().translate(phrases._FOLDED), 64, 3):
-            words = phrases.Words([part], [0], [skip])
-            for batch in phrases.shard_counts(words, [lang or "und"], 1, 4, None):
+            for batch in phrases.shard_counts(phrases.Shard([part], [0], [skip], [lang or "und"], None), 1, 4):
                 counts.update({(r["lang"], r["phrase"]): r["count"] for r in batch.to_pylist() if r["phrase"]})
     for lang, _, p, a, *_ in want:
         assert counts[lang, p] == a
@@ -91,12 +91,28 @@ def test_empty_table(spark):
     assert phrases.mine(frame(spark, []).limit(0)).collect() == []
 
 
-def test_few_bits_change_nothing(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "MOST_BITS", 1)
+def everything(spark, n):
+    made = phrases.Frequent.__new__(phrases.Frequent)
+    made.n, made.bits, made.table = n, 15, spark.sparkContext.broadcast(np.full(4096, 255, np.uint8))
+    return made
+
+
+def test_full_bit_tables_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(phrases, "SLICE_ROWS", 20)
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(phrases, "BITS_EACH", 0)
-        check(spark, texts(4, 120), least=3, best=15)
+    rows = texts(4, 120)
+    word, lang = phrases._hashes(pa.array(["a"])), phrases._hashes(pa.array(["en"]))
+    assert phrases.frequent_words(spark.createDataFrame([("en", "a")], "lang string, phrase string")).has([word], lang).all()
+    monkeypatch.setattr(phrases, "frequent_words", lambda words: everything(spark, 1))
+    check(spark, rows, least=3, best=15)
+    monkeypatch.setattr(phrases, "frequent_pairs", lambda *a: everything(spark, 2))
+    check(spark, rows, least=3, best=15)
+
+
+def test_tasks_pass_counts_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "SHARD_BYTES", 400)
+    monkeypatch.setattr(phrases, "HELD", 30)
+    monkeypatch.setattr(phrases, "BATCH", 7)
+    check(spark, texts(5, 200), least=4)
 
 
 @settings(max_examples=150, deadline=None)

@@ -8,9 +8,10 @@ level of that tree is the one above with one word more to the left. All substrin
 gives its phrases and counts by walking states, never occurrences.
 
 Counts are summed over shards. As each part of a phrase is at least as frequent as the phrase, only phrases whose parts are
-frequent can be: the first pass counts words, the second pairs of frequent words, the third all longer phrases whose pairs
-are frequent. Which words and pairs are frequent reaches the shards as a bit table of MOST_BITS at most, whatever their
-number: a wrong bit costs rows, never a result, as sums decide.
+frequent can be. The first pass counts words. The second one counts pairs of frequent words by buckets of their hash, which are
+packed, so that rare pairs cost a few bytes and no row. The third counts phrases all of whose pairs lie in buckets that are
+frequent as a whole. Frequent words and buckets reach the shards as bit tables of MOST_BITS at most, whatever their number: a wrong
+bit costs rows, never a result, as sums of the phrases themselves decide.
 
 Over all shards, a candidate's suffix link drops its first word, and its prefix its last. A phrase within a longer one is
 within a phrase of one word more that is at least as frequent, so subsumption looks along these two edges alone. Parts of
@@ -25,6 +26,8 @@ digits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,12 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, meet, release, stored
+from .columns import packed, unpacked
+from .common import bounded_batches, meet, partitions, release, stored
 
 #: Words of a phrase at most, its least count, percent of its count that a longer one absorbs, phrases of a language reported.
 LONGEST, LEAST, ABSORBED, BEST = 4, 30, 80, 2000
 SCALE = 2_000_000
-SHARD_BYTES, SLICE_ROWS = 12 << 20, 100_000
+SHARD_BYTES, BATCH, SLICE_ROWS = 6 << 20, 1 << 16, 100_000
+#: Bucket counts that a task keeps before it passes them on.
+HELD = 2_000_000
 #: Bits for each frequent phrase, and of a table at most.
 BITS_EACH, MOST_BITS = 16, 1 << 28
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -147,90 +153,162 @@ def _hashes(strings: pa.Array) -> np.ndarray:
 
 
 class Frequent:
-    """A bit table of frequent phrases of n words: those named are in it, and few others."""
-
-    def __init__(self, phrases: DataFrame, n: int):
-        spark = phrases.sparkSession
-        self.n, self.bits = n, min(MOST_BITS, max(1 << 15, phrases.count() * BITS_EACH)).bit_length() - 1
-        bits = self.bits
-
-        def places(batches):
-            for b in batches:
-                words = pc.list_flatten(pc.split_pattern(b["phrase"], " ")).dictionary_encode()
-                langs = b["lang"].dictionary_encode()
-                of = _hashes(words.dictionary)[words.indices.to_numpy()].reshape(-1, n)
-                at = _mixed([of[:, i] for i in range(n)], _hashes(langs.dictionary)[langs.indices.to_numpy()], bits)
-                yield pa.RecordBatch.from_arrays([pa.array(at)], ["at"])
-
-        at = phrases.select("lang", "phrase").mapInArrow(places, "at long")
-        rows = at.groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(32767)).alias("set")).collect()
-        table = np.zeros(1 << max(0, bits - 3), np.uint8)  # MOST_BITS / 8 bytes at most
-        for r in rows:
-            table[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["set"], np.uint8)[: len(table)]
-        self.table = spark.sparkContext.broadcast(table)
+    """A bit table of phrases of n words (n: 1 or 2): those that are frequent are in it, and few others."""
+
+    def __init__(self, n: int, bits: int, parts: DataFrame):
+        """parts: part, set (the bits of a part, 2 ** 15 bits or more each)."""
+        self.n, self.bits = n, bits
+        table = np.zeros(1 << (bits - 3), np.uint8)  # MOST_BITS / 8 bytes at most
+        for r in parts.collect():
+            table[r["part"] * len(r["set"]) : (r["part"] + 1) * len(r["set"])] = np.frombuffer(r["set"], np.uint8)
+        self.table = parts.sparkSession.sparkContext.broadcast(table)
 
     def has(self, words: list[np.ndarray], lang: np.ndarray) -> np.ndarray:
         at = _mixed(words, lang, self.bits)
         return (self.table.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def pruned(words: Words, lang_hashes: np.ndarray, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
-    """(places to keep, whether each follows the one before): runs of words whose words (or pairs) are frequent."""
-    h, lang = _hashes(words.dictionary)[words.codes], lang_hashes[words.lang]
-    if frequent.n == 1:
-        good = frequent.has([h], lang)
-        follows = words.joined & good & np.concatenate([[False], good[:-1]])
-    else:
-        follows = words.joined.copy()
-        at = np.flatnonzero(follows)
-        follows[at] = frequent.has([h[at - 1], h[at]], lang[at])
-    kept = np.flatnonzero(follows | np.concatenate([follows[1:], [False]]))
-    return kept, follows[kept]
-
-
-def shard_counts(words: Words, langs: list[str], least: int, depth: int, frequent: Frequent | None):
+def _bits(wanted: int) -> int:
+    return min(MOST_BITS, max(1 << 15, wanted)).bit_length() - 1
+
+
+def frequent_words(words: DataFrame) -> Frequent:
+    """Of lang, phrase (a word)."""
+    bits = _bits(words.count() * BITS_EACH)
+
+    def places(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_mixed([_hashes(b["phrase"])], _hashes(b["lang"]), bits))], ["at"])
+
+    at = words.select("lang", "phrase").mapInArrow(places, "at long")
+    return Frequent(1, bits, at.groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(32767)).alias("set")))
+
+
+class Shard:
+    """Words of a shard with the names of its languages, their hashes, and the runs that may hold frequent phrases."""
+
+    def __init__(self, texts: list[bytes], langs: list[int], skipped: list[int], names: list[str], frequent: Frequent | None):
+        words = Words(texts, langs, skipped)
+        self.dictionary, self.names = words.dictionary, pa.array(names, pa.string())
+        self.codes, self.lang, self.fresh, self.joined = words.codes, words.lang, words.fresh, words.joined
+        if frequent is not None and len(self.codes):
+            self.hash, self.lang_hash = _hashes(self.dictionary)[self.codes], _hashes(self.names)[self.lang]
+            follows = self.joined.copy()
+            if frequent.n == 1:
+                good = frequent.has([self.hash], self.lang_hash)
+                follows &= good & np.concatenate([[False], good[:-1]])
+            else:
+                at = np.flatnonzero(follows)
+                follows[at] = frequent.has([self.hash[at - 1], self.hash[at]], self.lang_hash[at])
+            kept = np.flatnonzero(follows | np.concatenate([follows[1:], [False]]))
+            self.codes, self.lang, self.fresh, self.joined = self.codes[kept], self.lang[kept], self.fresh[kept], follows[kept]
+            self.hash, self.lang_hash = self.hash[kept], self.lang_hash[kept]
+
+
+def shards(batches, repeat: int, frequent: Frequent | None) -> Iterator[Shard]:
+    """The texts of a task's batches (lang, text as bytes) by shards."""
+    texts, langs, skipped, held, names = [], [], [], 0, {}
+    for batch in batches:
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for part, skip in parts_of(text.translate(_FOLDED), SHARD_BYTES, repeat):
+                texts.append(part)
+                langs.append(names.setdefault(lang, len(names)))
+                skipped.append(skip)
+                held += len(part) + 1
+                if held >= SHARD_BYTES:
+                    yield Shard(texts, langs, skipped, list(names), frequent)
+                    texts, langs, skipped, held, names = [], [], [], 0, {}
+                    release()
+    if texts:
+        yield Shard(texts, langs, skipped, list(names), frequent)
+    release()
+
+
+def shard_counts(shard: Shard, least: int, depth: int) -> Iterator[pa.RecordBatch]:
     """Batches of (lang, phrase, count) of one shard, for phrases of `least` to `depth` words; with single words, a row a language
     without a phrase that counts all its words."""
-    names = pa.array(langs, pa.string())
-    if not len(words.codes):
+    if not len(shard.codes):
         return
-    kept, joined = (np.arange(len(words.codes)), words.joined) if frequent is None else pruned(words, _hashes(names), frequent)
-    codes, lang, fresh = words.codes[kept].astype(np.int64), words.lang[kept], words.fresh[kept]
-    automaton = Automaton(codes * len(langs) + lang, joined, fresh, depth)
+    codes = shard.codes.astype(np.int64)
+    automaton = Automaton(codes * len(shard.names) + shard.lang, shard.joined, shard.fresh, depth)
     if least == 1:
-        n = np.bincount(lang, fresh, len(langs)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([names, pa.nulls(len(langs), pa.string()), pa.array(n)], schema=_ARROW)
+        n = np.bincount(shard.lang, shard.fresh, len(shard.names)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([shard.names, pa.nulls(len(n), pa.string()), pa.array(n)], schema=_ARROW)
     for n in range(least, depth + 1):
-        states = automaton.states_of(n)
-        end = automaton.end[states]
-        told = [words.dictionary.take(pa.array(codes[end - i])) for i in range(n - 1, -1, -1)]
-        phrases = pc.binary_join_element_wise(*told, " ") if n > 1 else told[0]
-        yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[end])), phrases, pa.array(automaton.count[states])], schema=_ARROW)
+        every = automaton.states_of(n)
+        for start in range(0, len(every), BATCH):
+            states = every[start : start + BATCH]
+            end = automaton.end[states]
+            told = [shard.dictionary.take(pa.array(codes[end - i])) for i in range(n - 1, -1, -1)]
+            phrases = pc.binary_join_element_wise(*told, " ") if n > 1 else told[0]
+            yield pa.RecordBatch.from_arrays([shard.names.take(pa.array(shard.lang[end])), phrases, pa.array(automaton.count[states])], schema=_ARROW)
 
 
 def counted(docs: DataFrame, least: int, depth: int, frequent: Frequent | None = None) -> DataFrame:
     """lang, phrase, f over all of docs (lang, text as bytes), for phrases of `least` to `depth` words."""
 
     def run(batches):
-        texts, langs, skipped, held, names = [], [], [], 0, {}
-        for batch in batches:
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                for part, skip in parts_of(text.translate(_FOLDED), SHARD_BYTES, depth - 1):
-                    texts.append(part)
-                    langs.append(names.setdefault(lang, len(names)))
-                    skipped.append(skip)
-                    held += len(part) + 1
-                    if held >= SHARD_BYTES:
-                        yield from shard_counts(Words(texts, langs, skipped), list(names), least, depth, frequent)
-                        texts, langs, skipped, held, names = [], [], [], 0, {}
-                        release()
-        if texts:
-            yield from shard_counts(Words(texts, langs, skipped), list(names), least, depth, frequent)
-        release()
+        for shard in shards(batches, depth - 1, frequent):
+            yield from shard_counts(shard, least, depth)
 
     return docs.mapInArrow(run, COUNTED).groupBy("lang", "phrase").agg(F.sum("count").alias("f"))
 
 
+def _added(ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(np.concatenate(ids), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+
+
+def frequent_pairs(docs: DataFrame, words: Frequent, least: int) -> Frequent:
+    """The buckets of pairs of frequent words that `least` pairs or more fall into, from packed counts: each part of the
+    buckets is summed by one task, a part at a time."""
+    spark = docs.sparkSession
+    bits = _bits((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 4)
+    part_bits = min(bits - 15, max(0, (partitions(spark) - 1).bit_length()))
+    low = bits - part_bits
+
+    def packs(ids: np.ndarray, counts: np.ndarray):
+        ends = np.searchsorted(ids, np.arange(1, (1 << part_bits) + 1) << low)
+        starts = np.concatenate([[0], ends[:-1]])
+        parts = np.flatnonzero(ends > starts)
+        blobs = [packed(ids=ids[starts[p] : ends[p]] & ((1 << low) - 1), n=counts[starts[p] : ends[p]]) for p in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+    def run(batches):
+        ids, counts, held = [], [], 0
+        for shard in shards(batches, 1, words):
+            at = np.flatnonzero(shard.joined & shard.fresh)
+            if len(at):
+                found, n = np.unique(_mixed([shard.hash[at - 1], shard.hash[at]], shard.lang_hash[at], bits), return_counts=True)
+                ids, counts, held = [*ids, found], [*counts, n], held + len(found)
+            if held >= HELD:
+                ids, counts = ([x] for x in _added(ids, counts))
+                held = len(ids[0])
+                if held >= HELD // 2:
+                    yield from packs(ids[0], counts[0])
+                    ids, counts, held = [], [], 0
+        if held:
+            yield from packs(*_added(ids, counts))
+
+    def add(batches):
+        part, sums = None, None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(sums >= least, bitorder="little").tobytes()], pa.binary())], ["part", "set"])
+        for b in batches:
+            for p, blob in zip(b["part"].to_pylist(), b["blob"].to_pylist(), strict=True):
+                if p != part:
+                    if part is not None:
+                        yield done()
+                    part, sums = p, np.zeros(1 << low, np.int64 if low < 20 else np.int32)
+                got = unpacked(blob)
+                at = got["ids"].astype(np.int64)
+                sums[at] = np.minimum(sums[at] + got["n"].astype(np.int64), least)  # more than `least` tells nothing
+        if part is not None:
+            yield done()
+
+    blobs = docs.mapInArrow(run, "part int, blob binary").repartition(1 << part_bits, "part").sortWithinPartitions("part")
+    return Frequent(2, bits, blobs.mapInArrow(add, "part int, set binary"))
+
+
 def unabsorbed(candidates: DataFrame, share: int = ABSORBED) -> DataFrame:
     """candidates (lang, phrase, f) without those within a longer one of at least `share` percent of their count."""
     link, prefix = F.expr("substring(phrase, locate(' ', phrase) + 1)"), F.expr("substring_index(phrase, ' ', size(split(phrase, ' ')) - 1)")
@@ -279,8 +357,6 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longes
     enough = F.col("f") >= least
     first = stored(counted(rows, 1, 1).where(enough | F.col("phrase").isNull()))
     totals, words = first.where("phrase IS NULL").select("lang", F.col("f").alias("n")), first.where("phrase IS NOT NULL")
-    candidates = pairs = stored(counted(rows, 2, 2, Frequent(words, 1)).where(enough))
-    if longest > 2:
-        candidates = pairs.unionByName(stored(counted(rows, 3, longest, Frequent(pairs, 2)).where(enough)))
+    candidates = stored(counted(rows, 2, longest, frequent_pairs(rows, frequent_words(words), least)).where(enough))
     found = stored(scored(unabsorbed(candidates, absorbed), words.unionByName(candidates), longest))
     return best_of(found, best).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
