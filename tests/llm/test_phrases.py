@@ -104,7 +104,7 @@ def test_full_bit_tables_change_nothing(spark, monkeypatch):
     assert phrases.frequent_words(spark.createDataFrame([("en", "a")], "lang string, phrase string")).has([word], lang).all()
     monkeypatch.setattr(phrases, "frequent_words", lambda words: everything(spark, 1))
     check(spark, rows, least=3, best=15)
-    monkeypatch.setattr(phrases, "frequent_pairs", lambda *a: everything(spark, 2))
+    monkeypatch.setattr(phrases, "frequent_runs", lambda docs, shorter, least: everything(spark, shorter.n + 1))
     check(spark, rows, least=3, best=15)
 
 

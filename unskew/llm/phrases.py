@@ -9,9 +9,9 @@ gives its phrases and counts by walking states, never occurrences.
 
 Counts are summed over shards. As each part of a phrase is at least as frequent as the phrase, only phrases whose parts are
 frequent can be. The first pass counts words. The second one counts pairs of frequent words by buckets of their hash, which are
-packed, so that rare pairs cost a few bytes and no row. The third counts phrases all of whose pairs lie in buckets that are
-frequent as a whole. Frequent words and buckets reach the shards as bit tables of MOST_BITS at most, whatever their number: a wrong
-bit costs rows, never a result, as sums of the phrases themselves decide.
+packed, so that rare pairs cost a few bytes and no row, and the third triples of such pairs. The last counts phrases all of whose
+pairs and triples lie in buckets that are frequent as a whole. Frequent words and buckets reach the shards as bit tables of
+MOST_BITS at most, whatever their number: a wrong bit costs rows, never a result, as sums of the phrases themselves decide.
 
 Over all shards, a candidate's suffix link drops its first word, and its prefix its last. A phrase within a longer one is
 within a phrase of one word more that is at least as frequent, so subsumption looks along these two edges alone. Parts of
@@ -153,7 +153,7 @@ def _hashes(strings: pa.Array) -> np.ndarray:
 
 
 class Frequent:
-    """A bit table of phrases of n words (n: 1 or 2): those that are frequent are in it, and few others."""
+    """A bit table of phrases of n words (n: 1, 2 or 3): those that are frequent are in it, and few others."""
 
     def __init__(self, n: int, bits: int, parts: DataFrame):
         """parts: part, set (the bits of a part, 2 ** 15 bits or more each)."""
@@ -224,9 +224,18 @@ def shards(batches, repeat: int, frequent: Frequent | None) -> Iterator[Shard]:
     release()
 
 
-def shard_counts(shard: Shard, least: int, depth: int) -> Iterator[pa.RecordBatch]:
-    """Batches of (lang, phrase, count) of one shard, for phrases of `least` to `depth` words; with single words, a row a language
-    without a phrase that counts all its words."""
+def run_ends(shard: Shard, n: int) -> np.ndarray:
+    """The places at which a run's n-th or later word stands."""
+    ends = shard.joined.copy()
+    for i in range(1, n - 1):
+        ends[i:] &= shard.joined[:-i]
+        ends[:i] = False
+    return np.flatnonzero(ends)
+
+
+def shard_counts(shard: Shard, least: int, depth: int, triples: Frequent | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of (lang, phrase, count) of one shard, for phrases of `least` to `depth` words, whose triples are all frequent; with
+    single words, a row a language without a phrase that counts all its words."""
     if not len(shard.codes):
         return
     codes = shard.codes.astype(np.int64)
@@ -234,8 +243,14 @@ def shard_counts(shard: Shard, least: int, depth: int) -> Iterator[pa.RecordBatc
     if least == 1:
         n = np.bincount(shard.lang, shard.fresh, len(shard.names)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([shard.names, pa.nulls(len(n), pa.string()), pa.array(n)], schema=_ARROW)
+    good = np.ones(len(codes), bool)
+    if triples is not None:
+        at = run_ends(shard, 3)
+        good[at] = triples.has([shard.hash[at - 2], shard.hash[at - 1], shard.hash[at]], shard.lang_hash[at])
     for n in range(least, depth + 1):
         every = automaton.states_of(n)
+        for i in range(n - 2):
+            every = every[good[automaton.end[every] - i]]
         for start in range(0, len(every), BATCH):
             states = every[start : start + BATCH]
             end = automaton.end[states]
@@ -244,12 +259,12 @@ def shard_counts(shard: Shard, least: int, depth: int) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([shard.names.take(pa.array(shard.lang[end])), phrases, pa.array(automaton.count[states])], schema=_ARROW)
 
 
-def counted(docs: DataFrame, least: int, depth: int, frequent: Frequent | None = None) -> DataFrame:
+def counted(docs: DataFrame, least: int, depth: int, frequent: Frequent | None = None, triples: Frequent | None = None) -> DataFrame:
     """lang, phrase, f over all of docs (lang, text as bytes), for phrases of `least` to `depth` words."""
 
     def run(batches):
         for shard in shards(batches, depth - 1, frequent):
-            yield from shard_counts(shard, least, depth)
+            yield from shard_counts(shard, least, depth, triples)
 
     return docs.mapInArrow(run, COUNTED).groupBy("lang", "phrase").agg(F.sum("count").alias("f"))
 
@@ -259,10 +274,10 @@ def _added(ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return found, np.bincount(at, np.concatenate(counts)).astype(np.int64)
 
 
-def frequent_pairs(docs: DataFrame, words: Frequent, least: int) -> Frequent:
-    """The buckets of pairs of frequent words that `least` pairs or more fall into, from packed counts: each part of the
-    buckets is summed by one task, a part at a time."""
-    spark = docs.sparkSession
+def frequent_runs(docs: DataFrame, shorter: Frequent, least: int) -> Frequent:
+    """The buckets of phrases a word longer than `shorter` ones, whose parts are among those, that `least` or more fall into, from
+    packed counts: each part of the buckets is summed by one task, a part at a time."""
+    spark, n = docs.sparkSession, shorter.n + 1
     bits = _bits((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 4)
     part_bits = min(bits - 15, max(0, (partitions(spark) - 1).bit_length()))
     low = bits - part_bits
@@ -276,11 +291,12 @@ def frequent_pairs(docs: DataFrame, words: Frequent, least: int) -> Frequent:
 
     def run(batches):
         ids, counts, held = [], [], 0
-        for shard in shards(batches, 1, words):
-            at = np.flatnonzero(shard.joined & shard.fresh)
+        for shard in shards(batches, n - 1, shorter):
+            at = run_ends(shard, n)
+            at = at[shard.fresh[at]]
             if len(at):
-                found, n = np.unique(_mixed([shard.hash[at - 1], shard.hash[at]], shard.lang_hash[at], bits), return_counts=True)
-                ids, counts, held = [*ids, found], [*counts, n], held + len(found)
+                found, times = np.unique(_mixed([shard.hash[at - i] for i in range(n - 1, -1, -1)], shard.lang_hash[at], bits), return_counts=True)
+                ids, counts, held = [*ids, found], [*counts, times], held + len(found)
             if held >= HELD:
                 ids, counts = ([x] for x in _added(ids, counts))
                 held = len(ids[0])
@@ -306,7 +322,7 @@ def frequent_pairs(docs: DataFrame, words: Frequent, least: int) -> Frequent:
             yield done()
 
     blobs = docs.mapInArrow(run, "part int, blob binary").repartition(1 << part_bits, "part").sortWithinPartitions("part")
-    return Frequent(2, bits, blobs.mapInArrow(add, "part int, set binary"))
+    return Frequent(n, bits, blobs.mapInArrow(add, "part int, set binary"))
 
 
 def unabsorbed(candidates: DataFrame, share: int = ABSORBED) -> DataFrame:
@@ -357,6 +373,7 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longes
     enough = F.col("f") >= least
     first = stored(counted(rows, 1, 1).where(enough | F.col("phrase").isNull()))
     totals, words = first.where("phrase IS NULL").select("lang", F.col("f").alias("n")), first.where("phrase IS NOT NULL")
-    candidates = stored(counted(rows, 2, longest, frequent_pairs(rows, frequent_words(words), least)).where(enough))
+    pairs = frequent_runs(rows, frequent_words(words), least)
+    candidates = stored(counted(rows, 2, longest, pairs, frequent_runs(rows, pairs, least) if longest > 2 else None).where(enough))
     found = stored(scored(unabsorbed(candidates, absorbed), words.unionByName(candidates), longest))
     return best_of(found, best).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
