@@ -92,3 +92,16 @@ def test_fit_of_nothing_is_the_made_model(spark, pages):
     assert np.array_equal(nothing.weights, html.made_model().weights)
     odd = spark.createDataFrame([(None, None), (1, ""), (1, "<article></article>"), (2, "<main>a</main><main>b</main>")], "page_id long, html string")
     assert np.array_equal(html.fit(odd).weights, html.made_model().weights)
+
+
+def test_formulas_headlines_and_hidden_text_of_an_article_stay(spark):
+    body = "".join(f"<p>Paragraph {i} of the article tells, in some length, what the river did in that year, and why.</p>" for i in range(6))
+    made = [
+        (1, f"<body><div class='site-header'><a href='/'>Home</a></div><article><div class='post-header'><h1>River</h1></div>{body}</article></body>"),
+        (2, f"<body><article><h1>Sums</h1><p>The formula is <math>x = 2</math> as one may see from what was said above, at length.</p>{body}</article></body>"),
+        (3, f"<body><article><h1>Tide</h1>{body}<p hidden>This paragraph of the article is hidden, but it is text of the article all the same.</p><p style='display:none'>And so is this one, which tells, in some length, what came of it.</p></article></body>"),
+    ]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame([(i, "u", t) for i, t in made], "page_id long, url string, html string")).collect()}
+    assert got[1].startswith("River\n\nParagraph 0") and "Home" not in got[1]
+    assert "The formula is x = 2 as one may see" in got[2]
+    assert "This paragraph of the article is hidden" in got[3] and got[3].endswith("what came of it.")

@@ -26,7 +26,9 @@ def test_pipeline_matches_brute_force(spark, sf):
     stay = sorted({ids[r] for r in root})
     words = packing.Words(P.path("word_bpe_49k.json"))
     want = {i: len(x) + 1 for i, x in zip(stay, words.ids([kept[i] for i in stay]), strict=True)}
+    assert all(lang.predict(texts[i])[0] == "und" or lexicon.score(texts[i]) >= toxicity.THRESHOLD for i in set(texts) - set(ids))
     got = Counter()
     for r in entry.queries()["pipeline"](spark, sf).collect():
         got[r["doc_id"]] += r["length"]
+    assert set(got) == set(stay)
     assert dict(got) == want and 0 < len(stay) < len(ids)

@@ -41,7 +41,7 @@ BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = frozenset("script style noscript template title textarea iframe svg math object video audio canvas noframes noembed xmp".split())
+RAW = frozenset("script style noscript template title textarea iframe svg object video audio canvas noframes noembed xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 AWAY = frozenset("nav aside footer form dialog menu select button fieldset label legend option head".split())
@@ -54,8 +54,10 @@ WORDS_AWAY = re.compile(
     r"(?<![a-z])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|foot|sidebar|side|rail|aside|widgets?|ads?|adverts?|advertisement|"
     r"banner|promo|promotion|sponsor|sponsored|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
     r"share|sharing|social|related|recommended|recommendations|outbrain|taboola|comments?|disqus|respond|reply|replies|discussion|pagination|pager|"
-    r"toolbar|copyright|legal|disclaimer|tagcloud|byline|hidden|search|form|skip)(?![a-z])"
+    r"toolbar|copyright|legal|disclaimer|tagcloud|byline|search|form|skip)(?![a-z])"
 )
+#: Names of an article's own head, which holds its headline.
+OWN_HEAD = re.compile(r"(?<![a-z])(?:article|post|entry|story|content)[-_]+(?:header|masthead)(?![a-z])")
 WORDS_MAIN = re.compile(r"(?<![a-z])(?:article|content|main|post|entry|story|body|text)(?![a-z])")
 PHRASES_AWAY = re.compile(r"©|\(c\) \d{4}|all rights reserved|we use cookies|cookie policy|privacy policy|terms of (?:use|service)|subscribe to|sign up for|log in|follow us|share this", re.I)
 #: Pages of the table that the fit may read, and how long one may be; pages made by rule; bounds of log odds; factors of the edges.
@@ -64,7 +66,7 @@ FIT_PAGES, FIT_CHARS, MADE, SEED, MOST, FACTORS = 400, 100_000, 400, 11, 12.0, (
 MOSTLY, UNDER = 0.6, 8
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"(class|id|role)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAMED = frozenset("nav aside footer header article main section menu dialog".split())
 _OVER_P = ("article", "section", "div", "td", "th", "li", "body", "main", "table", "button")
 _LISTS = ("ul", "ol", "dl", "table", "select", "menu")
@@ -78,12 +80,12 @@ class Block:
 
 
 class _Element:
-    __slots__ = ("away", "block", "blocks", "depth", "gone", "hint", "home", "leaf", "linked", "main", "out", "parent", "size", "tag", "within")
+    __slots__ = ("away", "block", "blocks", "depth", "hint", "home", "leaf", "linked", "main", "out", "parent", "size", "tag", "within")
 
     def __init__(self, tag: str, attributes: str, parent: _Element | None, bare: bool = False):
         self.parent, self.depth = parent, parent.depth + 1 if parent else 0
         self.size = self.linked = self.blocks = 0
-        self.gone, self.leaf = parent is not None and parent.gone, True
+        self.leaf = True
         named = not bare or tag not in _NAMED
         self.tag = tag if named else "div"
         self.away, self.hint, self.main = self.tag in AWAY, False, self.tag in ("article", "main")
@@ -95,15 +97,13 @@ class _Element:
         if attributes and not attributes.isspace():
             for m in _ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-                if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                    self.gone = True
-                elif bare:
+                if bare:
                     continue
                 elif name == "role":
                     self.away |= value in ROLES_AWAY
                     self.main |= value in ("main", "article")
                 elif name in ("class", "id"):
-                    if WORDS_AWAY.search(value):
+                    if WORDS_AWAY.search(OWN_HEAD.sub("post", value)):
                         self.hint = True
                     elif WORDS_MAIN.search(value):
                         self.main = True
@@ -156,7 +156,7 @@ def scan(page: str, bare: bool = False) -> tuple[list[Block], list[_Element]]:
         if parts:
             plain = " ".join("".join(parts).split())
             e = stack.top()
-            if plain and not e.gone:
+            if plain:
                 found.append(Block(plain, min(linked, len(plain)), e.block))
             parts.clear()
         linked = 0

@@ -80,24 +80,49 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits), axis=1, bitorder="little").view(np.uint64)
 
 
-def within(queries: np.ndarray, block: np.ndarray, radius: int = RADIUS) -> np.ndarray | None:
-    """queries x words: lanes of the block's planes within the radius of each query; None if it was abandoned."""
+#: Words of lanes still open, as a share, at which the rest go on one by one.
+SPARSE = 0.25
+
+
+def within(queries: np.ndarray, block: np.ndarray, radius: int = RADIUS, closed: np.ndarray | None = None, open_: list[int] | None = None) -> np.ndarray | None:
+    """queries x words: lanes of the block's planes within the radius of each query; None if all were abandoned. A word (64 lanes
+    against a query) is abandoned once all its lanes exceed the radius. closed: lanes that don't matter, queries x words; open_ gathers how many
+    words are open at each check."""
     bits = max(1, radius.bit_length())
     start = (1 << bits) - 1 - radius  # counters of so many bits overflow at radius + 1 differences
     shape = (len(queries), block.shape[1])
     counters = [np.full(shape, _ALL if start >> i & 1 else 0, np.uint64) for i in range(bits)]
-    over = np.zeros(shape, np.uint64)
+    over = np.zeros(shape, np.uint64) if closed is None else closed.copy()
     flip = np.where(queries[None, :] >> np.arange(64, dtype=np.uint64)[:, None] & np.uint64(1), _ALL, np.uint64(0))
+    live = None
     for j in range(64):
-        d = block[j][None, :] ^ flip[j][:, None]
+        d = block[j][None, :] ^ flip[j][:, None] if live is None else block[j][live[1]] ^ flip[j][live[0]]
         for c in counters:
             carry = c & d
             c ^= d
             d = carry
         over |= d
-        if j % 8 == 7 and j > 8 and (over == _ALL).all():
-            return None
-    return ~over
+        if j % 8 == 7 and j > 8:
+            left = np.nonzero(over != _ALL)
+            if open_ is not None:
+                open_.append(len(left[0]))
+            if not len(left[0]):
+                return None
+            if live is None and len(left[0]) <= SPARSE * over.size or live is not None and len(left[0]) < len(over):
+                counters, over = [c[left] for c in counters], over[left]
+                live = left if live is None else (live[0][left], live[1][left])
+    if live is None:
+        return ~over
+    out = np.zeros(shape, np.uint64)
+    out[live] = ~over
+    return out
+
+
+def _passed(asked: int, first: int, lanes: np.ndarray, words: int) -> np.ndarray:
+    """Of `asked` rows from position `first`, the lanes at or before each row, and those beyond the last one: they don't matter."""
+    bits = np.ones((asked, words * 64), bool)
+    bits[:, : len(lanes)] = lanes[None, :] <= first + np.arange(asked)[:, None]
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
 
 def forest(fps: np.ndarray, radius: int = RADIUS, split: int | None = None, group: np.ndarray | None = None) -> np.ndarray:
@@ -112,7 +137,7 @@ def forest(fps: np.ndarray, radius: int = RADIUS, split: int | None = None, grou
             asked = rows[q : q + LANES]
             if split is None and asked[0] > lanes[-1]:
                 continue
-            hit = within(fps[asked], block, radius)
+            hit = within(fps[asked], block, radius, _passed(len(asked), int(asked[0]), lanes, block.shape[1]) if split is None else None)
             if hit is None:
                 continue
             some = np.flatnonzero(hit.any(1))
