@@ -64,7 +64,7 @@ def balanced_split(spark, sf_dir):
 def balanced_forest(spark, sf_dir):
     """200 trees on bootstraps that hold every class; the rows' mean class shares."""
     rows = points(spark, sf_dir)
-    return answers(forest.predicted(rows, forest.grow(rows, 200)))
+    return answers(forest.predicted(forest.spread(rows), forest.grow(rows, 200)))
 
 
 @query()
