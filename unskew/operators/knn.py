@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import checkpointed
+from .ranks import quantiles
 
 BLOCK, STEP = 4096, 256
 SCHEMA = "id long, label int, neighbour long, neighbour_label int, dist double"
@@ -91,7 +92,7 @@ def cross_class_distance(rows: DataFrame, label: int, k: int = 5) -> DataFrame:
 
 def median_distance(rows: DataFrame) -> DataFrame:
     """label, median_dist: the median distance to the nearest row of the own class; 1 for classes of one row."""
-    near = neighbours(rows, 1, which="same").groupBy("label").agg(F.percentile("dist", F.lit(0.5)).alias("median_dist"))
+    near = quantiles(neighbours(rows, 1, which="same"), "dist", {"median_dist": 0.5}, "label")
     return rows.select("label").distinct().join(near, "label", "left").select("label", F.coalesce("median_dist", F.lit(1.0)).alias("median_dist"))
 
 
@@ -164,10 +165,10 @@ def reception_rate(rows: DataFrame, k: int = 7) -> DataFrame:
 def density_parent(rows: DataFrame, k: int | None = None) -> DataFrame:
     """id, rho, parent, delta: the nearest row of higher density; density is a Gaussian sum over the k nearest rows (default: 15,
     or the root of the number of rows if that is more) with the median k-th distance as its width. Rows without a parent among
-    the k nearest are few and meet all rows; only the densest row has none. Ties of density go to the smaller id."""
+    the k nearest are few and ask among twice as many again and again; only the densest row has none. Ties of density go to the smaller id."""
     k = max(15, math.isqrt(rows.count())) if k is None else k
     found = checkpointed(neighbours(rows, k))
-    width = found.groupBy("id").agg(F.max("dist").alias("kth")).agg(F.percentile("kth", F.lit(0.5)).alias("dc"))
+    width = quantiles(found.groupBy("id").agg(F.max("dist").alias("kth")), "kth", {"dc": 0.5})
     rho = found.crossJoin(F.broadcast(width)).groupBy("id").agg(F.sum(F.exp(-F.pow(F.col("dist") / F.greatest("dc", F.lit(1e-12)), 2))).alias("rho"))
     rho = checkpointed(rho)
     other = rho.select(F.col("id").alias("neighbour"), F.col("rho").alias("rho_n"))
@@ -177,9 +178,12 @@ def density_parent(rows: DataFrame, k: int | None = None) -> DataFrame:
         return up.groupBy("id").agg(F.min_by("neighbour", F.struct("dist", "neighbour")).alias("parent"), F.min("dist").alias("delta"))
 
     best = checkpointed(nearest(found.join(rho, "id").join(other, "neighbour").where(higher)))
-    points = rows.select(F.col("id").cast("long").alias("id"), "features")
-    left = rho.join(best, "id", "left_anti").join(points, "id")
-    all_ = points.select(F.col("id").alias("neighbour"), F.col("features").alias("x")).join(other, "neighbour")
-    square = F.aggregate(F.zip_with("features", "x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    far = nearest(left.crossJoin(all_).where(higher).select("id", "neighbour", F.sqrt(square).alias("dist")))
-    return rho.join(best.unionAll(far), "id", "left").select("id", "rho", "parent", "delta")
+    # the others ask among ever more rows, until they have met a denser one; the densest has none
+    densest = rho.agg(F.min_by("id", F.struct(-F.col("rho"), "id")).alias("id"))
+    n, reach = rho.count(), 2 * k
+    asked = checkpointed(rows.join(best, "id", "left_anti").join(F.broadcast(densest), "id", "left_anti"))  # one row
+    while not asked.isEmpty():
+        more = neighbours(rows, min(reach, n), queries=asked).select("id", "neighbour", "dist")
+        got = checkpointed(nearest(more.join(rho, "id").join(other, "neighbour").where(higher)))
+        best, asked, reach = best.unionAll(got), checkpointed(asked.join(got, "id", "left_anti")), 2 * reach
+    return rho.join(best, "id", "left").select("id", "rho", "parent", "delta")

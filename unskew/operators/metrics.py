@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import prefix_sums
+
 RECALL_FLOOR = 1e-3
 
 
@@ -61,14 +63,12 @@ def from_confusion(counts: DataFrame, keys: list[str], classes: int) -> DataFram
 def ranking(pred: DataFrame, keys: list[str], classes: int) -> DataFrame:
     """keys, AUC (one against the rest, macro; of class 1 for two classes), AUPRC (average precision); both 0 if a class is missing.
 
-    Scores are first aggregated by value, so that ties cost one row and the windows run over distinct scores.
+    Scores are first aggregated by value, so that ties cost one row; running sums go by slices of the scores, so no task holds a model.
     """
     wanted = [1] if classes == 2 else list(range(classes))
     long = pred.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.get("proba", F.lit(c)).alias("score"), (F.col("y") == c).cast("long").alias("pos")) for c in wanted])).alias("e")).select(*keys, "e.*")
-    by_score = long.groupBy(*keys, "k", "score").agg(F.sum("pos").alias("p"), F.count("*").alias("n"))
-    group = Window.partitionBy(*keys, "k")
-    down = group.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    w = by_score.select(*keys, "k", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("above"), F.sum("p").over(group).alias("all_p"), F.sum("n").over(group).alias("all_n"))
+    by_score = long.groupBy(*keys, "k", F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("__down")).agg(F.sum("pos").alias("p"), F.count("*").alias("n"))
+    w = prefix_sums(by_score, ["p", "n"], "__down", *keys, "k").withColumnRenamed("upto_p", "tp").withColumnRenamed("upto_n", "above")
     # negatives below this score, and half of those at it
     below = (F.col("all_n") - F.col("all_p")) - (F.col("above") - F.col("tp")) + (F.col("n") - F.col("p")) / 2
     each = w.groupBy(*keys, "k").agg(

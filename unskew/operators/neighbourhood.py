@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import interpolate, min_max, squared_distance, uniform
 from ..lineage import checkpointed
 from .knn import neighbours
+from .ranks import prefix_sums, quantiles
 
 
 def region_types(edges: DataFrame, k: int = 5) -> DataFrame:
@@ -93,7 +94,7 @@ def largest_remainder(weights: DataFrame, total: int, key: str = "id", weight: s
 
 def density_clipped(scores: DataFrame, value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """value scaled to [0, 1] between two percentiles, clipped."""
-    bounds = scores.agg(F.percentile(value, F.lit(low)).alias("__lo"), F.percentile(value, F.lit(high)).alias("__hi"))
+    bounds = quantiles(scores, value, {"__lo": low, "__hi": high})
     x = F.least(F.greatest(F.col(value), F.col("__lo")), F.col("__hi"))
     return scores.crossJoin(F.broadcast(bounds)).withColumn("scaled", min_max(x, F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
 
@@ -201,12 +202,11 @@ def between_class_scatter(rows: DataFrame) -> DataFrame:
 def best_split(rows: DataFrame, value: str, label: str, classes: int) -> DataFrame:
     """threshold, gini: the cut of one feature with the least weighted Gini impurity, from cumulative counts by value.
 
-    Values are counted first, so that the one window runs over distinct values."""
+    Values are counted first, and counts run up by slices of the values."""
     counts = [F.sum((F.col(label) == c).cast("long")).alias(f"c{c}") for c in range(classes)]
     by_value = rows.groupBy(F.col(value).alias("v")).agg(*counts)
-    line = Window.orderBy("v")
-    down, whole = line.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    w = by_value.select("v", F.lead("v").over(line).alias("next"), *[F.sum(f"c{c}").over(down).alias(f"l{c}") for c in range(classes)], *[F.sum(f"c{c}").over(whole).alias(f"t{c}") for c in range(classes)])
+    run = prefix_sums(by_value, [f"c{c}" for c in range(classes)], "v")
+    w = run.select("v", "next", *[F.col(f"upto_c{c}").alias(f"l{c}") for c in range(classes)], *[F.col(f"all_c{c}").alias(f"t{c}") for c in range(classes)])
     left = [F.col(f"l{c}").cast("double") for c in range(classes)]
     right = [F.col(f"t{c}") - F.col(f"l{c}") for c in range(classes)]
 
