@@ -151,3 +151,13 @@ def test_odd_tables(spark, f):
     got = f(rows).collect()
     assert sum(r["label"] == 0 for r in got) == 6 and sum(r["label"] == 1 for r in got) == 6
     assert f(rows.where("label = 0")).count() == 6 and f(rows.limit(0)).collect() == []
+
+
+def test_balls_of_a_lonely_class_reach_to_its_own_rows(spark):
+    from unskew.operators import neighbourhood
+
+    rows = spark.createDataFrame([(i, 1, [float(4 * i), 0.0]) for i in range(5)], SCHEMA)
+    made = np.array([r["features"] for r in neighbourhood.sphere_oversample(rows, 1, 200).collect()])
+    away = np.abs(made[:, None] - np.array([[4.0 * i, 0.0] for i in range(5)])[None]) ** 2
+    far = np.sqrt(away.sum(2)).min(1)
+    assert far.max() <= 4 and far.max() > 1

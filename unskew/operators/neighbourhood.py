@@ -229,18 +229,21 @@ def balanced_sets(rows: DataFrame, seed: int = 42) -> DataFrame:
 
 def sphere_oversample(rows: DataFrame, label: int, n: int, k: int = 5, seed: int = 42) -> DataFrame:
     """id (negative), label, features: n points, each even in the ball around a seed row that reaches to its k-th row of other
-    classes; directions are normal draws by Box and Muller from hashes."""
-    from .knn import cross_class_distance
+    classes (without such rows, as far as the median distance to the nearest row of the class, 1 for a single row); directions are
+    normal draws by Box and Muller from hashes."""
+    from .knn import cross_class_distance, median_distance
     from .sampling import with_place
 
     own = with_place(rows.where(F.col("label") == label), seed, "label")
     size = own.agg(F.count("*").alias("__size"))
     radius = cross_class_distance(rows, label, k)
+    alone = rows.where(F.col("label") != label).isEmpty()
+    spare = ([r["median_dist"] for r in median_distance(own).collect()] if alone else None) or [1.0]  # a class
     slots = rows.sparkSession.range(n).crossJoin(F.broadcast(size)).select(F.col("id").alias("slot"), (F.floor(uniform(seed, F.lit("seed"), "id") * F.col("__size")) + 1).alias("place"))
     drawn = slots.join(own, "place").join(radius, "id")
     normal = F.transform("features", lambda x, i: F.sqrt(-2 * F.ln(F.greatest(uniform(seed, F.lit("r"), F.col("slot"), i), F.lit(1e-12)))) * F.cos(2 * F.pi() * uniform(seed, F.lit("a"), F.col("slot"), i)))
     drawn = drawn.withColumn("way", normal).withColumn("norm", F.sqrt(F.aggregate("way", F.lit(0.0), lambda s, x: s + x * x)))
-    reach = F.coalesce("dist", F.lit(1.0)) * F.pow(uniform(seed, F.lit("reach"), "slot"), 1.0 / F.size("features"))
+    reach = F.coalesce("dist", F.lit(spare[0])) * F.pow(uniform(seed, F.lit("reach"), "slot"), 1.0 / F.size("features"))
     made = F.zip_with("features", "way", lambda x, w: x + w / F.col("norm") * reach)
     return drawn.select((-1 - F.col("slot")).alias("id"), "label", made.alias("features"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import cascade, elm, ensembles, forest, generators
+from ..operators import cascade, clusters, elm, ensembles, forest, generators
 from .queries import PAIRS, POINTS, QUERIES, nearest_sql, points, query, read, rounded
 
 FLAGS = "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
@@ -229,6 +229,44 @@ def ellipsoid_seeds(spark, sf_dir):
     return generators.trusted_seeds(points(spark, sf_dir), 2).select("id", F.col("weight").cast("long").alias("weight"))
 
 
+# -- clusters ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+    WITH RECURSIVE {POINTS}, {PAIRS}, k AS (SELECT least(greatest(15, floor(sqrt(count(*)))), count(*) - 1) AS k, ceil(sqrt(count(*) / 2)) AS centres FROM points),
+    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nb) AS r FROM pairs) WHERE r <= (SELECT k FROM k)),
+    w AS (SELECT greatest(quantile_cont(kth, 0.5), 1e-12) AS dc FROM (SELECT max(d) AS kth FROM near GROUP BY id)),
+    rho AS (SELECT id, sum(exp(-((d / dc) ** 2))) AS rho, max(d) AS kth FROM near, w GROUP BY id),
+    up AS (SELECT p.id, p.nb, p.d, row_number() OVER (PARTITION BY p.id ORDER BY p.d, p.nb) AS place FROM pairs p JOIN rho a ON a.id = p.id JOIN rho b ON b.id = p.nb WHERE b.rho > a.rho OR b.rho = a.rho AND b.id < a.id),
+    found AS (SELECT rho.id, rho, nb AS parent, coalesce(d, kth) AS delta FROM rho LEFT JOIN (SELECT * FROM up WHERE place = 1) u ON u.id = rho.id),
+    placed AS (SELECT *, row_number() OVER (ORDER BY rho * delta DESC, id) AS place FROM found),
+    climb(id, spot) AS (
+        SELECT id, id FROM placed UNION ALL
+        SELECT c.id, p.parent FROM climb c JOIN placed p ON p.id = c.spot WHERE p.place > (SELECT centres FROM k) AND p.parent IS NOT NULL),
+    ends AS (SELECT c.id, min(CASE WHEN p.place <= (SELECT centres FROM k) THEN c.spot END) AS cluster FROM climb c JOIN placed p ON p.id = c.spot GROUP BY c.id)
+    SELECT f.id, coalesce(cluster, (SELECT id FROM placed WHERE place = 1)) AS cluster, round(rho, 6) AS rho, round(delta, 6) AS delta FROM ends JOIN found f USING (id)""")
+def density_clusters(spark, sf_dir):
+    return rounded(clusters.density_clusters(points(spark, sf_dir)).select("id", "cluster", "rho", "delta"))
+
+
+@query(f"""
+    WITH RECURSIVE {POINTS}, {PAIRS}, own AS (SELECT * FROM pairs WHERE label = 1 AND nl = 1),
+    kth AS (SELECT id, max(d) AS kth FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nb) AS r FROM own) WHERE r <= 5 GROUP BY id),
+    e AS (SELECT round(quantile_cont(kth, 0.5), 4) + 0.00005 AS eps FROM kth WHERE kth > 0),
+    near AS (SELECT id, nb, d FROM own, e WHERE d <= eps),
+    cores AS (SELECT id FROM near GROUP BY id HAVING count(*) + 1 >= 4),
+    links AS (SELECT n.id AS a, n.nb AS b FROM near n JOIN cores x ON n.id = x.id JOIN cores y ON n.nb = y.id),
+    reach(a, b) AS (SELECT id, id FROM cores UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    named AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY a),
+    edge AS (SELECT n.id, cluster, row_number() OVER (PARTITION BY n.id ORDER BY d, nb) AS r FROM near n JOIN named c ON c.id = n.nb WHERE n.id NOT IN (SELECT id FROM cores))
+    SELECT p.id, n.id IS NOT NULL AS core, coalesce(n.cluster, b.cluster) AS cluster
+    FROM points p LEFT JOIN named n ON n.id = p.id LEFT JOIN edge b ON b.id = p.id AND b.r = 1 WHERE p.label = 1""")
+def eps_clusters(spark, sf_dir):
+    """Of one class, within the median distance to its rows' fifth neighbours."""
+    own = points(spark, sf_dir).where("label = 1")
+    return clusters.eps_clusters(own, round(clusters.class_eps(own), 4) + 0.00005, 4)
+
+
 def _lifted(make):
     def run(spark, sf_dir):
         made = make(points(spark, sf_dir))

@@ -193,17 +193,6 @@ def median_distance(spark, sf_dir):
     return rounded(knn.median_distance(points(spark, sf_dir)))
 
 
-@query(f"""
-    WITH {POINTS}, {PAIRS}, {nearest_sql(50)},
-    i AS (SELECT *, sum(CASE WHEN nl = label THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY r) AS island FROM near),
-    j AS (SELECT *, sum(CASE WHEN nl <> label THEN 1 ELSE 0 END) OVER (PARTITION BY id, island ORDER BY r) AS run FROM i),
-    k AS (SELECT *, max(CASE WHEN run >= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over_ FROM j)
-    SELECT id, nb AS neighbour, CAST(r AS INTEGER) AS rank FROM k WHERE coalesce(over_, 0) = 0""")
-def candidate_region(spark, sf_dir):
-    """Within the 50 nearest, as its SQL has it; candidate_region_whole has no such bound."""
-    return knn.consecutive_cut(knn.neighbours(points(spark, sf_dir), 50), 5).select("id", "neighbour", "rank")
-
-
 def region_sql(where: str) -> str:
     """CTEs from pairs to `region`: whole ordered lists until five rows of other classes in a row."""
     return f"""listed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nb) AS r FROM pairs WHERE {where}),
@@ -213,10 +202,17 @@ def region_sql(where: str) -> str:
 
 
 @query(f"WITH {POINTS}, {PAIRS}, {region_sql('true')} SELECT id, nb AS neighbour, CAST(r AS INTEGER) AS rank FROM region")
-def candidate_region_whole(spark, sf_dir):
+def candidate_region(spark, sf_dir):
+    """Whole lists, whatever their length."""
     return knn.candidate_region(points(spark, sf_dir), 5).select("id", "neighbour", "rank")
 
 
+@query(ORACLE_SQL["candidate_region"])
+def candidate_region_whole(spark, sf_dir):
+    """The same lists, asked for by few neighbours at first, so that most rows ask again."""
+    return knn.candidate_region(points(spark, sf_dir), 5, reach=8).select("id", "neighbour", "rank")
+
+
 @query(f"""
     WITH {POINTS}, {PAIRS}, {nearest_sql(12)}
     SELECT e.id, e.nb AS neighbour, CAST(e.r AS INTEGER) AS rank FROM near e WHERE NOT EXISTS (
