@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import sampling
+from . import xlsx
 
 CATALOG = T.StructType([T.StructField("name", T.StringType(), False), T.StructField("source", T.StringType(), False), T.StructField("path", T.StringType(), False), T.StructField("ir", T.IntegerType())])
 
@@ -106,13 +107,16 @@ def _files(spark: SparkSession, path: str):
 
 
 def read_results(spark: SparkSession, path: str, required: tuple[str, ...] = RESULT_COLUMNS) -> DataFrame:
-    """A result table (CSV or Parquet) that has the required columns. If a writer was lost while it put a new table in place
+    """A result table (CSV, Parquet or a workbook's first sheet) that has the required columns. If a writer was lost while it put a new table in place
     of the old one, the old one is read."""
     kind, fs = _files(spark, path)
     if not fs.exists(kind(path)) and fs.exists(kind(f"{path}.old")):
         path = f"{path}.old"
     plain = path.rstrip("/").removesuffix(".old")
-    rows = spark.read.parquet(path) if plain.endswith(".parquet") else spark.read.csv(path, header=True, inferSchema=True)
+    if plain.endswith(".xlsx"):
+        rows = xlsx.read(spark, path)
+    else:
+        rows = spark.read.parquet(path) if plain.endswith(".parquet") else spark.read.csv(path, header=True, inferSchema=True)
     missing = [c for c in required if c not in rows.columns]
     if missing:
         raise ValueError(f"result columns are missing: {', '.join(missing)}")
