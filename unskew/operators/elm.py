@@ -2,8 +2,8 @@
 
 A machine's hidden layer is random and fixed, H = sigmoid(X W + b), so that its output weights solve (H'H + reg I) beta = H'Y.
 H'H and H'Y are sums over rows: tasks add up their blocks and pass them on by rows of the matrix, which are added in two steps
-(first among about the root of all tasks), so no task holds more than STRIP rows of the matrix at once. One solve of hidden x hidden
-numbers is left to the driver, whatever the number of rows.
+(first among about the root of all tasks), STRIP rows of the matrix at a time. A task holds one such matrix, and one solve of
+hidden x hidden numbers is left to the driver, whatever the number of rows.
 
 The ensemble has a machine for each class, on a table in which every class has that class's number of rows: larger classes are cut by
 hash, smaller ones filled between near rows. A row's machines vote by how well each does on the nearest rows of a part that
