@@ -131,8 +131,7 @@ class Codec:
         plain = [i for i in range(self.size) if self.text[i] and not model.is_byte(i)]
         if any(MARK in pieces[i].lstrip(MARK) for i in plain):
             raise ValueError("a piece has a marker after another character")
-        self.score = np.array([model.get_score(i) for i in range(self.size)]) if scores is None else np.asarray(scores, float)
-        self.penalty = float(self.score[plain].min()) - BYTE_PENALTY
+        self.given = np.array([model.get_score(i) for i in range(self.size)])
         self.ids = np.array(plain, np.int64)
         self.trie = DoubleArray([self.text[i] for i in plain])
         self.bytes = np.array([len(t) for t in self.text])
@@ -140,6 +139,13 @@ class Codec:
         #: Bytes of the character that a byte leads.
         self.width = np.array([1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4 for b in range(256)])
         self.known: dict[str, int] = {}
+        self.rescore(scores)
+
+    def rescore(self, scores: np.ndarray | None) -> None:
+        """Takes other scores (None: the file's); the trie stays."""
+        self.score = self.given if scores is None else np.asarray(scores, float)
+        self.penalty = float(self.score[self.ids].min()) - BYTE_PENALTY
+        self.__dict__.pop("_lists", None)
         self._forget()
 
     def _forget(self) -> None:
@@ -386,12 +392,16 @@ _CODECS: dict = {}
 
 
 def _codec(path: str, scores: np.ndarray | None = None) -> Codec:
-    """One for each worker, kept from task to task."""
-    key = path, zlib.crc32(b"" if scores is None else scores.tobytes())
-    if key not in _CODECS:
+    """One for each worker and vocabulary, kept from task to task; other scores are put into it."""
+    key = zlib.crc32(b"" if scores is None else scores.tobytes())
+    if path not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(path, scores)
-    return _CODECS[key]
+        _CODECS[path] = key, Codec(path, scores)
+    held, codec = _CODECS[path]
+    if held != key:
+        codec.rescore(scores)
+        _CODECS[path] = key, codec
+    return codec
 
 
 def _pieces_of(text: str) -> list[str]:
