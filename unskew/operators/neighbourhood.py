@@ -36,6 +36,7 @@ def class_similarity(edges: DataFrame) -> DataFrame:
 
 def safety(edges: DataFrame) -> DataFrame:
     """id, label, safety: the mean similarity of a row's class to its neighbours' classes."""
+    edges = checkpointed(edges)  # read twice
     sim = class_similarity(edges)
     met = edges.join(F.broadcast(sim), (F.col("label") == F.col("a")) & (F.col("neighbour_label") == F.col("b")))  # classes squared
     return met.groupBy("id", "label").agg(F.avg("similarity").alias("safety"))
