@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from unskew.operators import lifting as L
-from unskew.plans.queries import QUERIES
+from unskew.operators.resamplers import run_kernel
+from unskew.plans.learning import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -35,11 +36,14 @@ def test_hybrid_goes_to_the_mean(table):
     assert sorted(r["label"] for r in got) == [0] * 16 + [1] * 16 + [2] * 16 and sum(r["id"] >= 0 for r in got) == 16 + 12 + 6
 
 
-def test_borders_breed(table):
-    x, y, rows = table
+def test_borders_breed_as_many_points_as_in_the_kernel(spark):
+    rng = np.random.default_rng(4)
+    x, y = np.round(rng.normal(size=(60, 2)), 3), np.repeat([0, 1, 2], [32, 18, 10])
+    rows = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(60)], "id long, label int, features array<double>")
     got = L.eb_resample(rows).collect()
-    assert {r["id"] for r in got if r["id"] >= 0} == set(range(48)) and len({r["id"] for r in got}) == len(got)
-    assert sum(r["label"] == 1 for r in got) >= 30
+    want = run_kernel("EB-SMOTE", x, y, 3)[1]
+    assert len(want) > 90 and np.bincount([r["label"] for r in got]).tolist() == np.bincount(want).tolist()
+    assert {r["id"] for r in got if r["id"] >= 0} == set(range(60)) and len({r["id"] for r in got}) == len(got)
 
 
 def test_queries_have_no_bound_on_rows():

@@ -95,16 +95,38 @@ def pushed(rows: DataFrame, inside: DataFrame, p: float = P_NORM, seed: int = 42
     """rows, each moved by the sum of its pushes to the surfaces of the spheres that hold it. A row at a sphere's very centre is pushed
     in a hashed direction."""
     x, c = rows.select(F.col("id").alias("neighbour"), F.col("features").alias("x")), rows.select("id", F.col("features").alias("c"))
-    met = inside.join(x, "neighbour").join(c, "id").select("neighbour", "id", "dist", "radius", F.posexplode(F.arrays_zip("x", "c")).alias("i", "v"))
-    away = F.when(uniform(seed, F.lit("side"), "id", "neighbour", "i") < 0.5, -1.0).otherwise(1.0) * (1e-6 + 1e-6 * uniform(seed, F.lit("jitter"), "id", "neighbour", "i"))
-    gap = F.when(F.col("dist") < 1e-20, away).otherwise(F.col("v.x") - F.col("v.c"))
-    met = met.select("neighbour", "id", "i", "radius", gap.alias("gap"), "dist")
-    # the jittered distance of rows at a centre needs its norm; all others have theirs
-    norm = F.pow(F.sum(F.pow(F.abs("gap"), F.lit(p))).over(Window.partitionBy("id", "neighbour")), 1 / p)  # a row a dimension
-    d = F.when(F.col("dist") < 1e-20, norm).otherwise(F.col("dist"))
-    pushes = met.withColumn("push", (F.col("radius") - d) / d * F.col("gap")).groupBy("neighbour", "i").agg(F.sum("push").alias("push"))
-    moves = pushes.groupBy("neighbour").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "push"))), lambda s: s["push"]).alias("move"))
-    met = rows.join(moves.withColumnRenamed("neighbour", "id"), "id", "left")
+    side = lambda i: F.when(uniform(seed, F.lit("side"), "id", "neighbour", i) < 0.5, -1.0).otherwise(1.0)
+    away = F.transform("x", lambda v, i: side(i) * (1e-6 + 1e-6 * uniform(seed, F.lit("jitter"), "id", "neighbour", i)))
+    met = inside.join(c, "id").join(x, "neighbour")
+    met = met.select("neighbour", "dist", "radius", F.when(F.col("dist") < 1e-20, away).otherwise(F.zip_with("x", "c", lambda v, w: v - w)).alias("gap"))
+
+    def summed(ids: list[np.ndarray], pushes: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """One vector a row."""
+        at, push = np.concatenate(ids), np.concatenate(pushes)
+        order = np.argsort(at, kind="stable")
+        names, first = np.unique(at[order], return_index=True)
+        return [names], [np.add.reduceat(push[order], first)]
+
+    def run(batches):
+        ids, pushes = [], []
+        for b in batches:
+            if not len(b):
+                continue
+            gap, dist = matrix(b["gap"]), b["dist"].to_numpy()
+            # the jittered distance of rows at a centre needs its norm; all others have theirs
+            d = np.where(dist < 1e-20, (np.abs(gap) ** p).sum(1) ** (1 / p), dist)
+            ids.append(b["neighbour"].to_numpy())
+            pushes.append(((b["radius"].to_numpy() - d) / d)[:, None] * gap)
+            if len(ids) > 8:  # what is held is about a vector a row
+                ids, pushes = summed(ids, pushes)
+        if ids:
+            ids, pushes = summed(ids, pushes)
+            for at in range(0, len(ids[0]), 10_000):
+                part = pushes[0][at : at + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[0][at : at + 10_000]), pa.array(list(part), pa.list_(pa.float64()))], ["id", "move"])
+
+    moves = met.repartition("neighbour").mapInArrow(run, "id long, move array<double>")  # all pushes of a row meet in one task
+    met = rows.join(moves, "id", "left")
     return met.select("id", "label", F.when(F.col("move").isNull(), F.col("features")).otherwise(F.zip_with("features", "move", lambda a, b: a + b)).alias("features"))
 
 
