@@ -41,3 +41,15 @@ def test_density_keeps_lists_of_distances_not_rows_of_pairs(spark):
     rows = spark.range(400).selectExpr("id", "0 AS label", "array(cast(id * id as double), cast(id % 7 as double)) AS features")
     got = knn.nearest_distances(rows, 20)
     assert got.columns == ["id", "dists"] and got.count() == 400 and got.selectExpr("min(size(dists)) AS n").first()["n"] == 20
+
+
+def test_eps_graphs_form_distances_of_near_pairs_alone(monkeypatch):
+    from unskew.operators import clusters
+
+    x = np.random.default_rng(2).normal(size=(500, 8))
+    formed = []
+    monkeypatch.setattr(clusters, "exact", lambda a, b: formed.append(len(a)) or knn.exact(a, b))
+    got = np.concatenate([d for _, d in clusters._near(x, x, 1.0)])
+    want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert np.array_equal(np.isfinite(got), want <= 1.0) and np.allclose(got[want <= 1.0], want[want <= 1.0])
+    assert sum(formed) < 1.1 * (want <= 1.0).sum()

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import checkpointed
 from . import sampling
-from .knn import BLOCK, density_parent, neighbours
+from .knn import BLOCK, PAIRS, Rough, density_parent, exact, neighbours
 from .ranks import quantiles
 
 SMALL_EPS = 1e-6
@@ -99,15 +99,21 @@ def _by_blocks(left: DataFrame, right: DataFrame, f, schema: str, block: int) ->
     return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(run, schema)
 
 
-def _distances(x: np.ndarray, z: np.ndarray) -> np.ndarray:
-    return np.sqrt(((x[:, None, :] - z[None, :, :]) ** 2).sum(2))
-
-
 def _near(x: np.ndarray, z: np.ndarray, eps: float, step: int = 64):
-    """(first row, distances) of a few rows of x at a time to all of z; those beyond eps are infinite."""
+    """(first row, distances) of a few rows of x at a time to all of z; those beyond eps are infinite. Distances are formed only of pairs
+    that the product of the blocks can't rule out."""
+    rough = Rough(x, 2.0)
+    rough.read(z)
     for at in range(0, len(x), step):
-        d = _distances(x[at : at + step], z)
-        yield at, np.where(d <= eps, d, np.inf)
+        part = slice(at, min(at + step, len(x)))
+        least = rough.least(part, np.full(part.stop - at, eps))
+        d = np.full((part.stop - at, len(z)), np.inf)
+        i, j = np.nonzero(rough.closeness(part) >= least[:, None])
+        for a in range(0, len(i), PAIRS):
+            here, there = i[a : a + PAIRS], j[a : a + PAIRS]
+            gap = exact(x[at + here], z[there])
+            d[here, there] = np.where(gap <= eps, gap, np.inf)
+        yield at, d
 
 
 def class_eps(rows: DataFrame, k: int = 5) -> float:
