@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from unskew.operators import lifting as L
-from unskew.operators.resamplers import run_kernel
+from unskew.operators.resamplers import near, run_kernel, with_copy
 from unskew.plans.learning import QUERIES
 
 
@@ -49,3 +49,34 @@ def test_borders_breed_as_many_points_as_in_the_kernel(spark):
 def test_queries_have_no_bound_on_rows():
     for name in ("eb_smote", "glos", "orem_m", "qc_smote", "shsampler", "smom"):
         assert QUERIES[f"resample_{name}"].__module__ == "unskew.plans.learning"
+
+
+def test_soup_goes_to_the_mean_by_copies(table):
+    x, y, rows = table
+    got = L.soup_resample(rows).collect()
+    assert sorted(r["label"] for r in got) == [0] * 16 + [1] * 16 + [2] * 16 and len({r["id"] for r in got}) == 48
+    assert sum(r["id"] >= 0 for r in got) == 16 + 12 + 6
+    for c in (1, 2):
+        assert {tuple(r["features"]) for r in got if r["label"] == c} <= {tuple(v) for v in x[y == c]}
+
+
+def test_lists_after_copies_are_those_of_the_kernel(spark):
+    rng = np.random.default_rng(5)
+    x, y = np.round(rng.normal(size=(40, 2)), 2), np.repeat([0, 1], [30, 10])
+    (at, away), own = near(x, 3), np.arange(40)
+    held = [(i, int(y[i]), 1, [(float(d), 0, int(j), int(y[j])) for d, j in zip(away[i], at[i], strict=True)]) for i in range(40)]
+    held = spark.createDataFrame(held, "id long, label int, m long, near array<struct<dist: double, turn: int, site: long, kind: int>>")
+    for turn, copied in ((1, [31]), (2, [31, 35]), (3, [35, 35, 39])):
+        added = spark.createDataFrame([(i, copied.count(i)) for i in sorted(set(copied))], "id long, more long")
+        held = L.with_copies(held, added, 1, turn, 3)
+        for b in copied:
+            x, at, away = with_copy(x, at, away, b)
+            own = np.append(own, own[b])
+    got = {r["id"]: r for r in held.collect()}
+    assert {i: r["m"] for i, r in got.items()} == dict(enumerate(np.bincount(own).tolist()))
+    for i in range(40):
+        assert [(e["dist"], e["site"]) for e in got[i]["near"]] == [(d, own[j]) for d, j in zip(away[i], at[i], strict=True)]
+
+
+def test_soup_has_no_bound_on_rows():
+    assert QUERIES["resample_soup"].__module__ == "unskew.plans.learning"

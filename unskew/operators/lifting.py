@@ -288,6 +288,80 @@ def qc_resample(rows: DataFrame, k: int = 5, eta: float = 0.5, least: float = 0.
     return out
 
 
+# -- similarity of classes -------------------------------------------------------------------------------------------------
+
+
+def similarities(mixed: dict[tuple[int, int], int]) -> dict[tuple[int, int], float]:
+    """How often classes stand among each other's neighbours (counts by pair of classes), made symmetric; 1 for a class itself."""
+    classes = {c for pair in mixed for c in pair}
+    total = {a: sum(mixed.get((a, b), 0) for b in classes) for a in classes}
+    share = lambda a, b: mixed.get((a, b), 0) / total[a] if total[a] else 0.0
+    return {(a, b): 1.0 if a == b else (share(a, b) + share(b, a)) / 2 for a in classes for b in classes}
+
+
+def with_copies(held: DataFrame, added: DataFrame, label: int, turn: int, k: int) -> DataFrame:
+    """held (id, label, m: how often the row is there, near: its k nearest in order) after copies of rows of a class (id, more) have come.
+    A copy stands in every list in which its row does, after what is as near, and first in its row's own."""
+    seen = held.select("id", F.explode("near").alias("e")).where((F.col("e.kind") == label) & (F.col("e.site") != F.col("id"))).groupBy("id", F.col("e.site").alias("site")).agg(F.min("e.dist").alias("dist"))
+    seen = seen.join(added.withColumnRenamed("id", "site"), "site").unionByName(added.select("id", F.col("id").alias("site"), F.lit(0.0).alias("dist"), "more"))
+    new = seen.groupBy("id").agg(F.collect_list(F.struct("site", "dist", "more")).alias("new"))  # k + 1 sites at most
+    come = lambda e: F.struct(e["dist"], F.lit(turn).alias("turn"), e["site"], F.lit(label).alias("kind"))
+    come_all = F.flatten(F.transform("new", lambda e: F.array_repeat(come(e), F.least(e["more"], F.lit(k)).cast("int"))))
+    own = F.aggregate("new", F.lit(0).cast("long"), lambda s, e: s + F.when(e["site"] == F.col("id"), e["more"]).otherwise(F.lit(0)))
+    near = F.when(F.col("new").isNull(), F.col("near")).otherwise(F.slice(F.array_sort(F.concat("near", come_all)), 1, k))
+    return held.join(new, "id", "left").select("id", "label", (F.col("m") + F.coalesce(own, F.lit(0))).alias("m"), near.alias("near"))
+
+
+def soup_resample(rows: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+    """To the mean class size: larger classes lose their least safe rows, smaller ones copy their safest; safety is the mean similarity of
+    a row's class to its neighbours', taken anew after each class and round of copies.
+
+    A row whose neighbours are all of its class has the largest safety, 1, and copies never take it away. Once there are such rows, each copy
+    is of one of them, so a round draws as many as there are; before that a round is one copy. Copies change only lists in which
+    their row stands, so that vectors are searched once. The driver holds a row a class and mix of neighbours."""
+    state = checkpointed(keyed(rows))
+    sizes = by_size(state)
+    goal = round(sum(n for _, n in sizes) / len(sizes)) if sizes else 0
+    for label, n in sizes:
+        if n > goal:
+            scores = neighbourhood.safety(neighbours(state, k)).where(F.col("label") == label).select("id", F.round("safety", 9).alias("safety"))
+            # rows without any neighbour are safe
+            scores = of(state, label).select("id").join(scores, "id", "left").withColumn("safety", F.coalesce("safety", F.lit(1.0)))
+            gone = sampling.with_rank(scores, -F.col("safety"), out="place").where(F.col("place") > goal)
+            state = checkpointed(state.join(gone.select("id"), "id", "left_anti"))
+    small = [(label, n) for label, n in reversed(sizes) if n < goal]
+    if not small:
+        return state
+    entry = F.struct("dist", F.lit(0).alias("turn"), F.col("neighbour").alias("site"), F.col("neighbour_label").alias("kind"))
+    near = neighbours(state, k).groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("near"))
+    held = state.select("id", "label", F.lit(1).cast("long").alias("m")).join(near, "id", "left")
+    held = checkpointed(held.withColumn("near", F.coalesce("near", F.array().cast(near.schema["near"].dataType))))
+    kinds, turn, out = F.array_sort(F.transform("near", lambda e: e["kind"])), 0, state
+    for label, n in small:
+        while n < goal:
+            mixes = [(r["label"], r["kinds"], r["m"]) for r in held.groupBy("label", kinds.alias("kinds")).agg(F.sum("m").alias("m")).collect()]  # a row a class and mix
+            mixed = {}
+            for a, among, m in mixes:
+                for b in among:
+                    mixed[a, b] = mixed.get((a, b), 0) + m
+            alike = similarities(mixed)
+            safe = [(round(sum(alike[a, b] for b in among) / len(among), 9) if among else 1.0, among, m) for a, among, m in mixes if a == label]
+            top = max(s for s, _, _ in safe)
+            best = [among for s, among, _ in safe if s == top]
+            there = sum(m for s, _, m in safe if s == top)
+            like = F.lit(False)
+            for among in best:
+                like = like | (kinds == F.array(*[F.lit(b) for b in among]).cast("array<int>"))
+            members = held.where((F.col("label") == label) & like).select("id", F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("copy")).select("id")
+            take, turn = min(goal - n, there) if top == 1.0 else 1, turn + 1
+            drawn = seeds_of(members, take, seed + turn).groupBy("id").agg(F.count("*").alias("more"))
+            held, n = checkpointed(with_copies(held, checkpointed(drawn), label, turn, k)), n + take
+        made = of(held, label).where("m > 1").select("id", F.explode(F.sequence(F.lit(2).cast("long"), "m")).alias("copy")).withColumn("pair", F.xxhash64("id", "copy"))
+        made = sampling.with_place(made, seed, id_col="pair", out="slot").select("id", (F.col("slot") - 1).alias("slot"))
+        out = out.unionByName(named(made.join(of(state, label).select("id", "features"), "id"), label))
+    return out
+
+
 # -- groups of rows within their class -------------------------------------------------------------------------------------
 
 
