@@ -53,3 +53,24 @@ def test_eps_graphs_form_distances_of_near_pairs_alone(monkeypatch):
     want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     assert np.array_equal(np.isfinite(got), want <= 1.0) and np.allclose(got[want <= 1.0], want[want <= 1.0])
     assert sum(formed) < 1.1 * (want <= 1.0).sum()
+
+
+@pytest.mark.parametrize("which", ["any", "same", "other"])
+def test_equal_rows_cost_no_pairs(which, monkeypatch):
+    rng = np.random.default_rng(6)
+    x, labels, ids = rng.integers(0, 2, (1200, 2)).astype(float), rng.integers(0, 3, 1200).astype(np.int32), rng.permutation(1200)
+    x[0] = 7.0, 7.0
+    formed, plain = [], knn.exact
+    monkeypatch.setattr(knn, "exact", lambda a, b, p=2.0: formed.append(len(a)) or plain(a, b, p))
+    state = knn.Nearest(ids, labels, x, 5, 2.0, which)
+    order = np.argsort(ids)
+    for at in range(0, 1200, 300):
+        part = order[at : at + 300]
+        state.read(ids[part], labels[part], x[part])
+    for i in range(1200):
+        able = (ids != ids[i]) if which == "any" else (ids != ids[i]) & ((labels == labels[i]) == (which == "same"))
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        want = sorted(zip(d[able], ids[able], strict=True))[:5]
+        assert list(zip(*((c[i][np.isfinite(state.dist[i])]) for c in (state.dist, state.near)), strict=True)) == want
+    # all pairs at the least distance were about 360,000, a quarter of all
+    assert sum(formed) < 1200 * 60
