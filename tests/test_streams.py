@@ -74,3 +74,9 @@ def test_equal_rows_cost_no_pairs(which, monkeypatch):
         assert list(zip(*((c[i][np.isfinite(state.dist[i])]) for c in (state.dist, state.near)), strict=True)) == want
     # all pairs at the least distance were about 360,000, a quarter of all
     assert sum(formed) < 1200 * 60
+
+
+def test_small_tables_meet_as_many_tasks_as_large_ones(spark):
+    rows = knn.keyed(spark.range(6000).selectExpr("id", "0 AS label", "array(cast(id as double)) AS features"))
+    few, many = (knn.dealt(rows.where(f"id < {n}"), rows.where(f"id < {n}"), n, n)[0].where("kind = 1").count() / n for n in (1600, 6000))
+    assert few == many == knn.TASKS
