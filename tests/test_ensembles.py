@@ -135,3 +135,16 @@ def test_council_matches_plain_vote(spark):
         assert np.allclose(got[i], want / want.sum(), atol=1e-9)
     with pytest.raises(ValueError):
         elm.fit_machine(rows.limit(0), 3)
+
+
+def test_a_machine_holds_the_layer_of_few_rows_at_once(monkeypatch):
+    from unskew.operators import elm
+
+    machine, x = elm.random_layer(4, 3, 20), np.random.default_rng(3).normal(size=(2 * elm.STEP + 7, 4))
+    machine.beta = np.random.default_rng(4).normal(size=(20, 3))
+    h = 1 / (1 + np.exp(-(x @ machine.w + machine.b)))
+    e = np.exp(h @ machine.beta)
+    seen, plain = [], elm.Machine.hidden
+    monkeypatch.setattr(elm.Machine, "hidden", lambda m, v: seen.append(len(v)) or plain(m, v))
+    assert np.allclose(machine.proba(x), e / e.sum(1, keepdims=True)) and max(seen) <= elm.STEP
+    assert machine.proba(x[:0]).shape == (0, 3)

@@ -27,7 +27,8 @@ from . import sampling
 from .forest import matrix
 from .knn import neighbours
 
-HIDDEN, REG, STRIP = 2000, 0.01, 64
+#: STEP: rows whose hidden layer a task holds at once, whatever the batch.
+HIDDEN, REG, STRIP, STEP = 2000, 0.01, 64, 512
 
 
 @dataclass
@@ -38,10 +39,14 @@ class Machine:
     beta: np.ndarray | None = None
 
     def hidden(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x @ self.w + self.b, -40, 40)))
+        h = x @ self.w
+        h += self.b
+        np.exp(np.negative(np.clip(h, -40, 40, out=h), out=h), out=h)
+        h += 1
+        return np.divide(1, h, out=h)
 
     def proba(self, x: np.ndarray) -> np.ndarray:
-        z = self.hidden(x) @ self.beta
+        z = np.concatenate([self.hidden(x[at : at + STEP]) @ self.beta for at in range(0, max(len(x), 1), STEP)])
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
@@ -85,11 +90,13 @@ def gram(rows: DataFrame, machine: Machine) -> tuple[np.ndarray, np.ndarray]:
         held, m = np.zeros((hidden, hidden + classes)), sent.value
         for b in batches:
             x, y = matrix(b["features"]), b["label"].to_numpy()
-            for start in range(0, len(x), 4096):
-                h = m.hidden(x[start : start + 4096])
-                held[:, :hidden] += h.T @ h
+            for start in range(0, len(x), STEP):
+                h = m.hidden(x[start : start + STEP])
+                # by strips, so that the product takes no second matrix
+                for at in range(0, hidden, 8 * STRIP):
+                    held[at : at + 8 * STRIP, :hidden] += h[:, at : at + 8 * STRIP].T @ h
                 for c in range(classes):
-                    held[:, hidden + c] += h[y[start : start + 4096] == c].sum(0)
+                    held[:, hidden + c] += h[y[start : start + STEP] == c].sum(0)
         part = TaskContext.get().partitionId() % groups
         for key, start in enumerate(range(0, hidden, STRIP)):
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([part], pa.int32()), pa.array([held[start : start + STRIP].tobytes()], pa.binary())], ["key", "part", "sums"])
