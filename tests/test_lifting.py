@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from unskew.lineage import written
 from unskew.operators import lifting as L
 from unskew.operators.resamplers import near, run_kernel, with_copy
 from unskew.plans.learning import QUERIES
@@ -80,3 +82,15 @@ def test_lists_after_copies_are_those_of_the_kernel(spark):
 
 def test_soup_has_no_bound_on_rows():
     assert QUERIES["resample_soup"].__module__ == "unskew.plans.learning"
+
+
+def test_nromm_has_no_bound_on_rows():
+    assert QUERIES["resample_nromm"].__module__ == "unskew.plans.learning"
+
+
+def test_tables_of_rounds_keep_the_size_that_they_have(spark):
+    state = spark.range(50).selectExpr("id", "id AS x")
+    for _ in range(4):
+        state = written(state.join(state.select("id", F.col("x").alias("y")), "id").select("id", (F.col("y") + 1).alias("x")))
+    assert sorted(r["x"] for r in state.collect()) == list(range(4, 54))
+    assert int(str(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1_000_000

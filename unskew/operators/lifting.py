@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import interpolate, uniform
-from ..lineage import checkpointed
+from ..lineage import checkpointed, written
 from . import neighbourhood, sampling
 from .clusters import class_eps, density_clusters, eps_clusters
 from .forest import matrix
@@ -319,7 +319,7 @@ def soup_resample(rows: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     A row whose neighbours are all of its class has the largest safety, 1, and copies never take it away. Once there are such rows, each copy
     is of one of them, so a round draws as many as there are; before that a round is one copy. Copies change only lists in which
     their row stands, so that vectors are searched once. The driver holds a row a class and mix of neighbours."""
-    state = checkpointed(keyed(rows))
+    state = written(keyed(rows))
     sizes = by_size(state)
     goal = round(sum(n for _, n in sizes) / len(sizes)) if sizes else 0
     for label, n in sizes:
@@ -328,14 +328,14 @@ def soup_resample(rows: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
             # rows without any neighbour are safe
             scores = of(state, label).select("id").join(scores, "id", "left").withColumn("safety", F.coalesce("safety", F.lit(1.0)))
             gone = sampling.with_rank(scores, -F.col("safety"), out="place").where(F.col("place") > goal)
-            state = checkpointed(state.join(gone.select("id"), "id", "left_anti"))
+            state = written(state.join(gone.select("id"), "id", "left_anti"))
     small = [(label, n) for label, n in reversed(sizes) if n < goal]
     if not small:
         return state
     entry = F.struct("dist", F.lit(0).alias("turn"), F.col("neighbour").alias("site"), F.col("neighbour_label").alias("kind"))
     near = neighbours(state, k).groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("near"))
     held = state.select("id", "label", F.lit(1).cast("long").alias("m")).join(near, "id", "left")
-    held = checkpointed(held.withColumn("near", F.coalesce("near", F.array().cast(near.schema["near"].dataType))))
+    held = written(held.withColumn("near", F.coalesce("near", F.array().cast(near.schema["near"].dataType))))
     kinds, turn, out = F.array_sort(F.transform("near", lambda e: e["kind"])), 0, state
     for label, n in small:
         while n < goal:
@@ -355,7 +355,7 @@ def soup_resample(rows: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
             members = held.where((F.col("label") == label) & like).select("id", F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("copy")).select("id")
             take, turn = min(goal - n, there) if top == 1.0 else 1, turn + 1
             drawn = seeds_of(members, take, seed + turn).groupBy("id").agg(F.count("*").alias("more"))
-            held, n = checkpointed(with_copies(held, checkpointed(drawn), label, turn, k)), n + take
+            held, n = written(with_copies(held, written(drawn), label, turn, k)), n + take
         made = of(held, label).where("m > 1").select("id", F.explode(F.sequence(F.lit(2).cast("long"), "m")).alias("copy")).withColumn("pair", F.xxhash64("id", "copy"))
         made = sampling.with_place(made, seed, id_col="pair", out="slot").select("id", (F.col("slot") - 1).alias("slot"))
         out = out.unionByName(named(made.join(of(state, label).select("id", "features"), "id"), label))
@@ -368,16 +368,16 @@ def soup_resample(rows: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
 def groups(pool: DataFrame, rest: DataFrame, k: int = 5) -> DataFrame:
     """id, group, nearer, other: inland, border or trapped for each row of a class against the rest, by purity of its neighbourhood, its
     margin and its cluster's mean margin; whether the rest is nearer than its own class, and how near it is."""
-    pool, rest = checkpointed(pool.withColumn("label", F.lit(1))), checkpointed(rest.withColumn("label", F.lit(0)))
+    pool, rest = written(pool.withColumn("label", F.lit(1))), written(rest.withColumn("label", F.lit(0)))
     same = neighbours(pool, 1).select("id", F.col("dist").alias("same"))
     other = neighbours(rest, 1, queries=pool).select("id", F.col("dist").alias("other"))
     pure = neighbours(pool.unionByName(rest), k, queries=pool).groupBy("id").agg(F.avg((F.col("neighbour_label") == 1).cast("double")).alias("pure"))
     known = pool.select("id").join(same, "id", "left").join(other, "id", "left").join(pure, "id", "left").join(density_clusters(pool).select("id", "cluster"), "id")
-    known = checkpointed(known.withColumn("same", F.coalesce("same", F.lit(1.0))).withColumn("margin", F.col("other") - F.col("same")))
+    known = written(known.withColumn("same", F.coalesce("same", F.lit(1.0))).withColumn("margin", F.col("other") - F.col("same")))
     known = known.join(known.groupBy("cluster").agg(F.avg("margin").alias("mean")), "cluster")
     inland = F.col("other").isNull() | ((F.col("pure") >= 0.75) & (F.col("margin") > 0) & (F.col("mean") >= 0))
     trapped = (F.col("pure") <= 0.25) | (F.col("margin") <= 0) | ((F.col("mean") < 0) & (F.col("pure") < 0.5))
-    return checkpointed(known.select("id", F.when(inland, INLAND).when(trapped, TRAPPED).otherwise(BORDER).alias("group"), F.coalesce(F.col("other") < F.col("same"), F.lit(False)).alias("nearer"), "other"))
+    return written(known.select("id", F.when(inland, INLAND).when(trapped, TRAPPED).otherwise(BORDER).alias("group"), F.coalesce(F.col("other") < F.col("same"), F.lit(False)).alias("nearer"), "other"))
 
 
 def bounded(seed_x: str, x: str, other: str) -> Column:
@@ -391,14 +391,14 @@ def nromm_resample(rows: DataFrame, k: int = 5, margin: float = 1.05, ratio: int
     """Each class against the inland rows of the larger ones: its rows breed by group, points are kept within the seed's boundary and count
     if they are nearer to their class than to the rest by the margin; `ratio` tries a point at most, then plain steps. At last inland
     rows to which others are nearer than their own go."""
-    state = checkpointed(keyed(rows))
+    state = written(keyed(rows))
     sizes = by_size(state)
     for pos, (label, n) in enumerate(sizes[1:], 1):
-        need, pool = sizes[0][1] - n, checkpointed(of(state, label))
+        need, pool = sizes[0][1] - n, written(of(state, label))
         if not need:
             continue
         if n == 1:
-            state = checkpointed(state.unionByName(copies(pool, label, need, seed)))
+            state = written(state.unionByName(copies(pool, label, need, seed)))
             continue
         rest = None
         for larger, _ in sizes[:pos]:
@@ -406,9 +406,9 @@ def nromm_resample(rows: DataFrame, k: int = 5, margin: float = 1.05, ratio: int
             inland = held.join(groups(held, pool, k).where(F.col("group") == INLAND).select("id"), "id", "left_semi")
             part = held if inland.isEmpty() else inland
             rest = part if rest is None else rest.unionByName(part)
-        rest = checkpointed(rest)
-        marked = checkpointed(pool.join(groups(pool, rest, k).select("id", "group", "other"), "id"))
-        marked = checkpointed(marked.join(lists(neighbours(pool, k), pool, "kin"), "id"))
+        rest = written(rest)
+        marked = written(pool.join(groups(pool, rest, k).select("id", "group", "other"), "id"))
+        marked = written(marked.join(lists(neighbours(pool, k), pool, "kin"), "id"))
         free, inland = marked.where(F.col("group") != TRAPPED), marked.where(F.col("group") == INLAND)
         free, no_inland = marked if free.isEmpty() else free, inland.isEmpty()
         weights, made, missing, tried, s = {INLAND: 0.5, BORDER: 1.0, TRAPPED: 1.5}, None, need, 0, seed + label
@@ -422,18 +422,18 @@ def nromm_resample(rows: DataFrame, k: int = 5, margin: float = 1.05, ratio: int
             drawn = drawn.withColumn("z", interpolate("start", F.when(F.col("group") == BORDER, F.col("b")).otherwise(F.col("c")), u("z")))
             drawn = drawn.withColumn("to", picked("kin", u("kin"))["x"]).withColumn("step", interpolate("features", "to", u("step")))
             drawn = drawn.withColumn("z", F.zip_with("z", "step", lambda a, b: (a + b) / 2))
-            asked = checkpointed(drawn.select((-1 - F.col("slot")).alias("id"), F.lit(label).alias("label"), bounded("features", "z", "other").alias("features"), "slot"))
+            asked = written(drawn.select((-1 - F.col("slot")).alias("id"), F.lit(label).alias("label"), bounded("features", "z", "other").alias("features"), "slot"))
             far = neighbours(rest, 1, queries=asked).select("id", F.col("dist").alias("far"))
             near = neighbours(pool, 1, queries=asked).select("id", F.col("dist").alias("near"))
             good = asked.join(far, "id").join(near, "id").where(F.col("far") > margin * F.col("near")).select("id", "slot", "features")
-            good = checkpointed(sampling.with_place(good, s).where(F.col("place") <= missing).select("slot", "features"))
+            good = written(sampling.with_place(good, s).where(F.col("place") <= missing).select("slot", "features"))
             tried, missing, made = tried + m, missing - good.count(), good if made is None else made.unionByName(good)
         if missing:
             drawn = weighted_seeds(marked, "group", weights, tried, missing, s).withColumn("to", picked("kin", u("kin"))["x"])
             drawn = drawn.withColumn("z", interpolate("features", "to", u("step")))
             drawn = drawn.select("slot", bounded("features", "z", "other").alias("features"))
             made = drawn if made is None else made.unionByName(drawn)
-        state = checkpointed(state.unionByName(named(made, label)))
+        state = written(state.unionByName(named(made, label)))
     kept = state
     for label, n in sizes if len(sizes) > 1 else []:
         marks = groups(of(state, label), state.where(F.col("label") != label), k)
