@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from unskew.functions import dempster
 from unskew.functions import vectors as V
-from unskew.operators import knn, metrics, optimise, report, resamplers, sampling, trees
+from unskew.operators import knn, learners, metrics, optimise, report, resamplers, sampling, trees
 from unskew.operators.learners import LEARNERS, SMOKE, paced
 from unskew.sources import config, tabular
 from unskew.streaming import monitor
@@ -101,6 +101,53 @@ def test_linear_programs():
     assert np.allclose(got[:2], 0.5, atol=1e-5)
 
 
+def test_programs_of_a_constraint_a_row_match_plain_ones():
+    rng = np.random.default_rng(4)
+    n, t = 150, 6
+    m, cost, cap = rng.uniform(-1, 1, (n, t)), rng.uniform(0.5, 2, n) / n, rng.uniform(1, 3, n) / n
+    want = optimise.linear_program(np.r_[np.zeros(t), cost], -np.hstack([m, np.eye(n)]), -np.ones(n), np.r_[np.ones(t), np.zeros(n)][None], [1])
+    assert np.allclose(learners.soft_margin(m, cost), want, atol=1e-6)
+    # the heaviest of t sums is least
+    f = np.where(m.T > 0, 1.0, -1.0)
+    want = optimise.linear_program(np.r_[np.zeros(n), 1, -1], np.vstack([np.hstack([f, -np.ones((t, 1)), np.ones((t, 1))]), np.hstack([np.eye(n), np.zeros((n, 2))])]), np.r_[np.zeros(t), cap], np.r_[np.ones(n), 0, 0][None], [1])
+    free = np.vstack([np.hstack([-np.ones((t, 1)), np.ones((t, 1)), np.eye(t)]), np.zeros((1, t + 2))])
+    got = optimise.tall_program(np.r_[np.zeros(n), 1, -1, np.zeros(t)], np.zeros((t + 1, 0)), np.vstack([f, np.ones((1, n))]), free, np.r_[np.zeros(t), 1], np.zeros((n, 0)), 1, cap)
+    assert np.allclose(got[:n], want[:n], atol=1e-6) and (got[:n] <= cap + 1e-7).all() and abs(got[:n].sum() - 1) < 1e-7
+
+
+def test_each_cell_is_trained_once_in_a_task_by_cells(spark, rows):
+    from unskew.plans import benchmark
+
+    once = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            once.add(b.num_rows)
+            yield b
+
+    schema = "dataset string, fold int, split string, id long, features array<double>, label_idx int"
+    folds = spark.createDataFrame([("d", f, "test" if i % 2 == f - 1 else "train", i, X[i].tolist(), int(i >= 90)) for i in range(120) for f in (1, 2)], schema)
+    pred = benchmark.predictions(folds, ["EASS", "HRIELM"], smoke=True)
+    assert pred.rdd.getNumPartitions() == 16
+    assert benchmark.results(pred.mapInArrow(counted, pred.schema), "s").count() == 2 and once.value == 240
+
+
+@pytest.mark.parametrize("name", ["LexiBoost", "DualLexiBoost", "ILMNN"])
+def test_a_fold_of_many_rows_needs_no_square_of_them(name):
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    y = rng.choice(3, 1500, p=(0.6, 0.3, 0.1))
+    x = rng.normal(size=(1500, 3)) + 0.8 * y[:, None]
+    tracemalloc.start()
+    try:
+        proba = learners.LEARNERS[name](x, y, 3, 5, **learners.SMOKE[name])(x)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 8 * 1500**2 and np.allclose(proba.sum(1), 1)
+
+
 def test_paced_takes_balanced_samples():
     h = np.linspace(0, 1, len(Y))
     n = np.bincount(Y[paced(h, Y, np.random.default_rng(0), 0.1)])

@@ -79,7 +79,7 @@ def run(spark: SparkSession, args: argparse.Namespace):
         classes = folds.groupBy("dataset").agg((F.max("label_idx") + 1).alias("classes"))
         for r in classes.groupBy("classes").agg(F.collect_list("dataset").alias("datasets")).orderBy("classes").collect():
             # all datasets of so many classes are one job of cells, and are saved when it is done
-            pred = checkpointed(benchmark.predictions(folds.where(F.col("dataset").isin(r["datasets"])), models, c.base_seed, c.smoke, c.model_params, cells=todo))
+            pred = benchmark.predictions(folds.where(F.col("dataset").isin(r["datasets"])), models, c.base_seed, c.smoke, c.model_params, cells=todo)
             new = benchmark.results(pred, catalog.select(F.col("name").alias("Dataset"), F.col("source").alias("Source"))).withColumn("run", F.lit(1))
             table = new if done is None else done.withColumn("run", F.lit(0)).unionByName(new, allowMissingColumns=True)
             tabular.write_results(checkpointed(report.last_results(table, "run").drop("run")), c.out)
