@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from unskew.operators import elm, ensembles as E
+from unskew.operators import elm, ensembles as E, forest
 from unskew.operators.knn import neighbours
 
 
@@ -148,3 +148,87 @@ def test_a_machine_holds_the_layer_of_few_rows_at_once(monkeypatch):
     monkeypatch.setattr(elm.Machine, "hidden", lambda m, v: seen.append(len(v)) or plain(m, v))
     assert np.allclose(machine.proba(x), e / e.sum(1, keepdims=True)) and max(seen) <= elm.STEP
     assert machine.proba(x[:0]).shape == (0, 3)
+
+
+def plain_gini(x, y, w, classes, depth):
+    """The leaf shares of each row: a Gini tree that tries all midpoints of all features, ties to the smaller feature, then cut."""
+    out = np.zeros((len(x), classes))
+
+    def gini(c):
+        return 1 - ((c / c.sum()) ** 2).sum()
+
+    def grow(rows, left):
+        c = np.bincount(y[rows], w[rows], classes)
+        best = None
+        if left and (c > 0).sum() > 1:
+            for f in range(x.shape[1]):
+                v = np.unique(x[rows][w[rows] > 0, f])
+                for t in (v[:-1] + v[1:]) / 2:
+                    low = x[rows, f] <= t
+                    a, b = np.bincount(y[rows][low], w[rows][low], classes), np.bincount(y[rows][~low], w[rows][~low], classes)
+                    gain = round(gini(c) - a.sum() / c.sum() * gini(a) - b.sum() / c.sum() * gini(b), 12)
+                    if best is None or gain > best[0]:
+                        best = gain, low
+        if best is None:
+            out[rows] = c / c.sum()
+        else:
+            grow(rows[best[1]], left - 1)
+            grow(rows[~best[1]], left - 1)
+
+    grow(np.arange(len(x)), depth)
+    return out
+
+
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_gini_tree_matches_plain_tree(spark, tasks):
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 9, (150, 1)).astype(float), rng.choice(3, 150)
+    y = np.where(x[:, 0] > 5, np.maximum(y, 1), y)
+    rows = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(150)], "id long, label int, features array<double>")
+    cuts = [(np.arange(8) + np.arange(1, 9)) / 2]
+    model = forest.grow_gini(forest.prepared(rows, cuts, tasks), cuts, 3, tasks, 4, 3, seed=9)
+    salts = forest.hashed(np.arange(4), 9).astype(np.int64) & 0x7FFFFFFFFFFF
+    w = forest.draws(np.arange(150), salts).astype(float)
+    got = model.shares()[model.nodes(model.bins(x), np.arange(4))]
+    for t in range(4):
+        assert model.counts[t].tolist() == np.bincount(y, w[:, t], 3).tolist()
+        assert np.allclose(got[:, t], plain_gini(x, y, w[:, t], 3, 3))
+
+
+def test_sums_of_a_level_equal_its_rows(spark):
+    """Where sums take more than rows, rows are sent: the same trees."""
+    x, y, rows = table(spark, 300, 4, 5)
+    cuts = forest.cut_points(rows)
+    ready = forest.prepared(rows, cuts, 3)
+    one, two = (forest.grow_gini(ready, cuts, 3, tasks, 5, 6) for tasks in (1, 40))
+    assert (one.feature == two.feature).all() and (one.cut == two.cut).all() and (one.counts == two.counts).all() and one.depth == 6
+
+
+def test_a_round_scores_rows_with_its_own_forest_alone(spark, monkeypatch):
+    """Totals are kept, so that no forest is asked again by later rounds, nor for each of a sample's scans."""
+    _, _, rows = table(spark)
+    asked, leaves = spark.sparkContext.accumulator(0), E._leaves
+
+    def counted(models, votes, bins):
+        asked.add(len(bins) * len(models))
+        return leaves(models, votes, bins)
+
+    monkeypatch.setattr(E, "_leaves", counted)
+    E.fit_self_paced(rows, rounds=7, trees=2, depth=2)
+    assert asked.value == 6 * 240
+
+
+def test_prediction_is_the_mean_of_the_forests(spark):
+    x, y, rows = table(spark, 200, 3, 6)
+    e = E.fit_self_paced(rows, rounds=3, trees=4, depth=3)
+    want = np.mean([m.shares()[m.nodes(m.bins(x), np.arange(4))].mean(1) for m in e.models], 0)
+    got = e.predict(rows.withColumn("proba", rows["id"])).orderBy("id").collect()
+    assert got[0].asDict().keys() == {"id", "label", "features", "proba"} and np.allclose([r["proba"] for r in got], want)
+    assert [m.counts[0].sum() > 0 for m in e.models] == [True] * 3
+    assert e.predict(rows.limit(0)).collect() == []
+
+
+def test_tasks_of_rounds_grow_with_rows(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert forest.few_tasks(spark, 1) == 1 and forest.few_tasks(spark, 3000) == min(cores, 3)
+    assert forest.few_tasks(spark, 10**6) == 16 and forest.few_tasks(spark, 10**8) == 1526
