@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from unskew.operators import clusters as C
+from unskew.operators import knn
 
 
 def table(spark, n=120, seed=0, parts=3):
@@ -94,3 +95,18 @@ def test_small_tables(spark):
     assert C.density_clusters(rows.limit(0)).collect() == [] and C.eps_clusters(rows.limit(0), 1.0, 2).collect() == []
     assert [tuple(r) for r in C.density_clusters(rows.where("id = 5")).collect()] == [(5, 5, 1.0, 1.0)]
     assert [tuple(r) for r in C.eps_clusters(rows.where("id = 5"), 1.0, 2).collect()] == [(5, False, None)]
+
+
+def test_only_rows_without_a_denser_neighbour_search_for_one(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.round(np.concatenate([rng.normal(c, 1, (150, 3)) for c in (0, 6)]), 2)
+    rows = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "id long, label int, features array<double>")
+    asked, search = [], knn.nearest_higher
+    monkeypatch.setattr(knn, "nearest_higher", lambda rows, height, queries=None: asked.append(queries.count()) or search(rows, height, queries))
+    got = {r["id"]: r for r in knn.density_parent(rows, 20).collect()}
+    assert 0 < asked[0] < 60  # of 300
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i, r in got.items():
+        up = [j for j in got if (got[j]["rho"], -j) > (r["rho"], -i)]
+        best = min(up, key=lambda j: (d[i, j], j), default=None)
+        assert r["parent"] == best and (best is None or abs(r["delta"] - d[i, best]) < 1e-9)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from unskew.lineage import written
 from unskew.operators import lifting as L
+from unskew.operators import neighbourhood
+from unskew.operators.knn import merged, neighbours
 from unskew.operators.resamplers import near, run_kernel, with_copy
 from unskew.plans.learning import QUERIES
 
@@ -94,3 +96,31 @@ def test_tables_of_rounds_keep_the_size_that_they_have(spark):
         state = written(state.join(state.select("id", F.col("x").alias("y")), "id").select("id", (F.col("y") + 1).alias("x")))
     assert sorted(r["x"] for r in state.collect()) == list(range(4, 54))
     assert int(str(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1_000_000
+
+
+def test_lists_of_own_and_others_say_what_one_search_of_all_says(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(60, 2)), 1)  # with equal points and distances
+    rows = spark.createDataFrame([(int(i), int(i % 3 == 0), v.tolist()) for i, v in enumerate(x)], "id long, label int, features array<double>")
+    own, rest = rows.where("label = 1"), rows.where("label = 0")
+    want = {}
+    for r in neighbours(rows, 5, queries=own).collect():
+        want.setdefault(r["id"], []).append(r["neighbour_label"])
+    got = merged(neighbours(own, 5), neighbours(rest, 5, queries=own), 5).collect()
+    far = {r["id"]: r["dist"] for r in neighbours(rest, 1, queries=own).collect()}
+    assert {r["id"]: (r["same"], r["of"]) for r in got} == {i: (sum(v), len(v)) for i, v in want.items()}
+    assert {r["id"]: r["far"] for r in got} == far
+
+
+def test_quality_control_asks_for_each_thing_once(table, monkeypatch):
+    asked, pairs = [], []
+    for module in (L, neighbourhood):
+        found = module.neighbours
+        monkeypatch.setattr(module, "neighbours", lambda rows, k, queries=None, found=found, **more: asked.append(1) or found(rows, k, queries=queries, **more))
+    weights = neighbourhood.midpoint_weights
+    monkeypatch.setattr(neighbourhood, "midpoint_weights", lambda rows, label, k, of: pairs.append(of.count()) or weights(rows, label, k, of))
+    rows = table[2].where("id < 42")  # 30 and 12 rows: 18 are made
+    got = L.qc_resample(rows, 5)
+    assert got.where("label = 1").count() == 30
+    # own class, others, midpoints of drawn ways (of 60), candidates among both
+    assert len(asked) == 5 and pairs[0] <= 18 * 5 and pairs[0] < 60

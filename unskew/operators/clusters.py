@@ -58,16 +58,21 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
 # -- density peaks -------------------------------------------------------------------------------------------------------
 
 
-def density_clusters(rows: DataFrame, k: int | None = None) -> DataFrame:
+def peaks_reach(n: int) -> int:
+    """How many neighbours density looks at in a table of n rows."""
+    return min(max(15, math.isqrt(n)), n - 1)
+
+
+def density_clusters(rows: DataFrame, k: int | None = None, near: DataFrame | None = None) -> DataFrame:
     """id, cluster (the id of its centre), rho, delta: centres are the rows of largest rho * delta, ceil(root of half the rows) many; others
     go where the chain of their nearest denser rows first meets one, or to the first centre if it meets none. The densest
-    row's delta is the distance to the last of its k nearest."""
+    row's delta is the distance to the last of its k nearest. near: nearest_distances() of the rows and k, if it is known."""
     n = rows.count()
     if n <= 2:
         first = rows.agg(F.min("id").alias("cluster"))
         return rows.select("id").crossJoin(F.broadcast(first)).select("id", "cluster", F.lit(1.0).alias("rho"), F.lit(1.0).alias("delta"))  # one row
-    k = min(max(15, math.isqrt(n)), n - 1) if k is None else k
-    found = checkpointed(density_parent(rows, k))
+    k = peaks_reach(n) if k is None else k
+    found = checkpointed(density_parent(rows, k, near))
     top = rows.join(found.where("parent IS NULL").select("id"), "id")
     far = neighbours(rows, k, queries=top).groupBy("id").agg(F.max("dist").alias("__far"))
     found = found.join(F.broadcast(far), "id", "left").select("id", "rho", "parent", F.coalesce("delta", "__far").alias("delta"))  # one row

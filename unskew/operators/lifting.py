@@ -22,7 +22,7 @@ from . import neighbourhood, sampling
 from .clusters import class_eps, density_clusters, eps_clusters
 from .forest import matrix
 from .generators import axes, seeds_of, slot_ids
-from .knn import cross_class_distance, keyed, neighbours, safe_level
+from .knn import cross_class_distance, keyed, merged, neighbours, safe_level
 from .ranks import quantiles
 
 INLAND, BORDER, TRAPPED = range(3)
@@ -263,27 +263,29 @@ def qc_resample(rows: DataFrame, k: int = 5, eta: float = 0.5, least: float = 0.
             out = out.unionByName(copies(own, label, need, seed))
         if not need or n == 1:
             continue
-        kin = checkpointed(neighbours(own, k))
+        kin, others = neighbourhood.own_and_others(rows, label, k)
         tau = quantiles(kin.where("rank = 1"), "dist", {"q": 0.5}).first()["q"]
-        trust = checkpointed(neighbourhood.trust(rows, label, k))
-        support = neighbours(rows, k, queries=own).agg(F.avg((F.col("neighbour_label") == label).cast("double"))).first()[0]
+        near = written(merged(kin, others, k))
+        trust = written(neighbourhood.trust(rows, label, k, near))
+        support = near.agg(F.sum("same") / F.sum("of")).first()[0]
         tries = 1 if 1 - support < 0.33 else 3 if 1 - support < 0.66 else 5
-        pure = neighbourhood.midpoint_weights(rows, label, k)
-        known = kin.join(pure, ["id", "neighbour"]).join(trust.withColumnRenamed("id", "neighbour"), "neighbour")
-        ways = checkpointed(lists(known, own, "ways", "pure", "trust"))
-        slots = quotas(trust.select("id", (F.col("trust") + 1e-12).alias("weight")), need)
-        drawn = checkpointed(slots.join(own, "id").join(ways, "id").withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).select(
-            "slot", "try", "features", "ways", picked("ways", uniform(seed + label, F.lit("way"), "slot", "try")).alias("way")))
+        known = kin.join(trust.withColumnRenamed("id", "neighbour"), "neighbour")
+        ways = written(lists(known, own, "ways", "trust"))
+        slots = written(quotas(trust.select("id", (F.col("trust") + 1e-12).alias("weight")), need))
+        drawn = slots.join(own, "id").join(ways, "id").withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+        drawn = drawn.withColumn("way", picked("ways", uniform(seed + label, F.lit("way"), "slot", "try")))
         tried = drawn.withColumn("features", interpolate("features", "way.x", uniform(seed + label, F.lit("gap"), "slot", "try")))
-        tried = checkpointed(tried.select((-1 - (F.col("slot") * tries + F.col("try"))).alias("id"), F.lit(label).alias("label"), "features", "slot", "try", F.col("way.pure").alias("mid")))
-        own_share = neighbours(rows, k, queries=tried).groupBy("id").agg(F.avg((F.col("neighbour_label") == label).cast("double")).alias("own"))
-        far = neighbours(rest, 1, queries=tried).select("id", F.col("dist").alias("far"))
-        scored = tried.join(own_share, "id").join(far, "id").where((F.col("own") >= least) & (F.col("far") >= clear * tau))
+        tried = written(tried.select((-1 - (F.col("slot") * tries + F.col("try"))).alias("id"), F.lit(label).alias("label"), "features", "slot", "try", F.col("id").alias("from"), F.col("way.neighbour").alias("neighbour")))
+        # purity only of the midpoints of ways that are drawn
+        pairs = written(tried.select(F.col("from").alias("id"), "neighbour").distinct())
+        pure = neighbourhood.midpoint_weights(rows, label, k, pairs).select(F.col("id").alias("from"), "neighbour", F.col("pure").alias("mid"))
+        found = merged(neighbours(own, k, queries=tried), neighbours(rest, k, queries=tried), k).select("id", (F.col("same") / F.col("of")).alias("own"), "far")
+        scored = tried.join(found, "id").where((F.col("own") >= least) & (F.col("far") >= clear * tau)).join(pure, ["from", "neighbour"])
         score = eta * F.col("own") + (1 - eta) * F.col("mid") + 0.25 * F.least(F.lit(1.0), F.col("far") / max(tau, 1e-12))
         best = scored.groupBy("slot").agg(F.max_by("features", F.struct(score, -F.col("try"))).alias("best"))
         # the most trusted neighbour; ties: the nearest
         safest = F.aggregate("ways", F.get("ways", F.lit(0)), lambda a, e: F.when(e["trust"] > a["trust"], e).otherwise(a))
-        kept = drawn.where("try = 0").select("slot", safest["x"].alias("spare")).join(best, "slot", "left")
+        kept = slots.join(ways, "id").select("slot", safest["x"].alias("spare")).join(best, "slot", "left")
         out = out.unionByName(named(kept.withColumn("features", F.coalesce("best", "spare")), label))
     return out
 

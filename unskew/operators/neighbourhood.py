@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import interpolate, min_max, squared_distance, uniform
 from ..lineage import checkpointed
-from .knn import neighbours
+from .knn import merged, neighbours
 from .ranks import prefix_sums, quantiles
 
 
@@ -130,10 +130,11 @@ def membership_entropy(rows: DataFrame) -> DataFrame:
     return u.crossJoin(F.broadcast(bar)).select("id", "label", "entropy", (F.col("entropy") > F.col("bar")).alias("overlap"))
 
 
-def midpoint_weights(rows: DataFrame, label: int, k: int = 5) -> DataFrame:
-    """id, neighbour, pure: of each pair of a class's rows that are near, the share of the class among the k nearest of the midpoint."""
+def midpoint_weights(rows: DataFrame, label: int, k: int = 5, pairs: DataFrame | None = None) -> DataFrame:
+    """id, neighbour, pure: of each pair of a class's rows that are near, the share of the class among the k nearest of the midpoint. pairs: id,
+    neighbour of those that are asked for (default: all)."""
     own = rows.where(F.col("label") == label)
-    pairs = neighbours(own, k).select("id", "neighbour")
+    pairs = neighbours(own, k).select("id", "neighbour") if pairs is None else pairs
     a, b = own.select("id", F.col("features").alias("x")), own.select(F.col("id").alias("neighbour"), F.col("features").alias("z"))
     mids = pairs.join(a, "id").join(b, "neighbour").select("id", "neighbour", interpolate("x", "z", F.lit(0.5)).alias("features"))
     # midpoints ask with negative ids of their own, so that no row is left out as itself
@@ -143,13 +144,17 @@ def midpoint_weights(rows: DataFrame, label: int, k: int = 5) -> DataFrame:
     return asked.join(pure, "pair").select("id", "neighbour", "pure")
 
 
-def trust(rows: DataFrame, label: int, k: int = 5) -> DataFrame:
-    """id, trust of a class's rows: 0.4 of support, 0.3 of density and 0.3 of isolation from others, the latter two to [0, 1]."""
+def own_and_others(rows: DataFrame, label: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """The k nearest of a class's rows among their class, and among the others."""
     own = rows.where(F.col("label") == label)
-    support = neighbours(rows, k, queries=own).groupBy("id").agg(F.avg((F.col("neighbour_label") == label).cast("double")).alias("support"))
-    dense = neighbours(own, k).groupBy("id").agg((1 / F.greatest(F.avg("dist"), F.lit(1e-12))).alias("density"))
-    far = neighbours(rows.where(F.col("label") != label), 1, queries=own).groupBy("id").agg(F.min("dist").alias("isolation"))
-    joined = own.select("id").join(support, "id").join(dense, "id").join(far, "id")
+    return checkpointed(neighbours(own, k)), checkpointed(neighbours(rows.where(F.col("label") != label), k, queries=own))
+
+
+def trust(rows: DataFrame, label: int, k: int = 5, near: DataFrame | None = None) -> DataFrame:
+    """id, trust of a class's rows: 0.4 of support, 0.3 of density and 0.3 of isolation from others, the latter two to [0, 1]. near: merged()
+    of own_and_others(), if it is known."""
+    near = merged(*own_and_others(rows, label, k), k) if near is None else near
+    joined = near.where("far IS NOT NULL AND mean IS NOT NULL").select("id", (F.col("same") / F.col("of")).alias("support"), (1 / F.greatest("mean", F.lit(1e-12))).alias("density"), F.col("far").alias("isolation"))
     b = joined.agg(*[f(c).alias(f"{n}_{c}") for c in ("density", "isolation") for n, f in (("lo", F.min), ("hi", F.max))])
     part = lambda c: min_max(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}"))
     return joined.crossJoin(F.broadcast(b)).select("id", (0.4 * F.col("support") + 0.3 * part("density") + 0.3 * part("isolation")).alias("trust"))
