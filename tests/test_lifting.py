@@ -124,3 +124,39 @@ def test_quality_control_asks_for_each_thing_once(table, monkeypatch):
     assert got.where("label = 1").count() == 30
     # own class, others, midpoints of drawn ways (of 60), candidates among both
     assert len(asked) == 5 and pairs[0] <= 18 * 5 and pairs[0] < 60
+
+
+def test_nromm_searches_no_class_twice_and_makes_the_points_that_are_missing(table, monkeypatch):
+    searched, grouped = [], []
+    kin, groups = L.kin_of, L.groups
+    monkeypatch.setattr(L, "kin_of", lambda pool, k: searched.append((pool.first()["label"], pool.count())) or kin(pool, k))
+    monkeypatch.setattr(L, "groups", lambda kin, pool, rest, k: grouped.append(1) or groups(kin, pool, rest, k))
+    got = L.nromm_resample(table[2]).collect()
+    assert sorted(r["label"] for r in got) == [0] * 30 + [1] * 30 + [2] * 30 and len({r["id"] for r in got}) == 90
+    assert {r["id"] for r in got if r["id"] >= 0} == set(range(48))
+    # the largest class once, the second before and after it grew, the third once; nothing at the end
+    assert searched == [(0, 30), (1, 12), (1, 30), (2, 6)] and len(grouped) == 5
+
+
+def test_points_are_kept_by_the_margin_with_few_searches(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    pool, rest = rng.normal(0, 1, (40, 3)), rng.normal(0.8, 1, (80, 3))
+    frame = lambda x, label, first: spark.createDataFrame([(first + i, label, v.tolist()) for i, v in enumerate(x)], "id long, label int, features array<double>")
+    away = lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)).min(1)
+    seed = rng.integers(0, 40, 200)
+    x = pool[seed] + rng.normal(0, 0.4, (200, 3))
+    made = [(-1 - i, 1, v.tolist(), i, float(o), float(r)) for i, (v, o, r) in enumerate(zip(x, away(pool[seed], rest), np.sqrt(((x - pool[seed]) ** 2).sum(1)), strict=True))]
+    asked = spark.createDataFrame(made, "id long, label int, features array<double>, slot long, other double, reach double")
+    queries, search = [], L.neighbours
+    monkeypatch.setattr(L, "neighbours", lambda rows, k, queries=None, n=queries: n.append(queries.count()) or search(rows, k, queries=queries))
+    got = {r["slot"] for r in L.nearer(asked, frame(pool, 1, 0), frame(rest, 0, 100), 1.05).collect()}
+    assert got == set(np.flatnonzero(away(x, rest) > 1.05 * away(x, pool)).tolist()) and 20 < len(got) < 200
+    assert queries[1] < queries[0] < 200
+
+
+def test_no_inland_row_is_nearer_to_others(table):
+    for label in range(3):
+        pool, rest = table[2].where(F.col("label") == label), table[2].where(F.col("label") != label)
+        same = {r["id"]: r["dist"] for r in neighbours(pool, 1).collect()}
+        marks = L.groups(L.kin_of(pool), pool, rest).collect()
+        assert len(marks) == pool.count() and not [r for r in marks if r["group"] == L.INLAND and r["other"] < same[r["id"]]]

@@ -80,3 +80,22 @@ def test_small_tables_meet_as_many_tasks_as_large_ones(spark):
     rows = knn.keyed(spark.range(6000).selectExpr("id", "0 AS label", "array(cast(id as double)) AS features"))
     few, many = (knn.dealt(rows.where(f"id < {n}"), rows.where(f"id < {n}"), n, n)[0].where("kind = 1").count() / n for n in (1600, 6000))
     assert few == many == knn.TASKS
+
+
+@pytest.mark.parametrize("grid", [False, True])
+def test_long_lists_are_those_of_a_full_order(grid, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, (900, 5)).astype(float) if grid else rng.normal(size=(900, 5))  # with ties at the last place, or none
+    ids, labels = rng.permutation(900), rng.integers(0, 3, 900).astype(np.int32)
+    state, full = knn.Nearest(ids[:80], labels[:80], x[:80], 40), []
+    monkeypatch.setattr(knn.np, "lexsort", lambda keys, sort=np.lexsort: full.append(np.size(keys[0])) or sort(keys))
+    for a in range(0, 900, 300):
+        state.read(ids[a : a + 300], labels[a : a + 300], x[a : a + 300])
+    ordered = sum(full)
+    got = state.found().to_pandas()
+    assert grid or ordered == 0  # candidates are sorted only for ties
+    for q in range(80):
+        d = np.where(ids == ids[q], np.inf, np.sqrt(((x - x[q]) ** 2).sum(1)))
+        want = np.lexsort((ids, d))[:40]
+        mine = got[got["id"] == ids[q]].sort_values("rank")
+        assert mine["neighbour"].tolist() == ids[want].tolist() and np.allclose(mine["dist"], d[want]) and mine["neighbour_label"].tolist() == labels[want].tolist()

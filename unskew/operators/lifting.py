@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from ..functions.vectors import interpolate, uniform
 from ..lineage import checkpointed, written
 from . import neighbourhood, sampling
-from .clusters import class_eps, density_clusters, eps_clusters
+from .clusters import class_eps, density_clusters, eps_clusters, peaks_reach
 from .forest import matrix
 from .generators import axes, seeds_of, slot_ids
-from .knn import cross_class_distance, keyed, merged, neighbours, safe_level
+from .knn import FIRST, cross_class_distance, keyed, merged, nearest_distances, neighbours, safe_level
 from .ranks import quantiles
 
 INLAND, BORDER, TRAPPED = range(3)
@@ -367,34 +367,63 @@ def soup_resample(rows: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
 # -- groups of rows within their class -------------------------------------------------------------------------------------
 
 
-def groups(pool: DataFrame, rest: DataFrame, k: int = 5) -> DataFrame:
-    """id, group, nearer, other: inland, border or trapped for each row of a class against the rest, by purity of its neighbourhood, its
-    margin and its cluster's mean margin; whether the rest is nearer than its own class, and how near it is."""
-    pool, rest = written(pool.withColumn("label", F.lit(1))), written(rest.withColumn("label", F.lit(0)))
-    same = neighbours(pool, 1).select("id", F.col("dist").alias("same"))
-    other = neighbours(rest, 1, queries=pool).select("id", F.col("dist").alias("other"))
-    pure = neighbours(pool.unionByName(rest), k, queries=pool).groupBy("id").agg(F.avg((F.col("neighbour_label") == 1).cast("double")).alias("pure"))
-    known = pool.select("id").join(same, "id", "left").join(other, "id", "left").join(pure, "id", "left").join(density_clusters(pool).select("id", "cluster"), "id")
-    known = written(known.withColumn("same", F.coalesce("same", F.lit(1.0))).withColumn("margin", F.col("other") - F.col("same")))
+def kin_of(pool: DataFrame, k: int = 5) -> DataFrame:
+    """id, same, kin, cluster: of each row of a class the distance to the nearest other one (1 if there is none), the k nearest as (rank, dist,
+    neighbour), and its density cluster, from one search."""
+    n = pool.count()
+    reach = peaks_reach(n)
+    near = checkpointed(nearest_distances(pool, max(reach, k), max(FIRST, k)))
+    kin = F.slice(F.transform("nears", lambda e, i: F.struct((i + 1).alias("rank"), F.get("dists", i).alias("dist"), e.alias("neighbour"))), 1, k)
+    found = near.select("id", F.coalesce(F.get("dists", F.lit(0)), F.lit(1.0)).alias("same"), kin.alias("kin"))
+    peaks = density_clusters(pool, near=near.withColumn("dists", F.slice("dists", 1, max(reach, 1)))).select("id", "cluster")
+    return written(found.join(peaks, "id"))
+
+
+def groups(kin: DataFrame, pool: DataFrame, rest: DataFrame, k: int = 5) -> DataFrame:
+    """id, group, other: inland, border or trapped for each row of a class (pool, and its kin_of()) against the rest, by purity of its neighbourhood, its
+    margin and its cluster's mean margin; and how near the rest is."""
+    own = kin.select("id", F.explode("kin").alias("e")).select("id", "e.*")
+    found = merged(own, neighbours(rest, k, queries=pool), k).select("id", (F.col("same") / F.col("of")).alias("pure"), F.col("far").alias("other"))
+    known = written(kin.select("id", "same", "cluster").join(found, "id", "left").withColumn("margin", F.col("other") - F.col("same")))
     known = known.join(known.groupBy("cluster").agg(F.avg("margin").alias("mean")), "cluster")
     inland = F.col("other").isNull() | ((F.col("pure") >= 0.75) & (F.col("margin") > 0) & (F.col("mean") >= 0))
     trapped = (F.col("pure") <= 0.25) | (F.col("margin") <= 0) | ((F.col("mean") < 0) & (F.col("pure") < 0.5))
-    return written(known.select("id", F.when(inland, INLAND).when(trapped, TRAPPED).otherwise(BORDER).alias("group"), F.coalesce(F.col("other") < F.col("same"), F.lit(False)).alias("nearer"), "other"))
+    return written(known.select("id", F.when(inland, INLAND).when(trapped, TRAPPED).otherwise(BORDER).alias("group"), "other"))
+
+
+def apart(a: str, b: str) -> Column:
+    """The distance of two vectors."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, z: (x - z) * (x - z)), F.lit(0.0), lambda s, d: s + d))
 
 
 def bounded(seed_x: str, x: str, other: str) -> Column:
     """x, drawn back toward its seed to 0.95 of the way to the nearest of the rest."""
-    far = F.sqrt(F.aggregate(F.zip_with(x, seed_x, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
+    far = apart(x, seed_x)
     bound = F.greatest(F.col(other) * 0.95, F.lit(1e-12))
     return F.when(far > bound, F.zip_with(seed_x, x, lambda s, p: s + (p - s) / far * bound)).otherwise(F.col(x))
 
 
+def nearer(asked: DataFrame, pool: DataFrame, rest: DataFrame, margin: float) -> DataFrame:
+    """The rows of asked that are nearer to the pool than to the rest by the margin. reach: how far a row's seed, one of the pool, is; other:
+    how far the rest is from the seed. The rest is farther from the row than other - reach, which often says enough before a search."""
+    sure = lambda near: F.col("other") - F.col("reach") > margin * F.col(near) * (1 + 1e-9) + 1e-9 * F.col("other")
+    unsure = asked.where(~sure("reach"))
+    unsure = written(unsure.join(neighbours(pool, 1, queries=unsure).select("id", F.col("dist").alias("near")), "id"))
+    left = unsure.where(~sure("near"))
+    far = neighbours(rest, 1, queries=left).select("id", F.col("dist").alias("far"))
+    kept = asked.where(sure("reach")).unionByName(unsure.where(sure("near")).drop("near"))
+    return kept.unionByName(left.join(far, "id").where(F.col("far") > margin * F.col("near")).drop("near", "far"))
+
+
 def nromm_resample(rows: DataFrame, k: int = 5, margin: float = 1.05, ratio: int = 20, seed: int = 42) -> DataFrame:
     """Each class against the inland rows of the larger ones: its rows breed by group, points are kept within the seed's boundary and count
-    if they are nearer to their class than to the rest by the margin; `ratio` tries a point at most, then plain steps. At last inland
-    rows to which others are nearer than their own go."""
+    if they are nearer to their class than to the rest by the margin; `ratio` tries a point at most, then plain steps.
+
+    The method at last lets inland rows go to which others are nearer than their own. There are none: by the definition of groups() (and the
+    kernel's, and the reference's) an inland row's margin, the distance to others less that to its own, is above 0. So no search is made for
+    them."""
     state = written(keyed(rows))
-    sizes = by_size(state)
+    sizes, kin = by_size(state), {}
     for pos, (label, n) in enumerate(sizes[1:], 1):
         need, pool = sizes[0][1] - n, written(of(state, label))
         if not need:
@@ -405,18 +434,22 @@ def nromm_resample(rows: DataFrame, k: int = 5, margin: float = 1.05, ratio: int
         rest = None
         for larger, _ in sizes[:pos]:
             held = of(state, larger)
-            inland = held.join(groups(held, pool, k).where(F.col("group") == INLAND).select("id"), "id", "left_semi")
+            kin[larger] = kin_of(held, k) if larger not in kin else kin[larger]  # a class is whole when smaller ones come
+            inland = held.join(groups(kin[larger], held, pool, k).where(F.col("group") == INLAND).select("id"), "id", "left_semi")
             part = held if inland.isEmpty() else inland
             rest = part if rest is None else rest.unionByName(part)
         rest = written(rest)
-        marked = written(pool.join(groups(pool, rest, k).select("id", "group", "other"), "id"))
-        marked = written(marked.join(lists(neighbours(pool, k), pool, "kin"), "id"))
+        mine = kin_of(pool, k)
+        marked = written(pool.join(groups(mine, pool, rest, k).select("id", "group", "other"), "id"))
+        marked = written(marked.join(lists(mine.select("id", F.explode("kin").alias("e")).select("id", "e.*"), pool, "kin"), "id"))
         free, inland = marked.where(F.col("group") != TRAPPED), marked.where(F.col("group") == INLAND)
         free, no_inland = marked if free.isEmpty() else free, inland.isEmpty()
         weights, made, missing, tried, s = {INLAND: 0.5, BORDER: 1.0, TRAPPED: 1.5}, None, need, 0, seed + label
         u = lambda what: uniform(s, F.lit(what), "slot")  # noqa: B023, E731
         while missing and tried < need * ratio + 50:
-            m = min(need * ratio + 50 - tried, max(64, 2 * missing, tried))  # tries double, so that rounds are few
+            # as many as are missing, then as many as the tries so far say; if few count tries double, so that rounds are few
+            rate = (need - missing) / tried if tried else 1.0
+            m = min(need * ratio + 50 - tried, max(64, math.ceil(1.1 * missing / rate) if rate > 0.25 else max(2 * missing, tried)))
             drawn = weighted_seeds(marked, "group", weights, tried, m, s)
             drawn = with_row(with_row(drawn, free, "from", s, "a"), free, "free", s, "b")
             drawn = drawn.withColumn("c", F.col("b")) if no_inland else with_row(drawn, inland, "inland", s, "c")
@@ -424,10 +457,9 @@ def nromm_resample(rows: DataFrame, k: int = 5, margin: float = 1.05, ratio: int
             drawn = drawn.withColumn("z", interpolate("start", F.when(F.col("group") == BORDER, F.col("b")).otherwise(F.col("c")), u("z")))
             drawn = drawn.withColumn("to", picked("kin", u("kin"))["x"]).withColumn("step", interpolate("features", "to", u("step")))
             drawn = drawn.withColumn("z", F.zip_with("z", "step", lambda a, b: (a + b) / 2))
-            asked = written(drawn.select((-1 - F.col("slot")).alias("id"), F.lit(label).alias("label"), bounded("features", "z", "other").alias("features"), "slot"))
-            far = neighbours(rest, 1, queries=asked).select("id", F.col("dist").alias("far"))
-            near = neighbours(pool, 1, queries=asked).select("id", F.col("dist").alias("near"))
-            good = asked.join(far, "id").join(near, "id").where(F.col("far") > margin * F.col("near")).select("id", "slot", "features")
+            drawn = drawn.withColumn("z", bounded("features", "z", "other"))
+            asked = written(drawn.select((-1 - F.col("slot")).alias("id"), F.lit(label).alias("label"), F.col("z").alias("features"), "slot", "other", apart("z", "features").alias("reach")))
+            good = nearer(asked, pool, rest, margin).select("id", "slot", "features")
             good = written(sampling.with_place(good, s).where(F.col("place") <= missing).select("slot", "features"))
             tried, missing, made = tried + m, missing - good.count(), good if made is None else made.unionByName(good)
         if missing:
@@ -436,10 +468,4 @@ def nromm_resample(rows: DataFrame, k: int = 5, margin: float = 1.05, ratio: int
             drawn = drawn.select("slot", bounded("features", "z", "other").alias("features"))
             made = drawn if made is None else made.unionByName(drawn)
         state = written(state.unionByName(named(made, label)))
-    kept = state
-    for label, n in sizes if len(sizes) > 1 else []:
-        marks = groups(of(state, label), state.where(F.col("label") != label), k)
-        gone = marks.where((F.col("group") == INLAND) & F.col("nearer"))
-        if gone.count() < marks.count():
-            kept = kept.join(gone.select("id"), "id", "left_anti")
-    return kept
+    return state
